@@ -45,8 +45,8 @@ LINEAR = """
 rule as (select lo.alpha as alpha1, lo.beta as beta1, hi.alpha as alpha2, hi.beta as beta2
     from power lo, power hi where lo.gamma = 1 and hi.gamma = 1 and lo.tau = 0.86 and hi.tau = 0.98),
 labelled as (select hist.*, alpha1 + beta1 * greatest(payout, 1e-9) as t1, alpha2 + beta2 * greatest(payout, 1e-9) as t2,
-    cast(case when round(excess, 6) <= round(alpha1 + beta1 * greatest(payout, 1e-9), 6) then 0
-     when round(excess, 6) <= round(alpha2 + beta2 * greatest(payout, 1e-9), 6) then 1 else 2 end as int) as risk_class
+    cast(case when floor(excess * 1e6 + 0.5) <= floor((alpha1 + beta1 * greatest(payout, 1e-9)) * 1e6 + 0.5) then 0
+     when floor(excess * 1e6 + 0.5) <= floor((alpha2 + beta2 * greatest(payout, 1e-9)) * 1e6 + 0.5) then 1 else 2 end as int) as risk_class
     from hist, rule)"""
 STEPS = """
 ends as (select tau, bin, node_p as x1, y as y1, lag(node_p) over w as x0, lag(y) over w as y0,
@@ -61,8 +61,8 @@ ts as (select * from m1 union all
 cand as (select form, tau1, tau2, row_number() over (order by tau1, tau2, form) - 1 as candidate
     from (select distinct form from ts) f, (values (0.85::double), (0.86), (0.88), (0.9)) a(tau1),
       (values (0.97::double), (0.98), (0.99)) b(tau2)),
-lab as (select cast(c.candidate as int) as candidate, lo.claim_key, case when round(h.excess, 6) <= round(lo.t, 6) then 0
-      when round(h.excess, 6) <= round(hi.t, 6) then 1 else 2 end as k
+lab as (select cast(c.candidate as int) as candidate, lo.claim_key, case when floor(h.excess * 1e6 + 0.5) <= floor(lo.t * 1e6 + 0.5) then 0
+      when floor(h.excess * 1e6 + 0.5) <= floor(hi.t * 1e6 + 0.5) then 1 else 2 end as k
     from cand c join ts lo on lo.form = c.form and lo.tau = c.tau1
       join ts hi on hi.form = c.form and hi.tau = c.tau2 and hi.claim_key = lo.claim_key
       join hist h on h.claim_key = lo.claim_key)"""
@@ -111,9 +111,14 @@ FULL = [B20, B10, NODES, ISO.replace("sum(a.n * a.q) over w / sum(a.n) over w as
 ISO_CTE = FULL[3]
 
 
+def base(spark, sf_dir):
+    """Key, payout and excess of history, written once: the rule queries pass over it several times."""
+    return materialize(hist(spark, sf_dir).select("claim_key", "payout", "excess"), "claims")
+
+
 @register("rule_nodes", with_claims("select bin, n, round(node_p, 6) as node_p from nodes", B20, NODES))
 def rule_nodes(spark, sf_dir):
-    return round_doubles(R.rule_nodes(hist(spark, sf_dir)))
+    return round_doubles(R.rule_nodes(base(spark, sf_dir)))
 
 
 @register(
@@ -121,17 +126,17 @@ def rule_nodes(spark, sf_dir):
     with_claims("select bin, round(node_p, 6) as node_p, n, tau, round(q, 6) as q from nq", B20, NODES),
 )
 def node_quantiles(spark, sf_dir):
-    return round_doubles(R.node_quantiles(hist(spark, sf_dir), TAUS))
+    return round_doubles(R.node_quantiles(base(spark, sf_dir), TAUS))
 
 
 @register(
     "isotonic_fit",
-    with_claims("select tau, cast(bin as int) as node, round(node_p, 6) as x, round(y, 4) as y from iso", B20, NODES, ISO_CTE),
+    with_claims("select tau, cast(bin as int) as node, round(node_p, 6) as x, round(y, 2) as y from iso", B20, NODES, ISO_CTE),
 )
 def isotonic_fit(spark, sf_dir):
-    fitted = R.isotonic_fit(R.node_quantiles(hist(spark, sf_dir), TAUS))
+    fitted = R.isotonic_fit(R.node_quantiles(base(spark, sf_dir), TAUS))
     long = fitted.select("tau", F.posexplode(F.arrays_zip("xs", "ys")).alias("node", "z"))
-    return round_doubles(long.select("tau", "node", F.col("z.xs").alias("x"), F.col("z.ys").alias("y")), y=4)
+    return round_doubles(long.select("tau", "node", F.col("z.xs").alias("x"), F.col("z.ys").alias("y")), y=2)
 
 
 @register(
@@ -139,7 +144,7 @@ def isotonic_fit(spark, sf_dir):
     with_claims("select tau, gamma, round(alpha, 4) as alpha, round(beta, 8) as beta from power", *RULE_CTES),
 )
 def power_fit(spark, sf_dir):
-    return round_doubles(R.power_fit(R.node_quantiles(hist(spark, sf_dir), TAUS)), alpha=4, beta=8)
+    return round_doubles(R.power_fit(R.node_quantiles(base(spark, sf_dir), TAUS)), alpha=4, beta=8)
 
 
 @register(
@@ -149,7 +154,7 @@ def power_fit(spark, sf_dir):
     ),
 )
 def label_rule(spark, sf_dir):
-    df = hist(spark, sf_dir).select("claim_key", "payout", "excess")
+    df = base(spark, sf_dir)
     out = R.apply_rule(df, R.linear_rule(df), keep_boundaries=True)
     return round_doubles(out.select("claim_key", "t1", "t2", "risk_class"), 3)
 
@@ -163,7 +168,7 @@ def label_rule(spark, sf_dir):
     ),
 )
 def rule_broadcast(spark, sf_dir):
-    df = hist(spark, sf_dir).select("claim_key", "payout", "excess")
+    df = base(spark, sf_dir)
     out = R.apply_rule(df, R.linear_rule(df), keep_boundaries=True)
     return round_doubles(
         out.groupBy("risk_class").agg(
@@ -185,7 +190,7 @@ def rule_broadcast(spark, sf_dir):
     ),
 )
 def class_shares(spark, sf_dir):
-    df = hist(spark, sf_dir).select("claim_key", "payout", "excess")
+    df = base(spark, sf_dir)
     return round_doubles(R.class_shares(R.apply_rule(df, R.linear_rule(df))), 4)
 
 
@@ -201,7 +206,7 @@ def class_shares(spark, sf_dir):
     ),
 )
 def class_profile(spark, sf_dir):
-    df = hist(spark, sf_dir).select("claim_key", "payout", "excess")
+    df = base(spark, sf_dir)
     labelled = materialize(R.apply_rule(df, R.linear_rule(df)), "labels")
     return round_doubles(R.class_profile(labelled), p_mean=4, pct=4)
 
@@ -211,12 +216,10 @@ def class_profile(spark, sf_dir):
     with_claims("select claim_key, round(t, 3) as t from m1 where tau = 0.98", B20, NODES, ISO_CTE, STEPS),
 )
 def segment_interp(spark, sf_dir):
-    df = hist(spark, sf_dir).select("claim_key", "payout", "excess")
+    df = base(spark, sf_dir)
     nodes = R.isotonic_fit(R.node_quantiles(df, [0.98])).select("xs", "ys")
-    out = df.withColumn("_n", R.as_scalar(nodes)).select(
-        "claim_key", R.interpolate(F.col("_n.xs"), F.col("_n.ys"), "payout").alias("t")
-    )
-    return round_doubles(out, 3)
+    located = R.locate(df.withColumn("_n", R.as_scalar(nodes)), F.col("_n.xs"), "payout")
+    return round_doubles(located.select("claim_key", R.interpolate(F.col("_n.ys")).alias("t")), 3)
 
 
 @register(
@@ -229,7 +232,7 @@ def segment_interp(spark, sf_dir):
     ),
 )
 def candidate_cross(spark, sf_dir):
-    df = hist(spark, sf_dir).select("payout", "excess")
+    df = base(spark, sf_dir)
     crossed = R.with_candidates(df, R.rule_candidates(df))
     return round_doubles(
         crossed.groupBy("candidate").agg(
@@ -253,8 +256,7 @@ def _estimate(spark, sf_dir):
 
 
 def _grid(spark, sf_dir):
-    base = hist(spark, sf_dir).select("claim_key", "payout", "excess")
-    scored = materialize(with_density(base), "rule-density")
+    scored = materialize(with_density(base(spark, sf_dir)), "rule-density")
     return R.rule_grid(scored, materialize(R.rule_candidates(scored), "rule-candidates"))
 
 
@@ -267,15 +269,15 @@ def rule_grid(spark, sf_dir):
 
 @register("monotone_scan", with_claims("select candidate::int as candidate, mono_viol from mono", *FULL, MONO))
 def monotone_scan(spark, sf_dir):
-    df = hist(spark, sf_dir).select("payout", "excess")
+    df = base(spark, sf_dir)
     return R.monotone_violations(R.rule_candidates(df), df)
 
 
 def _labelled_deciles(spark, sf_dir, density=False):
-    df = hist(spark, sf_dir).select("claim_key", "payout", "excess")
+    df = base(spark, sf_dir)
     binned = qcut(df, "payout", 10, "decile")
     if density:
-        binned = D.kde_at(binned, D.reference_points(binned))
+        binned = with_density(df)
     labelled = R.apply_rule(binned, R.linear_rule(df)).withColumn("candidate", F.lit(0))
     measure = F.sum("density") if density else F.lit(None).cast("double")
     return labelled.groupBy("candidate", "decile", "risk_class").agg(
@@ -307,7 +309,7 @@ def compactness(spark, sf_dir):
     with_claims("select decile, n, round(sd, 4) as sd, round(h, 4) as h from bw", B10, DENSITY.split("refs as")[0].rstrip(" ,\n")),
 )
 def kde_bandwidth(spark, sf_dir):
-    binned = qcut(hist(spark, sf_dir).select("claim_key", "payout", "excess"), "payout", 10, "decile")
+    binned = qcut(base(spark, sf_dir), "payout", 10, "decile")
     return round_doubles(D.bandwidth(binned), 4)
 
 
@@ -316,7 +318,7 @@ def kde_bandwidth(spark, sf_dir):
     with_claims("select claim_key, decile, round(density, 12) as density from dens", B10, DENSITY),
 )
 def kde_at_samples(spark, sf_dir):
-    scored = with_density(hist(spark, sf_dir))
+    scored = with_density(base(spark, sf_dir))
     return round_doubles(scored.select("claim_key", "decile", "density"), 12)
 
 
@@ -327,7 +329,7 @@ def kde_at_samples(spark, sf_dir):
     ),
 )
 def decile_pairs(spark, sf_dir):
-    scored = with_density(hist(spark, sf_dir))
+    scored = with_density(base(spark, sf_dir))
     return round_doubles(
         scored.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.avg("density").alias("mean_density")), 10
     )
@@ -405,7 +407,7 @@ def freeze_rule(spark, sf_dir):
     ),
 )
 def rule_config(spark, sf_dir):
-    df = hist(spark, sf_dir).select("payout", "excess")
+    df = base(spark, sf_dir)
     path = scratch_path(spark, "rule")
     files.save_config(frozen(R.linear_rule(df)), path)
     config = files.load_config(spark, path, T.StructType.fromDDL(FROZEN_SCHEMA))

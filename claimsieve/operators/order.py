@@ -18,15 +18,20 @@ from claimsieve.functions.expr import edge_rank, hash_order, null_safe_join
 BUCKETS = 1024
 
 
-def sketch_edges(df: DataFrame, value: str, buckets: int = BUCKETS) -> Column:
-    """Scalar subquery: ``buckets - 1`` approximate cut points of ``value`` over the whole table."""
-    grid = [i / buckets for i in range(1, buckets)]
-    return df.agg(F.percentile_approx(value, grid, 4 * buckets).alias("edges")).scalar()
+def sketch_edges(counts: DataFrame, value: str, buckets: int = BUCKETS) -> Column:
+    """Scalar subquery: ``buckets - 1`` approximate cut points of the distinct values.
+
+    Taken over the collapsed counts, so a value that fills a third of the table weighs no more than any other, and
+    the shuffle behind ``counts`` is shared with the query that uses the edges.
+    """
+    grid = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    sketch = F.expr(f"percentile_approx(`{value}`, array({grid}), {4 * buckets})")
+    return counts.agg(sketch.alias("edges")).scalar()
 
 
-def _bucketed(counts: DataFrame, source: DataFrame, value: str, buckets: int) -> DataFrame:
+def _bucketed(counts: DataFrame, value: str, buckets: int) -> DataFrame:
     return (
-        counts.withColumn("_edges", sketch_edges(source, value, buckets))
+        counts.withColumn("_edges", sketch_edges(counts, value, buckets))
         .withColumn("_b", F.coalesce(edge_rank("_edges", value, buckets - 1), F.lit(0)))
         .drop("_edges")
     )
@@ -55,7 +60,7 @@ def exact_quantiles(
     v = F.col(value).cast("double")
     base = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     counts = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    located = _bucketed(counts, base, "_v", buckets)
+    located = _bucketed(counts, "_v", buckets)
 
     wanted = F.array(
         *[F.struct(F.lit(i).alias("idx"), F.lit(float(p)).alias("prob")) for i, p in enumerate(probs)]
@@ -122,7 +127,7 @@ def positions(
 ) -> DataFrame:
     """Adds ``before``: rows of the group with a smaller value.  ``counts`` has one row per group and value."""
     by = list(by)
-    located = _bucketed(counts, counts, value, buckets)
+    located = _bucketed(counts, value, buckets)
     spans = _spans(located, by, n).select(*by, "_b", "_start")
     within = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = located.withColumn("_run", F.sum(n).over(within))

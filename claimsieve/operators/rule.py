@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from claimsieve.functions.expr import as_col, edge_rank, linspace
 from claimsieve.operators.binning import qcut
 from claimsieve.operators.order import quantile_arrays, quantile_columns
+from claimsieve.session import materialize
 
 TAUS_LOW = (0.85, 0.86, 0.88, 0.9)
 TAUS_HIGH = (0.97, 0.98, 0.99)
@@ -39,18 +40,22 @@ def rule_nodes(df: DataFrame, k: int = NODES, payout: str = "payout") -> DataFra
 def node_quantiles(
     df: DataFrame, taus: Sequence[float], k: int = NODES, payout: str = "payout", excess: str = "excess"
 ) -> DataFrame:
-    """Long node table ``(bin, node_p, n, tau, q)``: the excess quantiles of every payout bin in one pass."""
-    binned = qcut(df.select(payout, excess), payout, k)
+    """Long node table ``(bin, node_p, n, tau, q)``: the excess quantiles of every payout bin in one pass.
+
+    The binned two-column table feeds three passes and the node table feeds every fit, so both are written once.
+    """
+    binned = materialize(qcut(df.select(payout, excess), payout, k), "rule-bins")
     size = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     middle = quantile_columns(binned, payout, {"node_p": 0.5}, ["bin"])
     levels = F.array(*[F.lit(float(t)) for t in taus])
     cells = F.transform(F.arrays_zip(levels.alias("tau"), F.col("qs")), lambda z: F.struct(z["tau"], z["qs"].alias("q")))
-    return (
+    nodes = (
         quantile_arrays(binned, excess, taus, ["bin"])
         .join(size, "bin")
         .join(middle, "bin")
         .select("bin", "node_p", "n", F.inline(cells).alias("tau", "q"))
     )
+    return materialize(nodes, "rule-nodes")
 
 
 # ---- boundary fits ---------------------------------------------------------------------------------------------
@@ -167,32 +172,39 @@ def candidates(
 # ---- labels ----------------------------------------------------------------------------------------------------
 
 
-def interpolate(xs: Column, ys: Column, x: Column | str, max_nodes: int = NODES) -> Column:
-    """Piecewise linear through sorted nodes, constant outside them."""
-    x = as_col(x)
-    j = edge_rank(xs, x, max_nodes)
-    x0, x1 = F.get(xs, j - 1), F.get(xs, j)
-    y0, y1 = F.get(ys, j - 1), F.get(ys, j)
-    inside = y0 + (y1 - y0) * F.try_divide(x - x0, x1 - x0)
-    return F.when(j == 0, F.get(ys, F.lit(0))).when(j >= F.size(xs), F.get(ys, F.size(ys) - 1)).otherwise(inside)
+def locate(df: DataFrame, xs: Column, x: str, max_nodes: int = NODES) -> DataFrame:
+    """Add ``_seg`` and ``_frac``: the segment of ``x`` among sorted nodes and the position in it, clamped to 0..1.
+
+    Found once per row and shared by every curve on the same nodes.
+    """
+    low, high = F.get(xs, F.col("_seg") - 1), F.get(xs, F.col("_seg"))
+    inside = F.try_divide(F.col(x) - low, high - low)
+    return df.withColumn(
+        "_seg", F.greatest(F.lit(1), F.least(edge_rank(xs, x, max_nodes), F.size(xs) - 1))
+    ).withColumn("_frac", F.greatest(F.lit(0.0), F.least(F.lit(1.0), inside)))
+
 
+def interpolate(ys: Column) -> Column:
+    """Piecewise linear at the position found by :func:`locate`, constant outside the nodes."""
+    y0, y1 = F.get(ys, F.col("_seg") - 1), F.get(ys, F.col("_seg"))
+    return y0 + (y1 - y0) * F.col("_frac")
 
-def boundary(curve: Column, p: Column | str, max_nodes: int = NODES) -> Column:
-    """Value of a curve struct at payout ``p``."""
-    p = as_col(p)
-    power = curve["alpha"] + curve["beta"] * F.pow(F.greatest(p, F.lit(1e-9)), curve["gamma"])
-    return F.when(curve["xs"].isNull(), power).otherwise(interpolate(curve["xs"], curve["ys"], p, max_nodes))
 
+def boundary(curve: Column, p: Column | str) -> Column:
+    """Value of a curve struct at payout ``p``; isotonic curves use the columns of :func:`locate`."""
+    power = curve["alpha"] + curve["beta"] * F.pow(F.greatest(as_col(p), F.lit(1e-9)), curve["gamma"])
+    return F.when(curve["ys"].isNull(), power).otherwise(interpolate(curve["ys"]))
 
-def risk_class(t1: Column, t2: Column, u: Column | str, digits: int | None = COMPARE_DIGITS) -> Column:
-    """Class of an excess; the comparison is made on values rounded to ``digits`` places so that ties are stable."""
 
-    def r(c: Column) -> Column:
-        return c if digits is None else F.round(c, digits)
+def comparable(c: Column | str) -> Column:
+    """Rounded to ``COMPARE_DIGITS`` places as a whole number of units, so that ties between engines are stable."""
+    return F.floor(as_col(c) * float(10**COMPARE_DIGITS) + 0.5)
 
-    u = as_col(u)
+
+def risk_class(t1: Column, t2: Column, u: Column) -> Column:
+    """Class of a comparable excess under two comparable boundaries."""
     known = u.isNotNull() & t1.isNotNull() & t2.isNotNull()
-    return F.when(known, F.when(r(u) <= r(t1), 0).when(r(u) <= r(t2), 1).otherwise(2))
+    return F.when(known, F.when(u <= t1, 0).when(u <= t2, 1).otherwise(2))
 
 
 def as_scalar(table: DataFrame) -> Column:
@@ -204,13 +216,14 @@ def apply_rule(
     df: DataFrame, rule: DataFrame, payout: str = "payout", excess: str = "excess", keep_boundaries: bool = False
 ) -> DataFrame:
     """Add ``risk_class`` (and ``t1``, ``t2``) under a one-row frozen rule; row-local."""
+    ruled = df.withColumn("_rule", as_scalar(rule.select("lower", "upper")))
     out = (
-        df.withColumn("_rule", as_scalar(rule.select("lower", "upper")))
+        locate(ruled, F.col("_rule.lower.xs"), payout)
         .withColumn("t1", boundary(F.col("_rule.lower"), payout))
         .withColumn("t2", boundary(F.col("_rule.upper"), payout))
-        .withColumn("risk_class", risk_class(F.col("t1"), F.col("t2"), excess))
+        .withColumn("risk_class", risk_class(comparable("t1"), comparable("t2"), comparable(excess)))
     )
-    return out.drop("_rule", *([] if keep_boundaries else ["t1", "t2"]))
+    return out.drop("_rule", "_seg", "_frac", *([] if keep_boundaries else ["t1", "t2"]))
 
 
 def linear_rule(df: DataFrame, tau1: float = 0.86, tau2: float = 0.98, k: int = NODES) -> DataFrame:
@@ -234,26 +247,44 @@ def rule_candidates(
     return candidates(curves(node_quantiles(df, taus, k), gammas, isotonic), taus_low, taus_high)
 
 
+def packed_grid(grid: DataFrame) -> Column:
+    """Scalar subquery ``(nodes, curves[], candidates[])``; a candidate names its two curves by position.
+
+    Sixty candidates use only 35 different curves, and the isotonic ones share their nodes.
+    """
+    ends = grid.select(
+        "candidate", F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.col(e).alias("curve")) for e in ("lower", "upper")])).alias("c")
+    ).select("candidate", "c.end", "c.curve")
+    distinct = ends.groupBy("curve").agg(F.collect_list(F.struct("end", "candidate")).alias("used_by"))
+    numbered = distinct.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("curve")) - 1)
+    curves_ = numbered.agg(
+        F.max("curve.xs").alias("xs"),
+        F.array_sort(F.collect_list(F.struct("pos", "curve"))).alias("curves"),
+    )
+    uses = numbered.select("pos", F.inline("used_by")).groupBy("candidate").agg(
+        F.max(F.when(F.col("end") == "lower", F.col("pos"))).alias("i1"),
+        F.max(F.when(F.col("end") == "upper", F.col("pos"))).alias("i2"),
+    )
+    cands = uses.agg(F.collect_list(F.struct("candidate", "i1", "i2")).alias("cands")).scalar()
+    return curves_.select(F.struct("xs", "curves", cands.alias("cands")).alias("g")).scalar()
+
+
 def with_candidates(df: DataFrame, grid: DataFrame, payout: str = "payout", excess: str = "excess") -> DataFrame:
     """Every claim under every candidate: ``(…, candidate, t1, t2, risk_class)``.
 
-    The grid is a bounded array in a scalar subquery; rows are expanded inside the task that reads them and callers
-    aggregate before any shuffle.
+    The grid is a bounded value in a scalar subquery.  Each curve is evaluated once per claim; rows are expanded inside
+    the task that reads them and callers aggregate before any shuffle.
     """
-    packed = grid.agg(F.array_sort(F.collect_list(F.struct("candidate", "lower", "upper"))).alias("g")).scalar()
-    cells = F.transform(
-        "_grid",
-        lambda c: F.struct(
-            c["candidate"].alias("candidate"),
-            boundary(c["lower"], payout).alias("t1"),
-            boundary(c["upper"], payout).alias("t2"),
-        ),
+    located = locate(df.withColumn("_grid", packed_grid(grid)), F.col("_grid.xs"), payout)
+    valued = located.withColumn("_t", F.transform("_grid.curves", lambda c: boundary(c["curve"], payout))).withColumn(
+        "_u", comparable(excess)
     )
     return (
-        df.withColumn("_grid", packed)
-        .withColumn("_cells", cells)
-        .select(*df.columns, F.inline("_cells"))
-        .withColumn("risk_class", risk_class(F.col("t1"), F.col("t2"), excess))
+        valued.select(*df.columns, "_u", "_t", F.inline("_grid.cands"))
+        .withColumn("t1", F.get("_t", F.col("i1")))
+        .withColumn("t2", F.get("_t", F.col("i2")))
+        .withColumn("risk_class", risk_class(comparable("t1"), comparable("t2"), F.col("_u")))
+        .drop("_u", "_t", "i1", "i2")
     )
 
 
@@ -328,13 +359,16 @@ def monotone_violations(grid: DataFrame, df: DataFrame, payout: str = "payout",
     """Per candidate: decreases of either boundary on an even payout grid plus points where ``T2 <= T1``."""
     ends = df.agg(F.struct(F.min(payout).alias("lo"), F.max(payout).alias("hi")).alias("ends")).scalar()
     p = grid.withColumn("_ends", ends).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    curve = p.select(
+    placed = p.select(
         "candidate",
         "_i",
         "lower",
         "upper",
         linspace(F.col("_ends.lo"), F.col("_ends.hi"), F.col("_i"), points).alias("_p"),
-    ).select("candidate", "_i", boundary(F.col("lower"), "_p").alias("t1"), boundary(F.col("upper"), "_p").alias("t2"))
+    )
+    curve = locate(placed, F.col("lower.xs"), "_p").select(
+        "candidate", "_i", boundary(F.col("lower"), "_p").alias("t1"), boundary(F.col("upper"), "_p").alias("t2")
+    )
     step = Window.partitionBy("candidate").orderBy("_i")
 
     def falls(c: str) -> Column:
