@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["files", "cleaning", "joins", "profiling", "rules"]
+MODULES = ["files", "cleaning", "joins", "profiling", "rules", "evaluation"]
 
 
 def load_catalog():

@@ -233,7 +233,7 @@ def segment_interp(spark, sf_dir):
 )
 def candidate_cross(spark, sf_dir):
     df = base(spark, sf_dir)
-    crossed = R.with_candidates(df, R.rule_candidates(df))
+    crossed = R.with_candidates(df, materialize(R.rule_candidates(df), "rule-candidates"))
     return round_doubles(
         crossed.groupBy("candidate").agg(
             F.count(F.lit(1)).alias("n"), F.avg("t1").alias("t1_mean"), F.avg("t2").alias("t2_mean")
@@ -270,7 +270,7 @@ def rule_grid(spark, sf_dir):
 @register("monotone_scan", with_claims("select candidate::int as candidate, mono_viol from mono", *FULL, MONO))
 def monotone_scan(spark, sf_dir):
     df = base(spark, sf_dir)
-    return R.monotone_violations(R.rule_candidates(df), df)
+    return R.monotone_violations(materialize(R.rule_candidates(df), "rule-candidates"), df)
 
 
 def _labelled_deciles(spark, sf_dir, density=False):
