@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["files", "cleaning", "joins", "profiling", "rules", "evaluation"]
+MODULES = ["files", "cleaning", "joins", "profiling", "rules", "evaluation", "modelling", "checks", "text"]
 
 
 def load_catalog():
