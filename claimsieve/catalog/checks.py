@@ -68,8 +68,8 @@ def _verdict(name: str, ok: str, detail: str, src: str) -> str:
                 _verdict("payout_not_negative", "count(*) filter (where p_hat < 0) = 0", "count(*) filter (where p_hat < 0)", "sl"),
                 _verdict(
                     "payout_within_claim",
-                    "count(*) filter (where round_even(p_hat, 2) > claim_amount) = 0",
-                    "count(*) filter (where round_even(p_hat, 2) > claim_amount)",
+                    "count(*) filter (where round_even(p_hat * 100, 0) / 100 > claim_amount) = 0",
+                    "count(*) filter (where round_even(p_hat * 100, 0) / 100 > claim_amount)",
                     "sl",
                 ),
             ]

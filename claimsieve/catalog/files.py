@@ -61,7 +61,7 @@ def write_tables(spark, sf_dir):
 @register(
     "fill_template",
     with_claims(
-        """select claim_key as id, round_even(greatest(claim_amount - g, 0), 2) as payout,
+        """select claim_key as id, round_even(greatest(claim_amount - g, 0) * 100, 0) / 100 as payout,
   case when claim_amount - greatest(claim_amount - g, 0) <= 3000 then '合理诉求'
        when claim_amount - greatest(claim_amount - g, 0) <= greatest(claim_amount - g, 0) then '诉求偏高'
        else '严重超额' end as risk_label

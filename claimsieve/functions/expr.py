@@ -18,7 +18,9 @@ def rounded(c: Column | str, digits: int = 6) -> Column:
 
 
 def half_even(c: Column | str, digits: int = 0) -> Column:
-    return F.bround(as_col(c), digits)
+    """Half-to-even rounding of the scaled double, as numeric Python libraries round."""
+    scale = float(10**digits)
+    return F.rint(as_col(c) * scale) / scale
 
 
 def flag(condition: Column) -> Column:

@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimsieve.functions.expr import half_even
 from claimsieve.operators import classify as N
 from claimsieve.operators import models as M
 from claimsieve.operators import rule as R
@@ -189,7 +190,7 @@ def prediction_table(
     return (
         payout.join(route_a, "claim_key")
         .join(by_rule, "claim_key")
-        .select("claim_key", F.bround("payout_hat", 2).alias("payout_hat"), "route_a", "route_b", "claim_amount")
+        .select("claim_key", half_even("payout_hat", 2).alias("payout_hat"), "route_a", "route_b", "claim_amount")
     )
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimsieve.functions.expr import half_even
+
 BOM = "﻿"
 
 
@@ -53,7 +55,7 @@ def preview(df: DataFrame, n: int, order: list[str]) -> DataFrame:
 def fill_template(template: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
     """Fill the two result columns of a template; its key column is left as it is."""
     filled = predictions.select(
-        key, F.bround("payout_hat", 2).alias("payout"), risk_label("risk_class").alias("risk_label")
+        key, half_even("payout_hat", 2).alias("payout"), risk_label("risk_class").alias("risk_label")
     )
     return template.select(key).join(filled, key, "left")
 
