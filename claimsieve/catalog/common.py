@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsieve.functions.expr import rounded
+from claimsieve.session import materialize
 from claimsieve.sources.claims import history, order_claims, scoring
 
 LABEL_NUMERIC = [
@@ -33,6 +34,11 @@ def score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring(order_claims(spark, sf_dir))
 
 
+def narrow(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Some columns of history written once, for reports that pass over them several times."""
+    return materialize(hist(spark, sf_dir).select(*cols), "history")
+
+
 def round_doubles(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Round every double column for comparison."""
     return df.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimsieve.catalog.common import LABEL_NUMERIC, hist, round_doubles, score
+from claimsieve.catalog.common import LABEL_NUMERIC, hist, narrow, round_doubles, score
 from claimsieve.catalog.registry import register
 from claimsieve.catalog.sqltext import SCORE, qcut_cte, with_claims
 from claimsieve.functions.expr import rounded
@@ -55,7 +55,7 @@ def profile_missing(spark, sf_dir):
     ),
 )
 def profile_numeric(spark, sf_dir):
-    return round_doubles(P.profile_numeric(hist(spark, sf_dir), [*NUMERIC, "payout"]), mean=4, std=4)
+    return round_doubles(P.profile_numeric(narrow(spark, sf_dir, *NUMERIC, "payout"), [*NUMERIC, "payout"]), mean=4, std=4)
 
 
 @register(
@@ -156,7 +156,7 @@ def _profile_sql(src: str, by: str, col: str, probs: dict, extra: str = "") -> s
     ),
 )
 def bin_profile(spark, sf_dir):
-    binned = B.qcut(hist(spark, sf_dir), "payout", 10)
+    binned = B.qcut(narrow(spark, sf_dir, "payout", "excess"), "payout", 10)
     return round_doubles(
         P.group_quantile_profile(binned, ["bin"], "excess", BIN_PROBS, {"payout_median": "payout"})
     )
@@ -187,7 +187,9 @@ def slice_profile(spark, sf_dir):
 )
 def category_profile(spark, sf_dir):
     out = P.group_quantile_profile(
-        hist(spark, sf_dir), ["goods_category"], "payout", {"payout_median": 0.5}, {"claim_median": "claim_amount"}
+        narrow(spark, sf_dir, "goods_category", "payout", "claim_amount"),
+        ["goods_category"],
+        "payout", {"payout_median": 0.5}, {"claim_median": "claim_amount"}
     )
     return round_doubles(out.drop("min", "max")).orderBy(F.desc("payout_median"))
 
@@ -230,9 +232,9 @@ NUMPY_HISTS = {
     ),
 )
 def numpy_hist(spark, sf_dir):
-    out = None
+    df, out = narrow(spark, sf_dir, "payout", "excess"), None
     for name, (expr, a, b, width, k) in NUMPY_HISTS.items():
-        values = hist(spark, sf_dir).select(F.expr(expr.format(d=f"try_divide({a}, {b})")).alias("x"))
+        values = df.select(F.expr(expr.format(d=f"try_divide({a}, {b})")).alias("x"))
         one = B.histogram(values, "x", [i * width for i in range(k + 1)], closed="left").withColumn("measure", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return round_doubles(out)
@@ -257,7 +259,7 @@ group by i""",
 def density_hist(spark, sf_dir):
     from claimsieve.operators.order import quantile_scalar
 
-    train = hist(spark, sf_dir)
+    train = narrow(spark, sf_dir, "payout", "excess")
     gap = quantile_scalar(train, "excess")
     predicted = (
         score(spark, sf_dir)
@@ -283,7 +285,7 @@ DETREND_PROBS = {"q85": 0.85, "q95": 0.95, "q97": 0.97, "q99": 0.99}
     ),
 )
 def ols_detrend(spark, sf_dir):
-    return round_doubles(P.detrended_profile(hist(spark, sf_dir), "excess", "payout", 10, DETREND_PROBS), 4)
+    return round_doubles(P.detrended_profile(narrow(spark, sf_dir, "payout", "excess"), "excess", "payout", 10, DETREND_PROBS), 4)
 
 
 @register(
@@ -299,7 +301,7 @@ def ols_detrend(spark, sf_dir):
     ),
 )
 def spearman(spark, sf_dir):
-    return round_doubles(P.spearman(hist(spark, sf_dir), LABEL_NUMERIC, "payout"))
+    return round_doubles(P.spearman(narrow(spark, sf_dir, *LABEL_NUMERIC, "payout"), LABEL_NUMERIC, "payout"))
 
 
 @register(
@@ -310,7 +312,7 @@ def spearman(spark, sf_dir):
     ),
 )
 def qcut(spark, sf_dir):
-    df = hist(spark, sf_dir).select("claim_key", "payout")
+    df = narrow(spark, sf_dir, "claim_key", "payout")
     out = None
     for k in (20, 10, 8):
         one = B.qcut(df, "payout", k).select(F.lit(k).alias("k"), "claim_key", "bin")

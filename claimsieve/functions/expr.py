@@ -75,13 +75,19 @@ def linspace(lo: Column, hi: Column, step: Column, points: int) -> Column:
     return lo + (hi - lo) * step / F.lit(float(points - 1))
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join whose keys may be null (a null key matches a null key).  Keys are kept once, from the left."""
-    keys = list(keys)
+def null_safe_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", plain: Sequence[str] = ()
+) -> DataFrame:
+    """Equi-join whose keys may be null (a null key matches a null key).  Keys are kept once, from the left.
+
+    ``plain`` keys are never null and use ordinary equality, which keeps an existing partitioning on them usable.
+    """
+    keys = [*keys, *plain]
     renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
     cond = F.lit(True)
     for k in keys:
-        cond = cond & left[k].eqNullSafe(renamed[f"_right_{k}"])
+        mine, other = left[k], renamed[f"_right_{k}"]
+        cond = cond & ((mine == other) if k in plain else mine.eqNullSafe(other))
     joined = left.join(renamed, cond, how)
     if how in ("full", "outer", "full_outer"):
         for k in keys:

@@ -82,7 +82,7 @@ def exact_quantiles(
     )
     within = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        null_safe_join(located, targets, [*by, "_b"])
+        null_safe_join(located, targets, by, plain=["_b"])
         .withColumn("_end", F.col("_start") + F.sum("_n").over(within))
         .withColumn(
             "_hit",
@@ -117,6 +117,25 @@ def quantile_columns(
     return arr.select(*by, *[F.get("_qs", F.lit(i)).alias(n) for i, n in enumerate(named_probs)])
 
 
+def quantile_table(df: DataFrame, wanted: dict[str, tuple[str, float]], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles of several columns per group in one pipeline.
+
+    ``wanted`` maps an output name to ``(column, probability)``.  The columns go through one long form, so the rows are
+    collapsed and bucketed once, whatever the number of columns.
+    """
+    by = list(by)
+    cols = list(dict.fromkeys(c for c, _ in wanted.values()))
+    probs = sorted({p for _, p in wanted.values()})
+    cells = [F.struct(F.lit(c).alias("_what"), F.col(c).cast("double").alias("_x")) for c in cols]
+    long = df.select(*by, F.inline(F.array(*cells)))
+    found = exact_quantiles(long, "_x", probs, [*by, "_what"])
+
+    def pick(col: str, prob: float) -> Column:
+        return F.max(F.when((F.col("_what") == col) & (F.col("idx") == probs.index(prob)), F.col("q")))
+
+    return found.groupBy(*by).agg(*[pick(c, p).alias(name) for name, (c, p) in wanted.items()])
+
+
 def quantile_scalar(df: DataFrame, value: str, prob: float = 0.5) -> Column:
     """Scalar subquery holding one exact quantile."""
     return exact_quantiles(df, value, [prob]).agg(F.max("q").alias("q")).scalar()
@@ -132,7 +151,7 @@ def positions(
     within = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = located.withColumn("_run", F.sum(n).over(within))
     return (
-        null_safe_join(local, spans, [*by, "_b"])
+        null_safe_join(local, spans, by, plain=["_b"])
         .withColumn("before", F.col("_start") + F.col("_run") - F.col(n))
         .drop("_b", "_run", "_start")
     )
@@ -161,7 +180,7 @@ def hash_ordinal(
     starts = counts.withColumn("_start", F.sum("_n").over(running) - F.col("_n")).drop("_n")
     local = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key))
     return (
-        null_safe_join(hashed.withColumn("_r", local), starts, [*by, "_b"])
+        null_safe_join(hashed.withColumn("_r", local), starts, by, plain=["_b"])
         .withColumn(name, F.col("_start") + F.col("_r") - 1)
         .drop("_h", "_b", "_r", "_start")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimsieve.functions.expr import null_safe_join
 from claimsieve.operators.binning import qcut
-from claimsieve.operators.order import average_ranks, positions, quantile_columns
+from claimsieve.operators.order import average_ranks, positions, quantile_columns, quantile_table
 
 
 def _one_row_long(df: DataFrame, measures: list[Column]) -> DataFrame:
@@ -95,11 +95,9 @@ def group_quantile_profile(
     df: DataFrame, by: Sequence[str], col: str, probs: dict[str, float], medians: dict[str, str] | None = None
 ) -> DataFrame:
     """Per group: row count, minimum, maximum, quantiles of ``col`` and medians of further columns."""
-    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("min"), F.max(col).alias("max"))
-    out = null_safe_join(out, quantile_columns(df, col, probs, by), by, "left")
-    for name, other in (medians or {}).items():
-        out = null_safe_join(out, quantile_columns(df, other, {name: 0.5}, by), by, "left")
-    return out
+    basic = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("min"), F.max(col).alias("max"))
+    wanted = {n: (col, p) for n, p in probs.items()} | {n: (c, 0.5) for n, c in (medians or {}).items()}
+    return null_safe_join(basic, quantile_table(df, wanted, by), by, "left")
 
 
 def fitted_line(df: DataFrame, y: str, x: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from claimsieve.functions.expr import as_col, edge_rank, linspace
 from claimsieve.operators.binning import qcut
-from claimsieve.operators.order import quantile_arrays, quantile_columns
+from claimsieve.operators.order import quantile_columns, quantile_table
 from claimsieve.session import materialize
 
 TAUS_LOW = (0.85, 0.86, 0.88, 0.9)
@@ -46,14 +46,12 @@ def node_quantiles(
     """
     binned = materialize(qcut(df.select(payout, excess), payout, k), "rule-bins")
     size = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    middle = quantile_columns(binned, payout, {"node_p": 0.5}, ["bin"])
-    levels = F.array(*[F.lit(float(t)) for t in taus])
-    cells = F.transform(F.arrays_zip(levels.alias("tau"), F.col("qs")), lambda z: F.struct(z["tau"], z["qs"].alias("q")))
+    wanted = {"node_p": (payout, 0.5)} | {f"q{i}": (excess, float(t)) for i, t in enumerate(taus)}
+    cells = F.array(
+        *[F.struct(F.lit(float(t)).alias("tau"), F.col(f"q{i}").alias("q")) for i, t in enumerate(taus)]
+    )
     nodes = (
-        quantile_arrays(binned, excess, taus, ["bin"])
-        .join(size, "bin")
-        .join(middle, "bin")
-        .select("bin", "node_p", "n", F.inline(cells).alias("tau", "q"))
+        quantile_table(binned, wanted, ["bin"]).join(size, "bin").select("bin", "node_p", "n", F.inline(cells))
     )
     return materialize(nodes, "rule-nodes")
 
@@ -387,7 +385,7 @@ def rule_grid(df: DataFrame, grid: DataFrame) -> DataFrame:
 
     ``df`` carries ``payout``, ``excess``, ``decile`` and ``density``; it is read once for all candidates.
     """
-    cells = candidate_cells(df, grid)
+    cells = materialize(candidate_cells(df, grid), "rule-cells")  # at most 1,800 rows, read by three reports
     return (
         grid.join(class_share_columns(cells), "candidate")
         .join(monotone_violations(grid, df), "candidate")
@@ -446,8 +444,5 @@ def class_profile(labelled: DataFrame, payout: str = "payout", excess: str = "ex
         F.count(F.lit(1)).alias("n"), F.max(excess).alias("u_max"), F.avg(payout).alias("p_mean")
     )
     share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))) * 100
-    return (
-        basic.withColumn("pct", share)
-        .join(quantile_columns(labelled, excess, {"u_med": 0.5, "u_q25": 0.25, "u_q75": 0.75}, ["risk_class"]), "risk_class")
-        .join(quantile_columns(labelled, payout, {"p_med": 0.5}, ["risk_class"]), "risk_class")
-    )
+    wanted = {"u_med": (excess, 0.5), "u_q25": (excess, 0.25), "u_q75": (excess, 0.75), "p_med": (payout, 0.5)}
+    return basic.withColumn("pct", share).join(quantile_table(labelled, wanted, ["risk_class"]), "risk_class")
