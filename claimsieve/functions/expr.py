@@ -59,6 +59,15 @@ def edge_rank(edges: Column | str, x: Column | str, max_edges: int, inclusive: b
     )
 
 
+def with_opaque(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column whose defining expression the optimizer cannot see through.
+
+    A bucket number that is later a join key must not be re-derived on the other side of the join: filter inference
+    otherwise copies its expression, with columns that side does not have.
+    """
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def hash_order(key: Column | str | Sequence[str], seed: int) -> Column:
     """A reproducible pseudo-random order that depends only on the key and the seed."""
     parts = [key] if isinstance(key, (str, Column)) else list(key)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimsieve.functions.expr import edge_rank, linspace
+from claimsieve.functions.expr import edge_rank, linspace, with_opaque
 from claimsieve.operators.order import quantile_arrays
 
 
@@ -19,11 +19,8 @@ def quantile_edges(df: DataFrame, col: str, k: int) -> Column:
 
 
 def assign_bin(df: DataFrame, col: str, inner_edges: Column, max_edges: int, name: str) -> DataFrame:
-    return (
-        df.withColumn("_edges", inner_edges)
-        .withColumn(name, F.when(F.col(col).isNotNull(), edge_rank("_edges", col, max_edges)))
-        .drop("_edges")
-    )
+    bin_no = F.when(F.col(col).isNotNull(), edge_rank("_edges", col, max_edges))
+    return with_opaque(df.withColumn("_edges", inner_edges), name, bin_no).drop("_edges")
 
 
 def qcut(df: DataFrame, col: str, k: int, name: str = "bin", source: DataFrame | None = None) -> DataFrame:

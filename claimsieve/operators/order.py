@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimsieve.functions.expr import edge_rank, hash_order, null_safe_join
+from claimsieve.functions.expr import edge_rank, hash_order, null_safe_join, with_opaque
 
 BUCKETS = 1024
 
@@ -30,11 +30,8 @@ def sketch_edges(counts: DataFrame, value: str, buckets: int = BUCKETS) -> Colum
 
 
 def _bucketed(counts: DataFrame, value: str, buckets: int) -> DataFrame:
-    return (
-        counts.withColumn("_edges", sketch_edges(counts, value, buckets))
-        .withColumn("_b", F.coalesce(edge_rank("_edges", value, buckets - 1), F.lit(0)))
-        .drop("_edges")
-    )
+    edged = counts.withColumn("_edges", sketch_edges(counts, value, buckets))
+    return with_opaque(edged, "_b", F.coalesce(edge_rank("_edges", value, buckets - 1), F.lit(0))).drop("_edges")
 
 
 def _group_window(by: Sequence[str]):
@@ -81,6 +78,8 @@ def exact_quantiles(
         )
     )
     within = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not by:
+        targets = F.broadcast(targets)  # at most two buckets per probability
     return (
         null_safe_join(located, targets, by, plain=["_b"])
         .withColumn("_end", F.col("_start") + F.sum("_n").over(within))
