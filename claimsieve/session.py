@@ -62,3 +62,10 @@ def spread(df: DataFrame) -> DataFrame:
     """Give a written table at least one partition per core before a CPU-heavy pass; a large table is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def release(spark: SparkSession) -> bool:
+    """Delete the step tables this application wrote to the shared folder.  Call it once results are stored elsewhere."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/claimsieve/{sc.applicationId}")
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
