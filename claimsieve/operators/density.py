@@ -34,24 +34,24 @@ def reference_points(
     return refs.join(bandwidth(df, by, value).select(by, "h"), by)
 
 
-def _kernel_means(x: np.ndarray, refs: np.ndarray, h: float, rows: int = 256) -> np.ndarray:
-    out = np.empty(len(x))
-    for i in range(0, len(x), rows):
-        z = (x[i : i + rows, None] - refs[None, :]) / h
-        out[i : i + rows] = np.exp(-0.5 * z * z).sum(axis=1)
-    return out / (len(refs) * h * math.sqrt(2 * math.pi))
-
-
 def kernel_density(spark: SparkSession, refs: DataFrame, by: str):
     """Arrow-batched density of a value among the reference points of its group.
 
     The reference table has one row per group (ten deciles or three classes) and at most 4,000 doubles in a row, a size
     fixed by the cap, so it is sent to the executors once.  A fold over the array in the JVM gives the same numbers but
-    is not compiled; it measured 25 times slower per kernel evaluation.
+    is not compiled; it measured five times slower (160 million kernel evaluations: 3.8 s against 0.7 s on 8 cores).
     """
     points = {r[by]: (np.asarray(r["refs"]), r["h"]) for r in refs.select(by, "refs", "h").collect()}
     shared = spark.sparkContext.broadcast(points)
 
+    # Nested, so that the executors get it with the task and need no copy of this package.
+    def kernel_means(x: np.ndarray, reference: np.ndarray, h: float, rows: int = 256) -> np.ndarray:
+        out = np.empty(len(x))
+        for i in range(0, len(x), rows):
+            z = (x[i : i + rows, None] - reference[None, :]) / h
+            out[i : i + rows] = np.exp(-0.5 * z * z).sum(axis=1)
+        return out / (len(reference) * h * math.sqrt(2 * math.pi))
+
     @F.pandas_udf("double")
     def density(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for group, x in batches:
@@ -60,7 +60,7 @@ def kernel_density(spark: SparkSession, refs: DataFrame, by: str):
                 reference, h = shared.value.get(g, (None, None))
                 if h is not None:
                     member = (group == g).to_numpy()
-                    out[member] = _kernel_means(x.to_numpy(dtype=float)[member], reference, h)
+                    out[member] = kernel_means(x.to_numpy(dtype=float)[member], reference, h)
             yield pd.Series(out)
 
     return density
