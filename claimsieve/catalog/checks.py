@@ -54,6 +54,18 @@ sl as (select claim_key, claim_amount, p_hat,
 SCORED_CTES = [SCORE, *LABELLED, SCORED]
 
 
+@register(
+    "fill_template",
+    with_claims(
+        "select claim_key as id, round_even(p_hat * 100, 0) / 100 as payout, "
+        "case risk_class when 0 then '合理诉求' when 1 then '诉求偏高' else '严重超额' end as risk_label from sl",
+        *SCORED_CTES,
+    ),
+)
+def fill_template_query(spark, sf_dir):
+    return filled_result(spark, sf_dir)[0].select("id", "payout", "risk_label")
+
+
 def _verdict(name: str, ok: str, detail: str, src: str) -> str:
     return f"select '{name}' as check_id, case when {ok} then 'PASS' else 'FAIL' end as status, cast({detail} as varchar) as detail from {src}"
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from claimsieve.catalog.common import hist, score
+from claimsieve.catalog.common import hist
 from claimsieve.catalog.registry import register
-from claimsieve.catalog.sqltext import SCORE, with_claims
-from claimsieve.operators.order import quantile_scalar
+from claimsieve.catalog.sqltext import with_claims
 from claimsieve.session import scratch_path
 from claimsieve.sources import files
 from claimsieve.sources.claims import order_claims
@@ -58,32 +57,6 @@ def write_tables(spark, sf_dir):
     return out
 
 
-@register(
-    "fill_template",
-    with_claims(
-        """select claim_key as id, round_even(greatest(claim_amount - g, 0) * 100, 0) / 100 as payout,
-  case when claim_amount - greatest(claim_amount - g, 0) <= 3000 then '合理诉求'
-       when claim_amount - greatest(claim_amount - g, 0) <= greatest(claim_amount - g, 0) then '诉求偏高'
-       else '严重超额' end as risk_label
-from score, (select median(excess) as g from hist)""",
-        SCORE,
-    ),
-)
-def fill_template(spark, sf_dir):
-    target = score(spark, sf_dir)
-    gap = quantile_scalar(hist(spark, sf_dir), "excess")
-    predictions = (
-        target.select(F.col("claim_key").alias("id"), "claim_amount")
-        .withColumn("_g", gap)
-        .withColumn("payout_hat", F.greatest(F.col("claim_amount") - F.col("_g"), F.lit(0.0)))
-        .withColumn("u_hat", F.col("claim_amount") - F.col("payout_hat"))
-        .withColumn(
-            "risk_class", F.when(F.col("u_hat") <= 3000, 0).when(F.col("u_hat") <= F.col("payout_hat"), 1).otherwise(2)
-        )
-    )
-    return files.fill_template(target.select(F.col("claim_key").alias("id")), predictions)
-
-
 @register(
     "preview",
     with_claims("select claim_key, route_type, claim_amount, payout from hist order by claim_key limit 30"),
