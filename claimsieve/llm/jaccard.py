@@ -4,18 +4,19 @@ If two sets are similar enough, they share a token among the first ``n - ceil(t
 order the tokens are put in; with ``l`` more tokens they share ``l + 1``.  So the filters of different orders can be
 intersected and no link is lost.
 
-1. One scan gives every document its set size, a 128-bit digest of its set and the first fifth or so of its tokens in
+1. One scan gives every document its set size, a 128-bit digest of its set and the first quarter or so of its tokens in
    hash order.  Equal sets become one class.  A class stays if enough of those tokens are shared with another class; of
    a usual corpus only near copies and their like remain.
-2. For the classes that stay, prefixes are taken under three orders.  The orders differ in their hash; tokens found
-   often in step 1 come last in all of them (a bounded list: any list gives valid orders, a good one small buckets).
-3. The first order's prefix tokens are the buckets.  Small buckets give all their pairs.  A large bucket gives the pairs
-   with one pivot; then only pairs between different components are left, first those with further pivots, at last
-   all of them.  A group of thousands of near copies thus costs a few times its size, not its square.
-4. A pair goes on if its sizes fit and the prefixes of the second and third orders meet too; then the exact overlap
-   decides.
+2. For the classes that stay, tokens are counted.  Every order puts the tokens of a single class first; then come rising
+   counts (first order) or one of two hashes.  A class whose prefix has single tokens only has no link.
+3. The first order's prefix tokens are the buckets, and a token's position in it bounds the overlap.  Small buckets give
+   all their pairs.  A large bucket gives the pairs with one pivot, the class with the fewest single tokens; then only
+   pairs between different components are left, first those with further pivots, at last all of them.  A group of
+   thousands of near copies thus costs a few times its size, not its square.
+4. A pair goes on if its sizes and positions fit and the prefixes of the second and third orders meet too; then the
+   exact overlap decides.
 
-Shingles are compared by 64-bit hashes.  Only counts reach the driver, and the bounded list of frequent tokens.
+Shingles are compared by 64-bit hashes.  Only counts reach the driver.
 
 Defined results: null or empty text and text of white space has an empty set and no link; fewer words than the shingle
 length are one shingle; equal rows are one class; null ids are kept and never chosen as a component's id unless all its
@@ -34,15 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimsieve.llm.graph import components
-from claimsieve.llm.words import SPACED, Scan, bounded_batches, chunks, encoded, gram_hashes, mix
+from claimsieve.llm.words import SPACED, Scan, bounded_batches, chunks, encoded, gram_hashes
 from claimsieve.session import materialize
 
 SMALL_BUCKET = 16
-FREQUENT = 100_000
-FREQUENT_FROM = 64
-PIVOT_ROUNDS = 6
+LOOSE = 10  # a tenth of a set is added to the prefix of the first step
+PIVOT_ROUNDS = 2
 LINEAR = 8
-_ORDERS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
 def _token_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -58,18 +57,8 @@ def _least_overlap(n, percent: int):
     return -(-n * percent // 100)
 
 
-def _prefix(tokens: np.ndarray, size: int, order: int, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """First ``size`` tokens when frequent ones come last, by rising level, and hashes decide within a level."""
-    key = mix(tokens ^ np.uint64(order)) if order else tokens
-    rank = np.zeros(len(tokens), dtype=np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        rank = np.where(frequent[at] == tokens, level[at], 0)
-    return tokens[np.lexsort((key, rank))[:size]]
-
-
 def _scan(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``doc_id, n, d1, d2, size, need, first``: the class digest, and the hash-order prefix with the share of it that must be shared."""
+    """``doc_id, n, d1, d2, need, first``: the class digest, and the hash-order prefix with the share of it that must be shared."""
     names = ["doc_id", "n", "d1", "d2", "need", "first"]
     long = T.LongType()
     kinds = [docs.schema["doc_id"].dataType, long, long, long, long, T.ArrayType(long)]
@@ -81,8 +70,8 @@ def _scan(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for tokens in _token_sets(encoded(batch.column(1)), k):
                 n = len(tokens)
                 d1, d2 = np.frombuffer(blake2b(tokens.tobytes(), digest_size=16).digest(), dtype=np.int64).tolist() if n else (None, None)
-                prefix = tokens[: n - _least_overlap(n, percent) + max(1, n // 20)] if n else tokens
-                for column, value in zip(rows, (n, d1, d2, max(1, _least_overlap(n, percent) // 20))):
+                prefix = tokens[: n - _least_overlap(n, percent) + max(1, n // LOOSE)] if n else tokens
+                for column, value in zip(rows, (n, d1, d2, max(1, _least_overlap(n, percent) // LOOSE))):
                     column.append(value)
                 prefixes.append(prefix)
                 at.append(at[-1] + len(prefix))
@@ -94,113 +83,128 @@ def _scan(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("_t")).mapInArrow(read, schema)
 
 
-def _full_sets(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, level: np.ndarray) -> DataFrame:
-    """``d1, d2, n, tokens, p0, p1, p2`` of every row."""
-    names = ["d1", "d2", "n", "tokens", "p0", "p1", "p2"]
-    schema = ", ".join(f"{c} {'bigint' if i < 3 else 'array<bigint>'}" for i, c in enumerate(names))
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((frequent, level))
+def _full_sets(docs: DataFrame, k: int) -> DataFrame:
+    """``d1, d2, n, tokens`` of every row with a set."""
+    names = ["d1", "d2", "n", "tokens"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, level = sent.value
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             for tokens in _token_sets(encoded(batch.column(0)), k):
-                n = len(tokens)
-                if n:
-                    size = n - _least_overlap(n, percent) + 1
+                if len(tokens):
                     d = np.frombuffer(blake2b(tokens.tobytes(), digest_size=16).digest(), dtype=np.int64).tolist()
-                    row = [*d, n, tokens.view(np.int64), *[_prefix(tokens, size, o, frequent, level).view(np.int64) for o in _ORDERS]]
-                    for column, value in zip(columns, row):
+                    for column, value in zip(columns, [*d, len(tokens), tokens.view(np.int64)]):
                         column.append(value)
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.list_(pa.int64()))], names)
+
+    return docs.select("text").mapInArrow(read, "d1 bigint, d2 bigint, n bigint, tokens array<bigint>")
 
-    return docs.select("text").mapInArrow(read, schema)
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``node, n, single, p0, p1, p2``: how many tokens no other class has, and what follows them in each prefix."""
+    each = sets.select("node", "n", F.explode("tokens").alias("token"))
+    shared = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    own = each.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))  # at most one set
+    tokens = F.col("s.token")
+    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    own = own.withColumn("single", F.col("n") - F.size("s")).withColumn("take", (size - F.col("single")).cast("int")).filter("take > 0")
+
+    def by_hash(seed: int) -> F.Column:
+        keyed = F.sort_array(F.transform(tokens, lambda t: F.struct(F.xxhash64(t, F.lit(seed)).alias("h"), t.alias("t"))))
+        return F.transform(F.slice(keyed, F.lit(1), F.col("take")), lambda x: x["t"])
+
+    return own.select("node", "n", "single", F.slice(tokens, F.lit(1), F.col("take")).alias("p0"), by_hash(1).alias("p1"), by_hash(2).alias("p2"))
 
 
 def _ordered(x: F.Column, y: F.Column) -> list[F.Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _may_link(n: F.Column, at: F.Column, m: F.Column, to: F.Column, percent: int) -> F.Column:
+    """Sizes ``n`` and ``m`` with a first common token at positions ``at`` and ``to`` leave room for the wanted overlap."""
+    most = F.least(n - at, m - to)
+    return most * 100 >= (n + m - most) * percent
+
+
+def _verify(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that pass the other orders' filters and then the exact test."""
-    narrow = sets.select("node", "n", "p1", "p2")
+    narrow = prefixes.select("node", "n", "single", "p1", "p2")
     left = narrow.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
     right = narrow.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")
-    kept = pairs.join(left, "a").join(right, "b").filter(fits).select("a", "b", "na", "nb")
+    kept = pairs.join(left, "a").join(right, "b").filter(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("a", "b", "na", "nb")
     full = sets.select("node", "tokens")
     both = kept.join(full.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(full.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.select("a", "b", "na", "nb", common.alias("common")).filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
-def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(members, classes, links)``: the class digest of every row, the classes that may have links (``node``, digest),
-    and links between nodes.  Links within a large group are enough to connect it; not every pair is listed."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    scanned = materialize(_scan(docs, k, percent), "scanned")
-    members = scanned.select("doc_id", "n", "d1", "d2")
-    tokens = scanned.filter("n > 0").select(F.explode("first").alias("token"), "d1").groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.count("*").alias("df"))
-    tokens = materialize(tokens.filter((F.col("lo") == F.col("hi")) | (F.col("df") >= FREQUENT_FROM)), "tokens")
+def _staying(docs: DataFrame, scanned: DataFrame, k: int) -> DataFrame:
+    """``node, d1, d2, n, tokens`` of the classes with enough shared tokens in their hash-order prefix."""
+    tokens = scanned.filter("n > 0").select(F.explode("first").alias("token"), "d1").groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"))
     alone = tokens.filter("lo = hi").groupBy(F.col("lo").alias("d1")).agg(F.count("*").alias("alone"))
-    common = tokens.filter(f"df >= {FREQUENT_FROM} and lo != hi").orderBy(F.desc("df"), "token").limit(FREQUENT).select("token", "df").collect()  # bounded by FREQUENT
-    frequent = np.array([r["token"] for r in common], dtype=np.int64).view(np.uint64)
-    order = np.argsort(frequent)
-    level = 1 + np.log2(np.array([r["df"] for r in common], dtype=np.float64)).astype(np.int64) if common else np.zeros(0, dtype=np.int64)
     classes = scanned.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first(F.size("first")).alias("size"), F.first("need").alias("need"))
     staying = classes.join(alone, "d1", "left").filter(F.col("size") - F.coalesce("alone", F.lit(0)) >= F.col("need"))
     staying = materialize(staying.select("doc_id", "d1", "d2"), "staying")
     wanted = staying.select(F.col("doc_id").alias("_w")).distinct()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
-    sets = _full_sets(texts, k, percent, frequent[order], level[order]).join(staying.select("d1", "d2"), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
-    sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
-
-    index = sets.select("node", F.explode("p0").alias("token"))
-    pivot = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))
-    heads = index.groupBy("token").agg(F.count("*").alias("m"), pivot.alias("p")).filter("m > 1").select("token", "m", F.col("p.node").alias("pivot"))
-    index = materialize(index.join(heads, "token"), "index")
-    few = index.filter(F.col("m") <= SMALL_BUCKET).groupBy("token").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
-    few = few.select("nodes", F.posexplode("nodes").alias("i", "a")).select("a", F.explode(F.slice("nodes", F.col("i") + 2, SMALL_BUCKET)).alias("b"))
+    sets = _full_sets(texts, k).join(staying.select("d1", "d2"), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
+    return materialize(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+
+
+def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(members, classes, links)``: the class digest of every row, the classes with links and the ``root`` of their
+    component, and links between nodes.  Links within a large group are enough to connect it; not every pair is listed."""
+    bounded_batches(docs.sparkSession)
+    scanned = materialize(_scan(docs, k, percent), "scanned")
+    sets = _staying(docs, scanned, k)
+    prefixes = materialize(_prefixes(sets, percent), "prefixes")
+
+    index = prefixes.select("node", "n", "single", F.posexplode("p0").alias("at", "token")).withColumn("at", F.col("single") + F.col("at"))
+    pivot = F.min(F.struct("single", F.xxhash64("node").alias("h"), "node", "n", "at"))
+    heads = index.groupBy("token").agg(F.count("*").alias("m"), pivot.alias("pivot")).filter("m > 1")
+    index = materialize(index.drop("single").join(heads, "token"), "index")
+    entry = F.struct("node", "n", "at")
+    few = index.filter(F.col("m") <= SMALL_BUCKET).groupBy("token").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    few = few.select("e", F.posexplode("e").alias("i", "x")).select("x", F.explode(F.slice("e", F.col("i") + 2, SMALL_BUCKET)).alias("y"))
+    few = few.filter(_may_link(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     many = index.filter(F.col("m") > SMALL_BUCKET)
-    stars = many.filter("node != pivot").select(*_ordered(F.col("pivot"), F.col("node")))
-    done = materialize(few.union(stars).distinct(), "pairs")
-    links = materialize(_verify(done, sets, percent), "links")
-
-    many = materialize(many.select("token", "node"), "large")
-    if many.isEmpty():
-        return members, sets.select("node", "d1", "d2"), links
-    for turn in range(PIVOT_ROUNDS + 1):
-        roots = components(links)
+    stars = many.filter(F.col("node") != F.col("pivot.node")).filter(_may_link(F.col("n"), F.col("at"), F.col("pivot.n"), F.col("pivot.at"), percent))
+    done = materialize(few.union(stars.select(*_ordered(F.col("pivot.node"), F.col("node")))).distinct(), "pairs")
+    links = materialize(_verify(done, prefixes, sets, percent), "links")
+
+    many = materialize(many.select("token", "node", "n", "at"), "large")
+    rows, roots = many.count(), components(links)
+    for turn in range(PIVOT_ROUNDS + 1) if rows else ():
         placed = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = placed.groupBy("token", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("one"))
-        whole = parts.groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
-        open_ = materialize(placed.join(whole.select("token", "m", F.col("top.root").alias("main")), "token"), "open")
-        # pairs between a row outside its bucket's main component and any row of another component
-        minor = open_.filter("root != main").select("token", F.col("node").alias("x"), F.col("root").alias("rx"))
-        weight = open_.filter("root != main").agg(F.sum("m")).first()[0] or 0
-        if weight == 0:
+        parts = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
+        whole = parts.groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+        placed = materialize(placed.join(whole.select("token", "m", "main"), "token"), "open")
+        # what is left: a row outside its bucket's main component with a row of any other component
+        minor = placed.filter("root != main")
+        weight = minor.agg(F.sum("m")).first()[0] or 0
+        if not weight:
             break
-        last = turn == PIVOT_ROUNDS or weight <= LINEAR * many.count()
-        if not last:
-            one = minor.groupBy("token").agg(F.min(F.struct(F.xxhash64("x", F.lit(turn)).alias("h"), "x", "rx")).alias("s")).select("token", F.col("s.x").alias("x"), F.col("s.rx").alias("rx"))
-        met = open_.join(minor if last else one, "token").filter("root != rx").select(*_ordered(F.col("x"), F.col("node"))).distinct()
-        fresh = materialize(met.join(done, ["a", "b"], "left_anti"), "pairs")
+        last = turn == PIVOT_ROUNDS or weight <= LINEAR * rows
+        ask = minor.select("token", F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "at", "root").alias("x"))
+        ask = ask if last else ask.groupBy("token").agg(F.min("x").alias("x"))
+        met = placed.join(ask, "token").filter((F.col("root") != F.col("x.root")) & _may_link(F.col("n"), F.col("at"), F.col("x.n"), F.col("x.at"), percent))
+        fresh = materialize(met.select(*_ordered(F.col("x.node"), F.col("node"))).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(_verify(fresh, prefixes, sets, percent), "links")
         done = done.union(fresh)
-        links = materialize(links.union(_verify(fresh, sets, percent)), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links)
         if last:
             break
-    return members, sets.select("node", "d1", "d2"), links
+    classes = sets.select("node", "d1", "d2", "n").join(roots, "node").select("d1", "d2", "root")
+    return scanned.select("doc_id", "n", "d1", "d2"), classes, links
 
 
 def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; linked documents share the smallest ``doc_id`` that links reach."""
-    members, classes, links = similar_classes(docs, k, percent)
-    roots = classes.join(components(links), "node").select("d1", "d2", "root")
+    members, classes, _ = similar_classes(docs, k, percent)
     least = members.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
-    least = materialize(least.join(roots, ["d1", "d2"], "left"), "least")
+    least = materialize(least.join(classes, ["d1", "d2"], "left"), "least")
     joint = least.filter("root is not null").groupBy("root").agg(F.min("least").alias("joint"))
     named = least.join(joint, "root", "left").select("d1", "d2", F.coalesce("joint", "least").alias("component_id"))
     empty = members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
