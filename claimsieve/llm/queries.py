@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsieve.llm import decontaminate, jaccard
+from claimsieve.llm import chat, decontaminate, html_crf, jaccard, mixing, pairwise, quality_rules, token_pack, toxicity, warc
+from claimsieve.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,3 +81,93 @@ _OP7 = f"with recursive docs as (select doc_id, text from documents), {_GROUPS}
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 4-word shingle sets are 85 % alike."""
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op1_toxicity_chain")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the labelled categories and of toxicity for every document.
+
+    ``labels`` names two properties; the chain predicts low quality first, then toxicity, which may use it."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.col("toxic").alias("toxic"))
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"])
+
+
+@query("op2_token_pack")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed ids of all documents, written and read back."""
+    import public_tokenizers
+
+    return token_pack.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50_257)
+
+
+_OP3 = r"""
+with m as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select * from (values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) v),
+e as (select *, length(replace(replace(text, '\', '\\'), '<', '\l')) + length(replace(replace(replace(role, '\', '\\'), '<', '\l'), chr(10), '\n')) as n from m)
+select conv_id::bigint as conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(n + length('<|turn ' || '|>' || '<|end|>') + 2)::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
+@query("op3_chat_format", _OP3)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts look like control strings, formatted, written and read back."""
+    trap = "\\### Assistant: </turn> ok"
+    given = table(spark, sf_dir, "conversations")
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role")))).alias("m"))
+    extra = extra.select("conv_id", "m.turn", "m.role", F.lit(trap).alias("text"))
+    out = materialize(chat.format_conversations(given.select("conv_id", "turn", "role", "text").unionByName(extra)), "chat")
+    turns = F.concat_ws("", F.transform(chat.parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["body"], F.lit("\n"))))
+    back = out.select("conv_id", "formatted", turns.alias("turns"), F.size(chat.parse(F.col("formatted"))).cast("long").alias("n_turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    return back.select(
+        "conv_id", "n_turns", F.sha2(F.col("turns").cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the field trained on this table's sample."""
+    pages = table(spark, sf_dir, "pages")
+    return html_crf.extract_pages(pages, html_crf.fit_field(pages))
+
+
+@query("op6_quality_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, base check and the verdict of the learned list for every document."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bradley-Terry scores of every document, learned outside the held-out third."""
+    return pairwise.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
+@query("op9_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling rate and draw of every document for the source, language and topic targets."""
+    docs = table(spark, sf_dir, "documents").withColumn("topic", mixing.form_topic())
+    tokens = F.length(F.coalesce("text", F.lit("")))
+    targets = {"source": mixing.source_targets(docs, tokens)} | mixing.TARGETS
+    return mixing.mix(docs, targets, tokens).select("doc_id", "source", "lang", "topic", F.round("sample_rate", 9).alias("sample_rate"), "copies")
+
+
+_OP10 = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, octet_length(encode(h))::bigint as payload_bytes, sha1(h) as x, first_value(page_id) over (partition by h order by page_id) as f from p),
+b as (select *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + (('0x' || substr(x, (i // 4) * 5 + 1, 5))::bigint // (32 ** (3 - i % 4))::bigint) % 32, 1)), '') as payload_digest from d)
+select page_id, payload_bytes, payload_digest, case when f = page_id then 'response' else 'revisit' end as record_type,
+       case when f <> page_id then f end as refers_to from b
+"""
+
+
+@query("op10_warc", _OP10)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back through the index."""
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
