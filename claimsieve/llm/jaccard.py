@@ -42,6 +42,8 @@ SMALL_BUCKET = 16
 LOOSE = 10  # a tenth of a set is added to the prefix of the first step
 PIVOT_ROUNDS = 2
 LINEAR = 8
+FILTER_BITS = 1 << 25  # 4 MB, sent to every task
+FEW_PAIRS = 50_000
 
 
 def _token_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -83,28 +85,52 @@ def _scan(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("_t")).mapInArrow(read, schema)
 
 
-def _full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``d1, d2, n, tokens`` of every row with a set."""
+def _bitmap(ids: DataFrame, column: str) -> dict[int, bytes]:
+    """Set bits at the hashes of a column, in pages of 32,768 bits; at most ``FILTER_BITS`` bits reach the driver."""
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1  # positions are counted from 1
+    pages = ids.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+    return {r["page"]: bytes(r["bits"]) for r in pages.collect()}
+
+
+def _full_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """``d1, d2, n, tokens`` of the rows whose ``doc_id`` is wanted, and of few others.
+
+    A bounded bitmap of the wanted ids lets the scan pass over the other texts, so that no text is shuffled; where the
+    ids are too many for it, the texts are joined with them instead."""
     names = ["d1", "d2", "n", "tokens"]
+    texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("_b"), "doc_id", F.col("text").cast("string").alias("text"))
+    bits: dict[int, bytes] = {}
+    if wanted.count() <= FILTER_BITS // 8:
+        bits = _bitmap(wanted, "_w")
+    else:
+        texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages = {p: np.unpackbits(np.frombuffer(b, dtype=np.uint8), bitorder="little") for p, b in sent.value.items()}
         for batch in batches:
+            if pages:
+                at = batch.column(0).to_numpy()
+                keep = [int(x) // 32768 + 1 in pages and pages[int(x) // 32768 + 1][int(x) % 32768] == 1 for x in at]
+                batch = batch.filter(pa.array(keep, pa.bool_()))
             columns: list[list] = [[] for _ in names]
-            for tokens in _token_sets(encoded(batch.column(0)), k):
+            for tokens in _token_sets(encoded(batch.column(1)), k):
                 if len(tokens):
                     d = np.frombuffer(blake2b(tokens.tobytes(), digest_size=16).digest(), dtype=np.int64).tolist()
                     for column, value in zip(columns, [*d, len(tokens), tokens.view(np.int64)]):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.list_(pa.int64()))], names)
 
-    return docs.select("text").mapInArrow(read, "d1 bigint, d2 bigint, n bigint, tokens array<bigint>")
+    return texts.select("_b", "text").mapInArrow(read, "d1 bigint, d2 bigint, n bigint, tokens array<bigint>")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``node, n, single, p0, p1, p2``: how many tokens no other class has, and what follows them in each prefix."""
-    each = sets.select("node", "n", F.explode("tokens").alias("token"))
+    """``node, n, single, common, p0, p1, p2``: how many tokens no other class has, the others, and those of them that are
+    in each prefix."""
+    each = sets.select("node", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    own = each.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))  # at most one set
+    own = each.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))  # at most one set
+    own = own.join(sets.select("node", "n"), "node")
     tokens = F.col("s.token")
     size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     own = own.withColumn("single", F.col("n") - F.size("s")).withColumn("take", (size - F.col("single")).cast("int")).filter("take > 0")
@@ -113,7 +139,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
         keyed = F.sort_array(F.transform(tokens, lambda t: F.struct(F.xxhash64(t, F.lit(seed)).alias("h"), t.alias("t"))))
         return F.transform(F.slice(keyed, F.lit(1), F.col("take")), lambda x: x["t"])
 
-    return own.select("node", "n", "single", F.slice(tokens, F.lit(1), F.col("take")).alias("p0"), by_hash(1).alias("p1"), by_hash(2).alias("p2"))
+    return own.select("node", "n", "single", tokens.alias("common"), F.slice(tokens, F.lit(1), F.col("take")).alias("p0"), by_hash(1).alias("p1"), by_hash(2).alias("p2"))
 
 
 def _ordered(x: F.Column, y: F.Column) -> list[F.Column]:
@@ -126,14 +152,16 @@ def _may_link(n: F.Column, at: F.Column, m: F.Column, to: F.Column, percent: int
     return most * 100 >= (n + m - most) * percent
 
 
-def _verify(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs that pass the other orders' filters and then the exact test."""
-    narrow = prefixes.select("node", "n", "single", "p1", "p2")
+    narrow = prefixes.select("node", "n", "p1", "p2")
     left = narrow.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
     right = narrow.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
     kept = pairs.join(left, "a").join(right, "b").filter(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("a", "b", "na", "nb")
-    full = sets.select("node", "tokens")
-    both = kept.join(full.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(full.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+    kept = materialize(kept, "candidates")
+    near = F.broadcast(kept) if kept.count() <= FEW_PAIRS else kept  # four numbers each
+    full = prefixes.select("node", "common")
+    both = near.join(full.select(F.col("node").alias("a"), F.col("common").alias("ta")), "a").join(full.select(F.col("node").alias("b"), F.col("common").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.select("a", "b", "na", "nb", common.alias("common")).filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
@@ -146,8 +174,7 @@ def _staying(docs: DataFrame, scanned: DataFrame, k: int) -> DataFrame:
     staying = classes.join(alone, "d1", "left").filter(F.col("size") - F.coalesce("alone", F.lit(0)) >= F.col("need"))
     staying = materialize(staying.select("doc_id", "d1", "d2"), "staying")
     wanted = staying.select(F.col("doc_id").alias("_w")).distinct()
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
-    sets = _full_sets(texts, k).join(staying.select("d1", "d2"), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
+    sets = _full_sets(docs, k, wanted).join(staying.select("d1", "d2"), ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
     return materialize(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
 
 
@@ -170,7 +197,7 @@ def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[Dat
     many = index.filter(F.col("m") > SMALL_BUCKET)
     stars = many.filter(F.col("node") != F.col("pivot.node")).filter(_may_link(F.col("n"), F.col("at"), F.col("pivot.n"), F.col("pivot.at"), percent))
     done = materialize(few.union(stars.select(*_ordered(F.col("pivot.node"), F.col("node")))).distinct(), "pairs")
-    links = materialize(_verify(done, prefixes, sets, percent), "links")
+    links = materialize(_verify(done, prefixes, percent), "links")
 
     many = materialize(many.select("token", "node", "n", "at"), "large")
     rows, roots = many.count(), components(links)
@@ -189,7 +216,7 @@ def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[Dat
         ask = ask if last else ask.groupBy("token").agg(F.min("x").alias("x"))
         met = placed.join(ask, "token").filter((F.col("root") != F.col("x.root")) & _may_link(F.col("n"), F.col("at"), F.col("x.n"), F.col("x.at"), percent))
         fresh = materialize(met.select(*_ordered(F.col("x.node"), F.col("node"))).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        more = materialize(_verify(fresh, prefixes, sets, percent), "links")
+        more = materialize(_verify(fresh, prefixes, percent), "links")
         done = done.union(fresh)
         if not more.isEmpty():
             links = links.union(more)
