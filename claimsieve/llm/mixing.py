@@ -90,14 +90,13 @@ def sampling_rates(docs: DataFrame, targets: dict[str, dict[str, float]], tokens
     dims = list(targets)
     cells = materialize(cells_of(docs, dims, tokens), "cells")
     fitted = rake(cells, targets).select(*[F.col(d).alias(f"_{d}") for d in dims], (F.col("w") / F.col("tokens")).alias("r"))
-    top = fitted.agg(F.max("r").alias("top"))
-    scaled = fitted.crossJoin(F.broadcast(top))  # one row
+    top = fitted.agg(F.max("r")).first()[0] or 1.0
+    scaled = fitted.withColumn("rate", F.col("r") / F.lit(float(top)) * most)
     same = [F.col(d) == F.col(f"_{d}") for d in dims]
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
-    rate = F.coalesce(F.col("r") / F.col("top") * most, F.lit(float(most)))
-    return cells.join(scaled, cond, "left").select(*dims, rate.alias("rate"))
+    return cells.join(scaled, cond, "left").select(*dims, F.coalesce("rate", F.lit(float(most))).alias("rate"))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]], tokens: F.Column, most: float = 1.0, seed: int = 2025, id_col: str = "doc_id") -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from claimsieve.llm.files import AtomicFile, open_store, read_range
 from claimsieve.llm.words import bounded_batches, span_hashes
@@ -217,7 +218,7 @@ class WordEncoder:
     def _starts(self, chars: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Marks the first character of every word of the splitter."""
         start = np.ones(len(chars), dtype=bool)
-        start[1:] = kind[1:] != kind[:-1]
+        start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _EDGE)
         # white space before a word: its last character is a word of its own, or, if it is a blank, part of that word
         after = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & (kind[1:] != _EDGE))
         start[after] = True
@@ -314,10 +315,9 @@ def write_packed(docs: DataFrame, tokenizer: str, folder: str, vocabulary: int,
 def read_packed(spark: SparkSession, packs: DataFrame) -> DataFrame:
     """One row per document from the files: ``doc_id, start`` (ids of all documents before it), ``n_tokens, ids_crc32``."""
     kind = packs.schema["doc_ids"].dataType.elementType
-    before = packs.select("part", "n_tokens")
-    # totals of files, of which there are as many as tasks wrote
-    earlier = before.alias("x").join(before.alias("y"), F.col("y.part") < F.col("x.part")).groupBy(F.col("x.part").alias("part")).agg(F.sum("y.n_tokens").alias("base"))
-    located = packs.join(earlier, "part", "left").select("file", F.coalesce("base", F.lit(0)).alias("base"), "doc_ids")
+    # two numbers for each file, of which there are as many as tasks wrote
+    before = packs.select("part", F.sum("n_tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("base"))
+    located = packs.join(before, "part").select("file", F.coalesce("base", F.lit(0)).alias("base"), "doc_ids")
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32")]])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
