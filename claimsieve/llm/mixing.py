@@ -105,6 +105,9 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], tokens: F.Column,
     rates = sampling_rates(docs, targets, tokens, most)
     keyed = docs.select("*", *[key_of(d).alias(f"_key_{i}") for i, d in enumerate(dims)])
     named = rates.select(*[F.col(d).alias(f"_key_{i}") for i, d in enumerate(dims)], F.col("rate").alias("sample_rate"))
+    named = materialize(named, "rates")
+    if named.count() <= CELLS_A_TASK:
+        named = F.broadcast(named)  # a few strings and a number each
     out = keyed.join(named, [f"_key_{i}" for i in range(len(dims))])
     copies = F.floor("sample_rate") + (unit(seed, id_col) < F.col("sample_rate") - F.floor("sample_rate")).cast("long")
     return out.drop(*[f"_key_{i}" for i in range(len(dims))]).withColumn("copies", copies.cast("long"))

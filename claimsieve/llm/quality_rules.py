@@ -121,12 +121,15 @@ def learn_list(x: np.ndarray, good: np.ndarray, names: list[str], min_precision:
     return out
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, where: F.Column | None = None, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Ratios and label of at most ``rows`` labelled documents, those with the smallest hash of ``doc_id``."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where: F.Column | None = None, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Ratios and label of at most ``rows`` labelled documents, those with the smallest hash of ``doc_id``.  Their ids are
+    broadcast (the bound is ``rows``), so only their texts are counted and no text is shuffled."""
     named = ratios()
     known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).dropna().filter(where if where is not None else F.lit(True))
-    known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = stats.join(known, "doc_id").select("doc_id", "_label", *[c.alias(k) for k, c in named.items()]).orderBy("doc_id").toPandas()  # bounded by rows
+    known = materialize(known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels")
+    texts = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    stats = text_stats(texts, ["doc_id"]).join(F.broadcast(known), "doc_id")
+    got = stats.select("doc_id", "_label", *[c.alias(k) for k, c in named.items()]).orderBy("doc_id", *named).toPandas()  # bounded by rows
     return got[list(named)].to_numpy(dtype=np.float64), got["_label"].to_numpy() == 1, list(named)
 
 
@@ -137,8 +140,15 @@ def base_failed() -> F.Column:
 def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, label: str = "quality", rows: int = SAMPLE_ROWS) -> tuple[DataFrame, DecisionList]:
     """``keep`` columns (default ``doc_id``) with the base counts, ``base_failed`` and ``kept``; and the learned list."""
     keep = keep or ["doc_id"]
-    stats = materialize(text_stats(docs, keep), "stats")
-    x, good, names = labelled_sample(stats, labels, label, rows=rows)
-    rules = learn_list(x, good, names)
-    wide = stats.select(*keep, *BASE, *[c.alias(k) for k, c in ratios().items()])
+    rules = learn_list(*labelled_sample(docs, labels, label, rows=rows))
+    wide = text_stats(docs, keep).select(*keep, *BASE, *[c.alias(k) for k, c in ratios().items()])
     return wide.select(*keep, *BASE, base_failed().alias("base_failed"), (~base_failed() & rules.verdict()).alias("kept")), rules
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Rows of ``docs`` that are kept, with all their columns, in one pass without a join."""
+    rules = learn_list(*labelled_sample(docs, labels, label, rows=rows))
+    keys = [f"_column_{i}" for i in range(len(docs.columns))]  # names of the table may be those of statistics
+    plain = docs.toDF(*keys)
+    wide = text_stats(plain, keys, keys[docs.columns.index("text")]).select(*keys, *BASE, *[c.alias(k) for k, c in ratios().items()])
+    return wide.filter(~base_failed() & rules.verdict()).select(*[F.col(k).alias(c) for k, c in zip(keys, docs.columns)])
