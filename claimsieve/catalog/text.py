@@ -83,7 +83,7 @@ nb as (select *, coalesce(starts_with(lag(x) over w, '|'), false) or coalesce(st
   from ln window w as (partition by doc_id order by line_no)),
 kinds as (select doc_id, line_no, x, case when x = '' then 'blank' when regexp_full_match(x, '-{3,}|_{3,}|\*{3,}') then 'rule'
   when starts_with(x, '|') and near then 'table' when regexp_matches(x, '^#{1,4}\s+') then 'heading'
-  when regexp_matches(x, '^[-*]\s+') then 'bullet' when regexp_matches(x, '^\d{1,2}[.．]\s+') and line_no > 20 then 'ordered'
+  when regexp_matches(x, '^[-*]\s+') then 'bullet' when regexp_matches(x, '^\d{1,2}[.．]\s+') then 'ordered'
   else 'paragraph' end as kind from nb),
 blocks as (select doc_id, cast(line_no as int) as line_no, kind,
   case when kind = 'heading' then cast(length(regexp_extract(x, '^(#+)', 1)) as int) end as level,

@@ -34,26 +34,21 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def edge_rank(edges: Column | str, x: Column | str, max_edges: int, inclusive: bool = False) -> Column:
+def edge_rank(edges: Column | str, x: Column | str, max_edges: int | None = None, inclusive: bool = False) -> Column:
     """How many entries of a sorted array are smaller than ``x`` (or equal, if ``inclusive``), by binary search.
 
     With the inner quantile edges as the array this is the bin number of right-closed bins whose lowest bin
-    includes its lower end.
+    includes its lower end.  Without ``max_edges`` arrays of
+    up to 2**25 - 1 entries are searched; a step beyond the end of an array finds nothing there and isn't taken.
     """
     edges, x = as_col(edges), as_col(x)
 
     def below(e: Column) -> Column:
         return e <= x if inclusive else e < x
 
-    top = 1
-    while top * 2 <= max_edges:
-        top *= 2
-    steps = []
-    while top:
-        steps.append(F.lit(top))
-        top //= 2
+    steps = F.array(*[F.lit(2**k) for k in range(24, -1, -1) if max_edges is None or 2**k <= max(max_edges, 1)])
     return F.aggregate(
-        F.array(*steps),
+        steps,
         F.lit(0),
         lambda pos, step: F.when(below(F.get(edges, pos + step - 1)), pos + step).otherwise(pos),
     )

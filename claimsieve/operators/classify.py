@@ -54,13 +54,14 @@ def oversample(
 
 
 def prior_correct(df: DataFrame, priors: Column, w: float, probability: str = "probability") -> DataFrame:
-    """Divide class probabilities by ``prior ** w``, renormalise, and take the first maximum."""
-    raw = F.zip_with(probability, "_priors", lambda p, prior: p / F.pow(prior, F.lit(float(w))))
+    """Divide class probabilities by ``prior ** w``, renormalise, and take the first maximum.  A class without a prior was
+    never seen in training, so it scores 0; if that leaves nothing, the probabilities stay as they are."""
+    raw = F.zip_with(probability, "_priors", lambda p, prior: F.coalesce(F.try_divide(p, F.pow(prior, F.lit(float(w)))), F.lit(0.0)))
     total = F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x)
     return (
         df.withColumn("_priors", priors)
         .withColumn("_raw", raw)
-        .withColumn("corrected", F.transform("_raw", lambda x: x / total))
+        .withColumn("corrected", F.when(total > 0, F.transform("_raw", lambda x: F.try_divide(x, total))).otherwise(F.col(probability)))
         .withColumn("predicted", argmax("corrected"))
         .drop("_priors", "_raw")
     )

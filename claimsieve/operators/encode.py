@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimsieve.functions.expr import null_safe_join
+from claimsieve.session import materialize
 
 PAIR_SEPARATOR = "_"
 
@@ -26,8 +27,15 @@ def _long(df: DataFrame, keys: dict[str, Sequence[str]]) -> DataFrame:
 
 
 def key_text(cols: Sequence[str]):
-    """A key as text; several columns are joined with an underscore."""
-    return F.concat_ws(PAIR_SEPARATOR, *cols) if len(cols) > 1 else F.col(cols[0]).cast("string")
+    """A key as text.  Several columns are joined with an underscore; backslashes and underscores inside a value get a
+    backslash, so different values never make one key, and a null in any column makes a null key."""
+    if len(cols) == 1:
+        return F.col(cols[0]).cast("string")
+    parts = [F.regexp_replace(F.col(c).cast("string"), r"([\\_])", r"\\$1") for c in cols]
+    joined = [parts[0]]
+    for p in parts[1:]:
+        joined += [F.lit(PAIR_SEPARATOR), p]
+    return F.concat(*joined)
 
 
 def key_counts(df: DataFrame, keys: dict[str, Sequence[str]]) -> DataFrame:
@@ -40,14 +48,16 @@ def key_counts(df: DataFrame, keys: dict[str, Sequence[str]]) -> DataFrame:
 def fit_frequencies(
     train: DataFrame, score: DataFrame, keys: dict[str, Sequence[str]], scope: str = "union"
 ) -> DataFrame:
-    """Counts over both tables (``scope='union'``) or over the training table alone (``scope='train'``)."""
+    """Counts over both tables (``scope='union'``) or over the training table alone (``scope='train'``).
+
+    The dictionary is written once: looked up by several keys it would otherwise be counted again for each of them."""
     if scope not in ("union", "train"):
         raise ValueError("scope must be 'union' or 'train'")
     cols = sorted({c for group in keys.values() for c in group})
     source = train.select(*cols)
     if scope == "union":
         source = source.unionByName(score.select(*cols))
-    return key_counts(source, keys)
+    return materialize(key_counts(source, keys), "frequencies")
 
 
 def freq_encode(

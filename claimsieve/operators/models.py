@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimsieve.functions.expr import argmax
+from claimsieve.operators.order import exact_quantiles
 from claimsieve.operators.folds import SEED, holdout
 from claimsieve.plans.features import NUMERIC_FEATURES
 from claimsieve.session import materialize, shared_folder
@@ -136,13 +137,13 @@ def _boosting(spark, spec: GbtSpec, max_bins: int, label: str, seed: int) -> GBT
     )
 
 
-def fit_gbt(train: DataFrame, spec: GbtSpec, max_bins: int, y: str = "payout", seed: int = SEED, lad_rounds: int = 8):
+def fit_gbt(train: DataFrame, spec: GbtSpec, max_bins: int, y: str = "payout", seed: int = SEED, lad_rounds: int | None = None):
     """Fit one configuration.  ``l1`` starts from the squared-error model and adds median-leaf rounds."""
     log_target = spec.objective == "log"
     labelled = train.withColumn("_y", F.log1p(y) if log_target else F.col(y))
     base = BoostedModel(_boosting(train.sparkSession, spec, max_bins, "_y", seed).fit(labelled), log_target)
     if spec.objective == "l1":
-        return fit_lad(train, base, spec, max_bins, lad_rounds, y, seed)
+        return fit_lad(train, base, spec, max_bins, spec.trees if lad_rounds is None else lad_rounds, y, seed)
     return base
 
 
@@ -151,7 +152,7 @@ def fit_lad(
 ) -> LadModel:
     """Least-absolute-deviation boosting: a tree on the sign of the residual, then the median residual of each leaf.
 
-    A leaf can hold any number of claims, so its median comes from a bounded sketch.  The running prediction is written
+    A leaf can hold any number of claims; its exact median comes from the distributed order statistics.  The running prediction is written
     to the shared folder every ``cut`` rounds.
     """
     model = LadModel(base, spec.learning_rate)
@@ -172,15 +173,15 @@ def fit_lad(
             tree.transform(state)
             .groupBy("_leaf")
             .agg(
-                F.percentile_approx(residual, 0.5, 10000).alias("median"),
                 F.sum(F.abs(residual)).alias("absolute"),
                 F.count(F.lit(1)).alias("n"),
             )
             .collect()
         )
+        placed = tree.transform(state).select("_leaf", residual.alias("_residual"))
         medians = [0.0] * (1 + int(max(r["_leaf"] for r in leaves)))
-        for r in leaves:
-            medians[int(r["_leaf"])] = r["median"]
+        for r in exact_quantiles(placed, "_residual", [0.5], ["_leaf"]).collect():  # at most 2 ** depth leaves
+            medians[int(r["_leaf"])] = r["q"]
         model.training_mae.append(sum(r["absolute"] for r in leaves) / sum(r["n"] for r in leaves))
         model.rounds.append((tree, medians))
         state = model.step(state, tree, medians, "payout_hat")
@@ -202,7 +203,7 @@ def best_iteration(train: DataFrame, spec: GbtSpec, max_bins: int, y: str = "pay
 
 
 def cross_fit(
-    assembled: DataFrame, spec: GbtSpec, max_bins: int, folds: int, early_stop: bool = False, lad_rounds: int = 8
+    assembled: DataFrame, spec: GbtSpec, max_bins: int, folds: int, early_stop: bool = False, lad_rounds: int | None = None
 ) -> tuple[DataFrame, list[int]]:
     """Out-of-fold predictions: every key is predicted once by a model that did not see it."""
     out, iterations = None, []

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimsieve.functions.expr import as_col, edge_rank, linspace
+from claimsieve.functions.expr import as_col, edge_rank, linspace, nan_to_null
 from claimsieve.operators.binning import qcut
 from claimsieve.operators.order import quantile_columns, quantile_table
 from claimsieve.session import materialize
@@ -170,7 +170,7 @@ def candidates(
 # ---- labels ----------------------------------------------------------------------------------------------------
 
 
-def locate(df: DataFrame, xs: Column, x: str, max_nodes: int = NODES) -> DataFrame:
+def locate(df: DataFrame, xs: Column, x: str) -> DataFrame:
     """Add ``_seg`` and ``_frac``: the segment of ``x`` among sorted nodes and the position in it, clamped to 0..1.
 
     Found once per row and shared by every curve on the same nodes.
@@ -178,7 +178,7 @@ def locate(df: DataFrame, xs: Column, x: str, max_nodes: int = NODES) -> DataFra
     low, high = F.get(xs, F.col("_seg") - 1), F.get(xs, F.col("_seg"))
     inside = F.try_divide(F.col(x) - low, high - low)
     return df.withColumn(
-        "_seg", F.greatest(F.lit(1), F.least(edge_rank(xs, x, max_nodes), F.size(xs) - 1))
+        "_seg", F.greatest(F.lit(1), F.least(edge_rank(xs, x), F.size(xs) - 1))
     ).withColumn("_frac", F.greatest(F.lit(0.0), F.least(F.lit(1.0), inside)))
 
 
@@ -213,15 +213,16 @@ def as_scalar(table: DataFrame) -> Column:
 def apply_rule(
     df: DataFrame, rule: DataFrame, payout: str = "payout", excess: str = "excess", keep_boundaries: bool = False
 ) -> DataFrame:
-    """Add ``risk_class`` (and ``t1``, ``t2``) under a one-row frozen rule; row-local."""
-    ruled = df.withColumn("_rule", as_scalar(rule.select("lower", "upper")))
+    """Add ``risk_class`` (and ``t1``, ``t2``) under a one-row frozen rule; row-local.  A missing or NaN payout or excess has
+    no class."""
+    ruled = df.withColumn("_rule", as_scalar(rule.select("lower", "upper"))).withColumn("_p", nan_to_null(payout))
     out = (
-        locate(ruled, F.col("_rule.lower.xs"), payout)
-        .withColumn("t1", boundary(F.col("_rule.lower"), payout))
-        .withColumn("t2", boundary(F.col("_rule.upper"), payout))
-        .withColumn("risk_class", risk_class(comparable("t1"), comparable("t2"), comparable(excess)))
+        locate(ruled, F.col("_rule.lower.xs"), "_p")
+        .withColumn("t1", F.when(F.col("_p").isNotNull(), boundary(F.col("_rule.lower"), "_p")))
+        .withColumn("t2", F.when(F.col("_p").isNotNull(), boundary(F.col("_rule.upper"), "_p")))
+        .withColumn("risk_class", risk_class(comparable("t1"), comparable("t2"), comparable(nan_to_null(excess))))
     )
-    return out.drop("_rule", "_seg", "_frac", *([] if keep_boundaries else ["t1", "t2"]))
+    return out.drop("_rule", "_p", "_seg", "_frac", *([] if keep_boundaries else ["t1", "t2"]))
 
 
 def linear_rule(df: DataFrame, tau1: float = 0.86, tau2: float = 0.98, k: int = NODES) -> DataFrame:

@@ -47,7 +47,7 @@ def _spec_columns(spec: M.GbtSpec) -> list:
 
 
 def grid_screen(
-    prep: Prepared, grid: Sequence[M.GbtSpec], k: int = 5, keep: int = 3, lad_rounds: int = 8, early_stop: bool = True
+    prep: Prepared, grid: Sequence[M.GbtSpec], k: int = 5, keep: int = 3, lad_rounds: int | None = None, early_stop: bool = True
 ) -> DataFrame:
     """Score every configuration on the first fold and keep the best."""
     data = assembled_folds(prep, k)
@@ -69,7 +69,7 @@ def topk(scores: DataFrame, score: str, k: int = 3) -> DataFrame:
 
 
 def cross_validation(
-    prep: Prepared, configs: Sequence[tuple[int, M.GbtSpec]], k: int = 5, early_stop: bool = True, lad_rounds: int = 8
+    prep: Prepared, configs: Sequence[tuple[int, M.GbtSpec]], k: int = 5, early_stop: bool = True, lad_rounds: int | None = None
 ) -> DataFrame:
     """Fold means and pooled out-of-fold metrics of each configuration, best first."""
     data = assembled_folds(prep, k)
@@ -96,7 +96,7 @@ def cross_validation(
     return materialize(out, "cv").orderBy("oof_mae", "config")
 
 
-def holdout_check(prep: Prepared, spec: M.GbtSpec, frac: float = 0.2, lad_rounds: int = 8) -> DataFrame:
+def holdout_check(prep: Prepared, spec: M.GbtSpec, frac: float = 0.2, lad_rounds: int | None = None) -> DataFrame:
     data = materialize(prep.space.assemble(holdout(prep.train, frac=frac).withColumnRenamed("is_holdout", "fold")), "holdout")
     model = M.fit_gbt(data.where("fold = 0"), spec, prep.space.max_bins, lad_rounds=lad_rounds)
     return regression_metrics(model.predict(data.where("fold = 1")))
@@ -157,7 +157,7 @@ def scheme_report(predictions: DataFrame) -> DataFrame:
     return N.fold_summary(predictions, by=keys).join(pooled, keys)
 
 
-def route_comparison(prep: Prepared, spec: M.GbtSpec, scheme: Scheme, k: int = 5, lad_rounds: int = 8, **forest) -> DataFrame:
+def route_comparison(prep: Prepared, spec: M.GbtSpec, scheme: Scheme, k: int = 5, lad_rounds: int | None = None, **forest) -> DataFrame:
     """Direct classification and regression-then-rule on the same stratified folds."""
     data = assembled_folds(prep, k, stratified=True)
     direct = scheme_predictions(prep, [scheme], k, data, **forest).select(
@@ -170,7 +170,7 @@ def route_comparison(prep: Prepared, spec: M.GbtSpec, scheme: Scheme, k: int = 5
     return N.class_metrics(direct.unionByName(via_rule), by=["route"])
 
 
-def predict_payout(prep: Prepared, spec: M.GbtSpec, lad_rounds: int = 8) -> DataFrame:
+def predict_payout(prep: Prepared, spec: M.GbtSpec, lad_rounds: int | None = None) -> DataFrame:
     """Refit on all of history and score the new claims, clamped at 0."""
     model = M.fit_gbt(materialize(prep.space.assemble(prep.train), "train"), spec, prep.space.max_bins, lad_rounds=lad_rounds)
     scored = model.predict(prep.space.assemble(prep.score))
@@ -178,7 +178,7 @@ def predict_payout(prep: Prepared, spec: M.GbtSpec, lad_rounds: int = 8) -> Data
 
 
 def prediction_table(
-    prep: Prepared, spec: M.GbtSpec, ratios: tuple[float, float] = (0.5, 0.5), lad_rounds: int = 8, **forest
+    prep: Prepared, spec: M.GbtSpec, ratios: tuple[float, float] = (0.5, 0.5), lad_rounds: int | None = None, **forest
 ) -> DataFrame:
     """Per new claim: predicted payout, direct class (route A), class by the rule (route B), claimed amount."""
     payout = materialize(predict_payout(prep, spec, lad_rounds), "payouts")
@@ -226,7 +226,7 @@ ABLATION_GROUPS = {
 }
 
 
-def ablation(prep: Prepared, spec: M.GbtSpec, groups=None, k: int = 5, lad_rounds: int = 8) -> DataFrame:
+def ablation(prep: Prepared, spec: M.GbtSpec, groups=None, k: int = 5, lad_rounds: int | None = None) -> DataFrame:
     """Mean and deviation of the fold MAE for each feature group."""
     out = None
     for name, (numeric, categorical) in (groups or ABLATION_GROUPS).items():
