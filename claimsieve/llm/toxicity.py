@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from claimsieve.llm.words import ALNUM, Scan, bounded_batches, chunks, encoded, span_hashes
 from claimsieve.session import materialize
 
-SAMPLE_ROWS = 20_000
-FEATURES = 4_096
+SAMPLE_ROWS = 10_000
+FEATURES = 2_048
 MIN_ROWS = 4
 FOLDS = 3
 STEM = 5
@@ -176,13 +176,14 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], rows: i
     best = counts.orderBy(F.desc(F.greatest(*[differs(c) for c in categories], F.lit(0.0))), "f").limit(features)
     chosen = np.sort(np.array([r["f"] for r in best.select("f").collect()], dtype=np.int64).view(np.uint64))  # bounded by features
     wanted = F.array(*[F.lit(int(x)) for x in chosen.view(np.int64)])
-    got = found.select("doc_id", *categories, F.array_intersect("features", wanted).alias("f")).orderBy("doc_id").toPandas()  # bounded by rows x features
-    lens = got["f"].map(len).to_numpy()
-    row = np.repeat(np.arange(len(got)), lens)
-    flat = np.concatenate(got["f"].to_list()).astype(np.int64).view(np.uint64) if len(row) else np.zeros(0, dtype=np.uint64)
-    col = np.searchsorted(chosen, flat)
+    got = found.select("doc_id", *categories, F.array_intersect("features", wanted).alias("f")).orderBy("doc_id").toArrow()  # bounded by rows x features
+    lists = got.column("f").combine_chunks()
+    lens = lists.value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(got), dtype=np.int32), lens)
+    col = np.searchsorted(chosen, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)).astype(np.int32)
+    y = np.stack([got.column(c).to_numpy() for c in categories], axis=1)
     fold = (np.arange(len(got)) * 2654435761 % 4294967296) % FOLDS
-    return train_chain(row, col, got[categories].to_numpy(), fold, chosen, categories)
+    return train_chain(row, col, y, fold, chosen, categories)
 
 
 def predict_chain(docs: DataFrame, chain: Chain) -> DataFrame:
