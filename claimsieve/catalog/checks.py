@@ -310,8 +310,7 @@ def boundary_curve(spark, sf_dir):
 from bw b join refs using (risk_class), generate_series(0, 599) g(i) group by b.risk_class, i""",
         *LABELLED,
         "bw as (select risk_class, 0.9 * stddev_samp(excess) * pow(count(*), -0.2) as h from labelled group by risk_class)",
-        f"refs as (select risk_class, excess as r from (select *, row_number() over (partition by risk_class order by {ORDER}) as rn "
-        "from labelled) where rn <= 4000)",
+        "refs as (select risk_class, excess as r from labelled)",
     ),
 )
 def kde_curve(spark, sf_dir):

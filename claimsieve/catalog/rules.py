@@ -69,8 +69,7 @@ lab as (select cast(c.candidate as int) as candidate, lo.claim_key, case when fl
 DENSITY = """
 bw as (select decile, count(*) as n, stddev_samp(excess) as sd, 0.9 * stddev_samp(excess) * pow(count(*), -0.2) as h
     from b10 group by decile),
-refs as (select decile, excess as r, count(*) over (partition by decile) as m from (select *, row_number() over (
-    partition by decile order by md5(claim_key || '|2025')) as rn from b10) where rn <= 4000),
+refs as (select decile, excess as r, count(*) over (partition by decile) as m from b10),
 dens as (select b.claim_key, b.decile, b.excess, sum(exp(-0.5 * ((b.excess - refs.r) / bw.h) * ((b.excess - refs.r) / bw.h)))
       / (any_value(refs.m) * any_value(bw.h) * sqrt(2 * pi())) as density
     from b10 b join refs on refs.decile = b.decile join bw on bw.decile = b.decile group by b.claim_key, b.decile, b.excess)"""

@@ -1,23 +1,41 @@
-"""Gaussian kernel density of the excess within payout deciles."""
+"""Gaussian kernel density of the excess within payout deciles, computed from every row.
+
+Values are measured in bandwidths and collapsed into cells half a bandwidth wide; a cell keeps the power sums of its
+values around its centre.  A Taylor series of the kernel turns the power sums of the cells within nine bandwidths into
+one polynomial per cell, so the density at a value is a polynomial of its place in its own cell: the work per claim
+doesn't depend on the number of claims, no pairs are formed, and a hot value or group is summed map-side.
+
+Error bound: a kernel value (1 at its peak) errs by less than 1e-15.  Derivatives of order p of the kernel stay below
+1.09 * sqrt(p!), two offsets differ by half a bandwidth at most, so what is left out after order 20 is below
+1.1 * 0.5**21 / sqrt(21!), about 7e-17; cells beyond 18 cells add less than exp(-40.5) each.
+"""
 
 import math
-from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimsieve.functions.expr import linspace, nan_to_null
-from claimsieve.operators.order import first_by_hash
+from claimsieve.session import materialize
+
+ORDER = 20
+CELL = 0.5
+REACH = 18
+
 
-REFERENCE_CAP = 4000
-SEED = 2025
+class DensityCells(NamedTuple):
+    """``groups``: group, ``n`` and bandwidth ``h``; ``cells``: group, cell number and polynomial ``_c0.._c20``."""
+
+    groups: DataFrame
+    cells: DataFrame
 
 
 def bandwidth(df: DataFrame, by: str = "decile", value: str = "excess") -> DataFrame:
     """Rule-of-thumb bandwidth ``0.9 * sd * n ** -0.2`` per group; null where the group has no spread."""
-    sd, n = F.stddev_samp(value), F.count(value)
+    x = nan_to_null(F.col(value).cast("double"))
+    sd, n = F.stddev_samp(x), F.count(x)
     return (
         df.groupBy(by)
         .agg(n.alias("n"), sd.alias("sd"))
@@ -25,58 +43,56 @@ def bandwidth(df: DataFrame, by: str = "decile", value: str = "excess") -> DataF
     )
 
 
-def reference_points(
-    df: DataFrame, by: str = "decile", value: str = "excess", key: str = "claim_key", cap: int = REFERENCE_CAP, seed: int = SEED
-) -> DataFrame:
-    """Per group: bandwidth over all rows and at most ``cap`` seeded reference values as an array."""
-    sample = first_by_hash(df.select(key, by, value), key, seed, cap, [by])
-    refs = sample.groupBy(by).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("refs"))
-    return refs.join(bandwidth(df, by, value).select(by, "h"), by)
-
-
-def kernel_density(spark: SparkSession, refs: DataFrame, by: str):
-    """Arrow-batched density of a value among the reference points of its group.
-
-    The reference table has one row per group (ten deciles or three classes) and at most 4,000 doubles in a row, a size
-    fixed by the cap, so it is sent to the executors once.  A fold over the array in the JVM gives the same numbers but
-    is not compiled; it measured five times slower (160 million kernel evaluations: 3.8 s against 0.7 s on 8 cores).
-    """
-    points = {r[by]: (np.asarray(r["refs"]), r["h"]) for r in refs.select(by, "refs", "h").collect()}
-    shared = spark.sparkContext.broadcast(points)
-
-    # Nested, so that the executors get it with the task and need no copy of this package.
-    def kernel_means(x: np.ndarray, reference: np.ndarray, h: float, rows: int = 256) -> np.ndarray:
-        out = np.empty(len(x))
-        for i in range(0, len(x), rows):
-            z = (x[i : i + rows, None] - reference[None, :]) / h
-            out[i : i + rows] = np.exp(-0.5 * z * z).sum(axis=1)
-        return out / (len(reference) * h * math.sqrt(2 * math.pi))
-
-    @F.pandas_udf("double")
-    def density(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for group, x in batches:
-            out = np.full(len(x), np.nan)
-            for g in group.dropna().unique():
-                reference, h = shared.value.get(g, (None, None))
-                if h is not None:
-                    member = (group == g).to_numpy()
-                    out[member] = kernel_means(x.to_numpy(dtype=float)[member], reference, h)
-            yield pd.Series(out)
-
-    return density
-
-
-def kde_at(
-    df: DataFrame, refs: DataFrame, by: str = "decile", value: str = "excess", name: str = "density"
-) -> DataFrame:
-    """Add the kernel density of ``value`` among the reference points of its own group; claims are not shuffled."""
-    density = kernel_density(df.sparkSession, refs, by)
-    return df.withColumn(name, nan_to_null(density(F.col(by), F.col(value).cast("double"))))
-
-
-def kde_curve(df: DataFrame, by: str, value: str, lo: float, hi: float, points: int = 600, key: str = "claim_key") -> DataFrame:
+def _kernel_derivatives() -> Column:
+    """``array<struct<step, g>>``: derivatives 0..ORDER of ``exp(-d * d / 2)`` at the distance of every near cell."""
+    rows = []
+    for step in range(-REACH, REACH + 1):
+        d = step * CELL
+        hermite = [1.0, d]
+        for p in range(1, ORDER):
+            hermite.append(d * hermite[p] - p * hermite[p - 1])
+        g = [(-1) ** p * hermite[p] * math.exp(-d * d / 2) for p in range(ORDER + 1)]
+        rows.append(f"struct({step}L as step, array({', '.join(f'{x!r}D' for x in g)}) as g)")
+    return F.expr(f"array({', '.join(rows)})")
+
+
+def _placed(df: DataFrame, groups: DataFrame, by: str, value: str) -> DataFrame:
+    """``df`` with bandwidth, count, cell number and offset from the cell's centre, the last in bandwidths."""
+    sizes = groups.select(F.col(by).alias("_by"), F.col("n").alias("_n"), F.col("h").alias("_h"))
+    u = nan_to_null(F.col(value).cast("double")) / F.col("_h")
+    out = df.join(sizes, df[by] == sizes["_by"], "left").withColumn("_cell", F.floor(u / CELL).cast("long"))
+    return out.withColumn("_at", u - (F.col("_cell") + 0.5) * CELL)
+
+
+def density_cells(df: DataFrame, by: str = "decile", value: str = "excess") -> DensityCells:
+    """Collapse all rows of every group into cells; nothing is sampled."""
+    groups = materialize(bandwidth(df, by, value), "density-groups")
+    placed = _placed(df.select(by, value), groups, by, value).where(F.col("_cell").isNotNull())
+    sums = placed.groupBy("_by", "_cell").agg(*[F.sum(F.pow("_at", F.lit(float(k)))).alias(f"_s{k}") for k in range(ORDER + 1)])
+    scaled = F.array(*[F.col(f"_s{k}") * ((-1) ** k / math.factorial(k)) for k in range(ORDER + 1)])
+    near = sums.select("_by", "_cell", scaled.alias("_m"), F.explode(_kernel_derivatives()).alias("_d"))
+
+    def coefficient(q: int) -> Column:
+        terms = F.zip_with(F.slice("_m", 1, ORDER + 1 - q), F.slice("_d.g", q + 1, ORDER + 1 - q), lambda a, b: a * b)
+        return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / float(math.factorial(q))
+
+    shifted = near.select("_by", (F.col("_cell") + F.col("_d.step")).alias("_cell"), *[coefficient(q).alias(f"_c{q}") for q in range(ORDER + 1)])
+    cells = shifted.groupBy("_by", "_cell").agg(*[F.sum(f"_c{q}").alias(f"_c{q}") for q in range(ORDER + 1)])
+    return DensityCells(groups, materialize(cells, "density-cells"))
+
+
+def kde_at(df: DataFrame, refs: DensityCells, by: str = "decile", value: str = "excess", name: str = "density") -> DataFrame:
+    """Add the kernel density of ``value`` among all values of its own group; null without a value, group or spread."""
+    placed = _placed(df, refs.groups, by, value).drop("_by")
+    found = placed.join(refs.cells.withColumnRenamed("_cell", "_to"), (F.col(by) == F.col("_by")) & (F.col("_cell") == F.col("_to")), "left")
+    poly = reduce(lambda a, q: a * F.col("_at") + F.coalesce(f"_c{q}", F.lit(0.0)), reversed(range(ORDER)), F.coalesce(f"_c{ORDER}", F.lit(0.0)))
+    density = F.greatest(poly, F.lit(0.0)) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
+    return found.select(*df.columns, F.when(F.col("_cell").isNotNull(), density).alias(name))
+
+
+def kde_curve(df: DataFrame, by: str, value: str, lo: float, hi: float, points: int = 600) -> DataFrame:
     """Density of ``value`` per group on an even grid."""
-    refs = reference_points(df, by, value, key)
+    refs = density_cells(df, by, value)
     x = linspace(F.lit(float(lo)), F.lit(float(hi)), F.col("point"), points)
-    grid = refs.select(by, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")).withColumn("x", x)
+    grid = refs.groups.select(by, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")).withColumn("x", x)
     return kde_at(grid, refs, by, "x")

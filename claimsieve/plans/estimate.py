@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from claimsieve.operators import rule as R
 from claimsieve.operators.binning import qcut
-from claimsieve.operators.density import kde_at, reference_points
-from claimsieve.session import materialize, spread
+from claimsieve.operators.density import density_cells, kde_at
+from claimsieve.session import materialize
 
 
 class RuleEstimate(NamedTuple):
@@ -25,7 +25,7 @@ def with_density(claims: DataFrame, k: int = R.DECILES) -> DataFrame:
     The density does not depend on the rule, so it is computed once per claim for all candidates.
     """
     binned = materialize(qcut(claims.select("claim_key", "payout", "excess"), "payout", k, "decile"), "deciles")
-    return kde_at(spread(binned), reference_points(binned))
+    return kde_at(binned, density_cells(binned))
 
 
 def estimate_rule(claims: DataFrame, slack: float = 0.05) -> RuleEstimate:
