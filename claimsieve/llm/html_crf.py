@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimsieve.llm.words import bounded_batches
+from claimsieve.session import materialize
 
 SAMPLE_PAGES = 400
 MAIN, OTHER = 1, 0
@@ -368,9 +369,12 @@ def training_pages(sample: list[str], seed: int = 5) -> list[tuple[list[list[str
 
 
 def fit_field(pages: DataFrame, rows: int = SAMPLE_PAGES) -> Field:
-    """Train on at most ``rows`` pages, those with the smallest hash of ``page_id``, and on made pages."""
-    some = pages.filter(F.col("html").isNotNull() & (F.length("html") < 200_000)).select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(rows)
-    return train_field(training_pages([r["html"] for r in some.select("html").collect()]))  # bounded by rows
+    """Train on at most ``rows`` pages, those with the smallest hash of ``page_id`` (of a repeated id the least html), and
+    on made pages.  Ids are chosen first, so only the html of chosen pages is moved."""
+    usable = pages.filter(F.col("page_id").isNotNull() & F.col("html").isNotNull() & (F.length("html") < 200_000)).select("page_id", "html")
+    chosen = materialize(usable.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(rows), "chosen-pages")
+    some = usable.join(F.broadcast(chosen), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))  # bounded by rows
+    return train_field(training_pages([r["html"] for r in some.orderBy(F.xxhash64("page_id"), "page_id").collect()]))  # bounded by rows
 
 
 def main_text(html: str, field: Field) -> str:
