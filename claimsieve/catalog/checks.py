@@ -40,7 +40,7 @@ def filled_result(spark, sf_dir):
     predictions = route_b(gap_baseline(train, target, clamp=True), rule, name="risk_class")
     template = materialize(ordered_template(target), "template")
     filled = fill_template(template, predictions.withColumnRenamed("claim_key", "id"))
-    result = materialize(template.join(filled, "id").select("ordinal", "id", "payout", "risk_label"), "result")
+    result = materialize(filled.select("ordinal", "id", "payout", "risk_label"), "result")
     claims = template.join(target.withColumnRenamed("claim_key", "id"), "id")
     return result, template, claims, predictions, train, rule
 
@@ -305,15 +305,15 @@ def boundary_curve(spark, sf_dir):
 @register(
     "kde_curve",
     with_claims(
-        """select b.risk_class, cast(i as int) as point, round(30000.0::double * i / 599, 6) as x,
-  round(avg(exp(-0.5 * ((30000.0::double * i / 599 - r) / h) * ((30000.0::double * i / 599 - r) / h))) / (any_value(h) * sqrt(2 * pi())), 12) as density
-from bw b join refs using (risk_class), generate_series(0, 599) g(i) group by b.risk_class, i""",
+        """select b.risk_class, cast(i as int) as point, round(top * i / 599.0::double, 6) as x,
+  round(avg(exp(-0.5 * ((top * i / 599.0::double - r) / h) * ((top * i / 599.0::double - r) / h))) / (any_value(h) * sqrt(2 * pi())), 12) as density
+from bw b join refs using (risk_class), generate_series(0, 599) g(i), (select max(excess) as top from labelled) group by b.risk_class, i, top""",
         *LABELLED,
         "bw as (select risk_class, 0.9 * stddev_samp(excess) * pow(count(*), -0.2) as h from labelled group by risk_class)",
         "refs as (select risk_class, excess as r from labelled)",
     ),
 )
 def kde_curve(spark, sf_dir):
-    df = labelled(spark, sf_dir).select("claim_key", "risk_class", "excess")
-    curve = D.kde_curve(df, "risk_class", "excess", 0.0, 30000.0)
+    df = materialize(labelled(spark, sf_dir).select("claim_key", "risk_class", "excess"), "labelled")
+    curve = D.kde_curve(df, "risk_class", "excess", 0.0)
     return round_doubles(curve, density=12)

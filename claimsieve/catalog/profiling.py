@@ -169,12 +169,12 @@ SLICE_PROBS = {"q50": 0.5, "q80": 0.8, "q85": 0.85, "q90": 0.9, "q95": 0.95, "q9
     "slice_profile",
     with_claims(
         _profile_sql("sliced", "slice", "excess", SLICE_PROBS),
-        "sliced as (select *, cast(ceil(payout / 1000.0) as int) - 1 as slice from hist where payout > 0 and payout <= 40000)",
+        "sliced as (select *, cast(ceil(payout / 1000.0) as int) - 1 as slice from hist where payout > 0)",
     ),
 )
 def slice_profile(spark, sf_dir):
     p = F.col("payout")
-    sliced = hist(spark, sf_dir).where((p > 0) & (p <= 40000)).withColumn("slice", F.ceil(p / 1000.0).cast("int") - 1)
+    sliced = hist(spark, sf_dir).where(p > 0).withColumn("slice", F.ceil(p / 1000.0).cast("int") - 1)
     return round_doubles(P.group_quantile_profile(sliced, ["slice"], "excess", SLICE_PROBS))
 
 
@@ -213,7 +213,7 @@ def equal_width_hist(spark, sf_dir):
 
 NUMPY_HISTS = {
     "excess": ("excess", "", "", 250.0, 60),
-    "excess_over_payout": ("case when {d} <= 5 then {d} end", "excess", "payout", 0.05, 100),
+    "excess_over_payout": ("{d}", "excess", "payout", 0.05, 100),
     "payout_ratio": ("{d}", "payout", "(payout + excess)", 0.02, 50),
     "log_excess": ("ln(1 + excess)", "", "", 0.2, 60),
 }
@@ -222,20 +222,22 @@ NUMPY_HISTS = {
 @register(
     "numpy_hist",
     with_claims(
-        "select measure, cast(i as int) as bin, round(i * w, 6) as lo, round((i + 1) * w, 6) as hi, count(x) as n "
-        "from spec, generate_series(0, 99) g(i) left join v on v.m = measure and x >= i * w "
-        "and (x < (i + 1) * w or (i = k - 1 and x = k * w)) where i < k group by all",
+        "select measure, cast(i as int) as bin, case when i >= 0 then round(i * w, 6) end as lo, "
+        "case when i < k then round((i + 1) * w, 6) end as hi, count(x) as n "
+        "from spec, generate_series(-1, 100) g(i) left join v on v.m = measure "
+        "and case when i = -1 then x < 0 when i = k then x > k * w "
+        "else x >= i * w and (x < (i + 1) * w or (i = k - 1 and x = k * w)) end where i <= k group by all",
         "spec as ("
         + " union all ".join(f"select '{n}' as measure, {w}::double as w, {k} as k" for n, (_, _, _, w, k) in NUMPY_HISTS.items())
         + ")",
-        "v as (" + " union all ".join(f"select '{n}' as m, {e.format(d=f'({a} / {b})')} as x from hist" for n, (e, a, b, _, _) in NUMPY_HISTS.items()) + ")",
+        "v as (" + " union all ".join(f"select '{n}' as m, {e.format(d=f'({a} / nullif({b}, 0))')} as x from hist" for n, (e, a, b, _, _) in NUMPY_HISTS.items()) + ")",
     ),
 )
 def numpy_hist(spark, sf_dir):
     df, out = narrow(spark, sf_dir, "payout", "excess"), None
     for name, (expr, a, b, width, k) in NUMPY_HISTS.items():
         values = df.select(F.expr(expr.format(d=f"try_divide({a}, {b})")).alias("x"))
-        one = B.histogram(values, "x", [i * width for i in range(k + 1)], closed="left").withColumn("measure", F.lit(name))
+        one = B.histogram(values, "x", [i * width for i in range(k + 1)], closed="left", outside=True).withColumn("measure", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return round_doubles(out)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimsieve.functions.expr import edge_rank, linspace, with_opaque
+from claimsieve.functions.expr import edge_rank, linspace, nan_to_null, with_opaque
 from claimsieve.operators.order import quantile_arrays
 
 
@@ -28,8 +28,13 @@ def qcut(df: DataFrame, col: str, k: int, name: str = "bin", source: DataFrame |
     return assign_bin(df, col, quantile_edges(source or df, col, k), max(k - 1, 1), name)
 
 
-def _histogram(df: DataFrame, col: str, edges: Column, bins: int, closed: str) -> DataFrame:
-    """Counts of all ``bins`` bins, empty ones included; values outside the edges are dropped."""
+def _histogram(df: DataFrame, col: str, edges: Column, bins: int, closed: str, outside: bool = False) -> DataFrame:
+    """Counts of all ``bins`` bins, empty ones included.
+
+    Values outside the edges are dropped, or with ``outside`` counted in bins -1 (no lower end) and ``bins`` (no upper
+    end), so that the counts add up to the values that are there.  Nulls and NaN are in no bin.
+    """
+    first, after = (-1, bins + 1) if outside else (0, bins)
     if closed not in ("left", "right"):
         raise ValueError("closed must be 'left' or 'right'")
     last = F.get("_e", F.lit(bins))
@@ -39,24 +44,24 @@ def _histogram(df: DataFrame, col: str, edges: Column, bins: int, closed: str) -
         bin_no = F.when(F.col(col) == last, bins - 1).otherwise(edge_rank("_e", col, bins + 1, inclusive=True) - 1)
     counts = (
         df.select(col)
-        .where(F.col(col).isNotNull())
+        .where(nan_to_null(col).isNotNull())
         .withColumn("_e", edges)
         .select(bin_no.alias("bin"))
-        .where(F.col("bin").between(0, bins - 1))
+        .where(F.col("bin").between(first, after - 1))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).withColumn("_e", edges)
+    every = df.sparkSession.range(first, after).select(F.col("id").cast("int").alias("bin")).withColumn("_e", edges)
     return every.join(counts, "bin", "left").select(
         "bin",
-        F.get("_e", F.col("bin")).alias("lo"),
-        F.get("_e", F.col("bin") + 1).alias("hi"),
+        F.when(F.col("bin") >= 0, F.get("_e", F.col("bin"))).alias("lo"),
+        F.when(F.col("bin") < bins, F.get("_e", F.col("bin") + 1)).alias("hi"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )
 
 
-def histogram(df: DataFrame, col: str, edges: Sequence[float], closed: str = "right") -> DataFrame:
-    return _histogram(df, col, F.array(*[F.lit(float(e)) for e in edges]), len(edges) - 1, closed)
+def histogram(df: DataFrame, col: str, edges: Sequence[float], closed: str = "right", outside: bool = False) -> DataFrame:
+    return _histogram(df, col, F.array(*[F.lit(float(e)) for e in edges]), len(edges) - 1, closed, outside)
 
 
 def equal_width_histogram(df: DataFrame, col: str, bins: int) -> DataFrame:

@@ -90,9 +90,10 @@ def kde_at(df: DataFrame, refs: DensityCells, by: str = "decile", value: str = "
     return found.select(*df.columns, F.when(F.col("_cell").isNotNull(), density).alias(name))
 
 
-def kde_curve(df: DataFrame, by: str, value: str, lo: float, hi: float, points: int = 600) -> DataFrame:
-    """Density of ``value`` per group on an even grid."""
+def kde_curve(df: DataFrame, by: str, value: str, lo: float, hi: float | None = None, points: int = 600) -> DataFrame:
+    """Density of ``value`` per group on an even grid from ``lo`` to ``hi`` (default: the largest value of all groups)."""
     refs = density_cells(df, by, value)
-    x = linspace(F.lit(float(lo)), F.lit(float(hi)), F.col("point"), points)
-    grid = refs.groups.select(by, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")).withColumn("x", x)
-    return kde_at(grid, refs, by, "x")
+    top = df.agg(F.max(nan_to_null(F.col(value).cast("double"))).alias("top")).scalar() if hi is None else F.lit(float(hi))
+    x = linspace(F.lit(float(lo)), F.col("_top"), F.col("point"), points)
+    grid = refs.groups.select(by, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    return kde_at(grid.withColumn("_top", top).withColumn("x", x).drop("_top"), refs, by, "x")

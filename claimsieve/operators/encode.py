@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimsieve.functions.expr import null_safe_join
 from claimsieve.session import materialize
 
 PAIR_SEPARATOR = "_"
@@ -129,8 +128,3 @@ def concat_values(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
 def concat_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     """Union by name; a column missing on one side becomes null."""
     return a.unionByName(b, allowMissingColumns=True)
-
-
-def align(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null-safe full outer join used to compare two keyed tables."""
-    return null_safe_join(left, right, keys, "full")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimsieve.functions.expr import null_safe_join
+from claimsieve.functions.expr import nan_to_null, null_safe_join
 from claimsieve.operators.binning import qcut
 from claimsieve.operators.order import average_ranks, positions, quantile_columns, quantile_table
 
@@ -119,23 +119,21 @@ def detrended_profile(df: DataFrame, y: str, x: str, k: int, probs: dict[str, fl
 
 
 def spearman(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
-    """Rank correlation of each column with ``target``, ties at their average rank, null pairs left out.
+    """Rank correlation of each column with ``target``, ties at their average rank.
 
-    A column's ranks are needed only per distinct value, and the covariance only the sum of target ranks per distinct
-    value, so rows are pre-aggregated before they move and no rank is joined back to rows except the target's.
-    The target is ranked over all rows, which is exact because it has no nulls; columns with nulls are rejected.
+    Both are ranked over the rows in which both are there (neither null nor NaN); a column without such rows has no row
+    here, and one without spread a null.  A column's ranks are needed only per distinct value, and the covariance only
+    the sum of target ranks per distinct value, so rows are pre-aggregated before they move and no rank is joined back
+    to rows except the target's.
     """
-    ranks = average_ranks(df, target).select(target, F.col("avg_rank").alias("_ry"))
-    pairs = long_form(df.join(ranks, target), cols, ["_ry"])
-    counts = pairs.groupBy("column_name", "value").agg(
+    named = df.select(F.col(target).cast("double").alias("_y"), *cols)
+    present = [nan_to_null(c).isNotNull() for c in ("_y", "value")]
+    pairs = long_form(named, cols, ["_y"]).where(present[0] & present[1])
+    target_ranks = average_ranks(pairs, "_y", ["column_name"]).select("column_name", "_y", F.col("avg_rank").alias("_ry"))
+    counts = pairs.join(target_ranks, ["column_name", "_y"]).groupBy("column_name", "value").agg(
         F.count(F.lit(1)).alias("n"), F.sum("_ry").alias("s"), F.sum(F.col("_ry") * F.col("_ry")).alias("s2")
     )
-    checked = counts.withColumn(
-        "value",
-        F.when(F.col("value").isNull(), F.raise_error(F.lit("spearman needs columns without nulls")).cast("double"))
-        .otherwise(F.col("value")),
-    )
-    ranked = positions(checked, "value", "n", ["column_name"]).withColumn(
+    ranked = positions(counts, "value", "n", ["column_name"]).withColumn(
         "rx", F.col("before") + (F.col("n") + 1) / 2.0
     )
     n, rx = F.col("n"), F.col("rx")

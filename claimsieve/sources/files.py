@@ -53,11 +53,27 @@ def preview(df: DataFrame, n: int, order: list[str]) -> DataFrame:
 
 
 def fill_template(template: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
-    """Fill the two result columns of a template; its key column is left as it is."""
+    """Fill the two result columns of a template; its other columns, rows and keys are left as they are.
+
+    Refused with an error unless every template key is predicted exactly once and no other key is: a result with a row
+    too many or too few must not be written.
+    """
+    wrong = key_mismatches(template, predictions, key).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("k")).first()
+    if wrong["n"]:
+        raise ValueError(f"{wrong['n']} keys of template and predictions do not match one to one, the first is {wrong['k']}")
     filled = predictions.select(
         key, half_even("payout_hat", 2).alias("payout"), risk_label("risk_class").alias("risk_label")
     )
-    return template.select(key).join(filled, key, "left")
+    return template.drop("payout", "risk_label").join(filled, key, "left")
+
+
+def key_mismatches(template: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
+    """``(key, n_template, n_predicted)`` of keys that are null, absent on one side, or not predicted exactly once."""
+    sides = template.select(key, F.lit(1).alias("t"), F.lit(0).alias("p")).unionByName(
+        predictions.select(key, F.lit(0).alias("t"), F.lit(1).alias("p"))
+    )
+    counts = sides.groupBy(key).agg(F.sum("t").alias("n_template"), F.sum("p").alias("n_predicted"))
+    return counts.where(F.col(key).isNull() | (F.col("n_template") == 0) | (F.col("n_predicted") != 1))
 
 
 # The three class labels of the result table, for classes 0, 1 and 2.
