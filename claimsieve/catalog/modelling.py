@@ -10,6 +10,7 @@ from claimsieve.operators import classify as N
 from claimsieve.operators import models as M
 from claimsieve.operators.regress import median_baseline, regression_metrics
 from claimsieve.plans import modelling as P
+from claimsieve.session import scratch_path
 from claimsieve.sources.claims import order_claims
 
 SMALL = M.GbtSpec("l2", 0.3, 5, 20, 8)
@@ -87,9 +88,25 @@ def holdout_check(spark, sf_dir):
     return round_doubles(P.holdout_check(prepared(spark, sf_dir), SMALL))
 
 
+SCREEN = [SMALL, SMALL._replace(objective="log"), SMALL._replace(depth=4), SMALL._replace(objective="l1", trees=4)]
+
+
+def chosen(spark, prep):
+    """Screen, cross-validation, choice and frozen trees: the scores, and the configuration read back from its file."""
+    path = scratch_path(spark, "regressor")
+    scores = P.select_regressor(prep, SCREEN, path, FOLDS, keep=2, early_stop=False, lo=4)
+    return scores, P.load_spec(spark, path)
+
+
+@register("select_regressor")
+def select_regressor(spark, sf_dir):
+    return round_doubles(chosen(spark, prepared(spark, sf_dir))[0])
+
+
 @register("predict_payout")
 def predict_payout(spark, sf_dir):
-    return round_doubles(P.predict_payout(prepared(spark, sf_dir), SMALL))
+    prep = prepared(spark, sf_dir)
+    return round_doubles(P.predict_payout(prep, chosen(spark, prep)[1]))
 
 
 @register("classify")

@@ -70,7 +70,7 @@ def prior_correct(df: DataFrame, priors: Column, w: float, probability: str = "p
 def class_priors(df: DataFrame, label: str = "risk_class") -> Column:
     """Scalar subquery: class shares as an array of three."""
     total = F.count(F.lit(1))
-    return df.agg(F.array(*[F.count_if(F.col(label) == k) / total for k in CLASSES]).alias("priors")).scalar()
+    return df.agg(F.array(*[F.try_divide(F.count_if(F.col(label) == k), total) for k in CLASSES]).alias("priors")).scalar()
 
 
 def confusion_long(df: DataFrame, true: str = "risk_class", pred: str = "predicted", by: Sequence[str] = ()) -> DataFrame:

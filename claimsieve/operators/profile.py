@@ -24,7 +24,7 @@ def profile_missing(df: DataFrame) -> DataFrame:
             F.lit(f.name).alias("column_name"),
             F.lit(f.dataType.simpleString()).alias("dtype"),
             F.count_if(F.col(f.name).isNull()).alias("n_missing"),
-            (F.count_if(F.col(f.name).isNull()) / total * 100).alias("pct_missing"),
+            (F.try_divide(F.count_if(F.col(f.name).isNull()), total) * 100).alias("pct_missing"),
         )
         for f in df.schema.fields
     ]
@@ -74,7 +74,7 @@ def predicate_rates(df: DataFrame, predicates: dict[str, Column]) -> DataFrame:
             F.struct(
                 F.lit(name).alias("predicate"),
                 F.count_if(p).alias("n"),
-                (F.count_if(p) / total * 100).alias("pct"),
+                (F.try_divide(F.count_if(p), total) * 100).alias("pct"),
             )
             for name, p in predicates.items()
         ],

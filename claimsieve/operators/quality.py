@@ -59,11 +59,11 @@ def check_result(result: DataFrame, template: DataFrame, claims: DataFrame) -> D
 
 
 def check_shares(labelled: DataFrame, prefix: str, floor_0: float = 85.0, cap_2: float = 3.0) -> DataFrame:
-    """Class limits of the task on one labelled table."""
+    """Class limits of the task on one labelled table; an empty one fails both."""
     total = F.count(F.lit(1))
     facts = labelled.agg(
-        (F.count_if(F.col("risk_class") == 0) / total * 100).alias("p0"),
-        (F.count_if(F.col("risk_class") == 2) / total * 100).alias("p2"),
+        (F.try_divide(F.count_if(F.col("risk_class") == 0), total) * 100).alias("p0"),
+        (F.try_divide(F.count_if(F.col("risk_class") == 2), total) * 100).alias("p2"),
     )
     return verdicts(
         facts,

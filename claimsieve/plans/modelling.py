@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import median
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimsieve.functions.expr import half_even
 from claimsieve.operators import classify as N
 from claimsieve.operators import models as M
 from claimsieve.operators import rule as R
 from claimsieve.operators.folds import holdout, kfold, stratified_kfold
-from claimsieve.operators.regress import regression_metrics
+from claimsieve.operators.regress import freeze_trees, regression_metrics
 from claimsieve.plans.features import FREQUENCY_KEYS, NUMERIC_FEATURES, feature_tables
 from claimsieve.plans.score import route_b
 from claimsieve.session import materialize
+from claimsieve.sources.files import load_config, save_config
 from claimsieve.sources.schemas import CATEGORICAL
 
+SPEC_SCHEMA = T.StructType().add("objective", "string").add("learning_rate", "double").add("depth", "integer").add("min_leaf", "integer").add("trees", "integer")
+
 
 class Prepared(NamedTuple):
     train: DataFrame
@@ -90,7 +95,7 @@ def cross_validation(
             "rmse_mean",
             "mape_ge1_mean",
             *[F.col(f"_o.{m}").alias(f"oof_{m}") for m in ("n", "mae", "rmse", "mape_ge1", "wape")],
-            F.lit(sorted(iterations)[len(iterations) // 2]).alias("best_iteration_median"),
+            F.lit(float(median(iterations))).alias("best_iteration_median"),
         )
         out = row if out is None else out.unionByName(row)
     return materialize(out, "cv").orderBy("oof_mae", "config")
@@ -102,6 +107,42 @@ def holdout_check(prep: Prepared, spec: M.GbtSpec, frac: float = 0.2, lad_rounds
     return regression_metrics(model.predict(data.where("fold = 1")))
 
 
+def save_spec(spark: SparkSession, spec: M.GbtSpec, path: str) -> None:
+    """Write the configuration of a final model, with its frozen number of trees."""
+    save_config(spark.createDataFrame([tuple(spec)], SPEC_SCHEMA), path)
+
+
+def load_spec(spark: SparkSession, path: str) -> M.GbtSpec:
+    return M.GbtSpec(*load_config(spark, path, SPEC_SCHEMA).first())
+
+
+def select_regressor(
+    prep: Prepared,
+    grid: Sequence[M.GbtSpec],
+    path: str,
+    k: int = 5,
+    keep: int = 3,
+    early_stop: bool = True,
+    lad_rounds: int | None = None,
+    lo: int = 100,
+    hi: int = 2000,
+) -> DataFrame:
+    """Screen the grid, cross-validate the best, and save the winner with its trees frozen, for :func:`load_spec`.
+
+    Returns the cross-validated configurations, best first, with ``chosen`` and ``frozen_trees``.  What comes to the
+    driver is at most ``keep`` rows of scores.
+    """
+    spark = prep.train.sparkSession
+    screened = grid_screen(prep, grid, k, keep, lad_rounds, early_stop).select("config").collect()
+    finalists = [(r["config"], grid[r["config"]]) for r in screened]
+    scored = cross_validation(prep, finalists, k, early_stop, lad_rounds)
+    best = scored.limit(1)
+    winner = best.first()["config"]
+    trees = freeze_trees(best, "best_iteration_median", lo, hi).first()["n_trees"]
+    save_spec(spark, grid[winner]._replace(trees=trees), path)
+    return scored.withColumn("chosen", F.col("config") == winner).withColumn("frozen_trees", F.when(F.col("chosen"), F.lit(trees)))
+
+
 class Scheme(NamedTuple):
     name: str
     kind: str

@@ -53,3 +53,18 @@ def test_classifier_probabilities(prep, data):
         scored = model.predict(data)
         off = scored.where(F.abs(F.aggregate("probability", F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9)
         assert off.count() == 0 and scored.count() == data.count()
+
+
+def test_choice_is_saved_and_follows_the_scores(prep, tmp_path):
+    """The lowest error wins wherever it stands in the grid, and the saved file holds it with its trees frozen."""
+    one, other, winners = SPEC._replace(depth=1, trees=1), SPEC, []
+    for name, grid in (("a", [one, other]), ("b", [other, one])):
+        path = str(tmp_path / name)
+        scored = P.select_regressor(prep, grid, path, k=2, keep=2, early_stop=False, lo=2).collect()
+        assert [r["chosen"] for r in scored] == [True, False] and scored[0]["oof_mae"] < scored[1]["oof_mae"]
+        won = grid[scored[0]["config"]]
+        spec = P.load_spec(prep.train.sparkSession, path)
+        assert spec == won._replace(trees=6 if won == other else 2) and scored[0]["frozen_trees"] == spec.trees
+        winners.append(won)
+    assert winners[0] == winners[1]
+    assert P.predict_payout(prep, spec).count() == prep.score.count()
