@@ -91,22 +91,16 @@ def holdout_check(spark, sf_dir):
 SCREEN = [SMALL, SMALL._replace(objective="log"), SMALL._replace(depth=4), SMALL._replace(objective="l1", trees=4)]
 
 
-def chosen(spark, prep):
-    """Screen, cross-validation, choice and frozen trees: the scores, and the configuration read back from its file."""
-    path = scratch_path(spark, "regressor")
-    scores = P.select_regressor(prep, SCREEN, path, FOLDS, keep=2, early_stop=False, lo=4)
-    return scores, P.load_spec(spark, path)
-
-
 @register("select_regressor")
 def select_regressor(spark, sf_dir):
-    return round_doubles(chosen(spark, prepared(spark, sf_dir))[0])
+    """Screen, cross-validation, choice and frozen trees, saved to a file."""
+    scores = P.select_regressor(prepared(spark, sf_dir), SCREEN, scratch_path(spark, "regressor"), FOLDS, keep=2, early_stop=False, lo=4)
+    return round_doubles(scores)
 
 
 @register("predict_payout")
 def predict_payout(spark, sf_dir):
-    prep = prepared(spark, sf_dir)
-    return round_doubles(P.predict_payout(prep, chosen(spark, prep)[1]))
+    return round_doubles(P.predict_payout(prepared(spark, sf_dir), SMALL))
 
 
 @register("classify")
