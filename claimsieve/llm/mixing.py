@@ -5,7 +5,9 @@ sums meet that dimension's targets; steps go round the dimensions until all targ
 its tokens is the rate at which its documents are sampled.  Only cell sums are iterated on, in one aggregation and one
 join each, and a cell or source that holds a third of all rows is summed map-side.
 
-Rates are scaled by the largest factor that asks for no more than ``most`` of any cell.  A document appears
+Rates are scaled so that the mixture has as many tokens as the input: cells above their targets are thinned, and rare
+cells repeat.  With ``most`` they are scaled by the largest factor that asks for no more than that of any cell, so the
+scarcest cell decides how much of all others stays.  A document appears
 ``floor(rate)`` times and once more with the rest as probability, drawn from a hash of its id and the seed: the same
 documents in every run and however the table is divided.
 
@@ -85,21 +87,22 @@ def unit(seed: int, *cols: str) -> F.Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def sampling_rates(docs: DataFrame, targets: dict[str, dict[str, float]], tokens: F.Column, most: float = 1.0) -> DataFrame:
+def sampling_rates(docs: DataFrame, targets: dict[str, dict[str, float]], tokens: F.Column, most: float | None = 1.0) -> DataFrame:
     """``<dims>, rate`` of every cell."""
     dims = list(targets)
     cells = materialize(cells_of(docs, dims, tokens), "cells")
-    fitted = rake(cells, targets).select(*[F.col(d).alias(f"_{d}") for d in dims], (F.col("w") / F.col("tokens")).alias("r"))
-    top = fitted.agg(F.max("r")).first()[0] or 1.0
-    scaled = fitted.withColumn("rate", F.col("r") / F.lit(float(top)) * most)
+    fitted = rake(cells, targets).select(*[F.col(d).alias(f"_{d}") for d in dims], "w", F.col("tokens").alias("_t"), (F.col("w") / F.col("tokens")).alias("r"))
+    sums = fitted.agg(F.max("r").alias("top"), F.sum("w").alias("w"), F.sum("_t").alias("t")).first()
+    scale = (sums["t"] or 1.0) / (sums["w"] or 1.0) if most is None else most / (sums["top"] or 1.0)
+    scaled = fitted.select(*[f"_{d}" for d in dims], (F.col("r") * F.lit(float(scale))).alias("rate"))
     same = [F.col(d) == F.col(f"_{d}") for d in dims]
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
-    return cells.join(scaled, cond, "left").select(*dims, F.coalesce("rate", F.lit(float(most))).alias("rate"))
+    return cells.join(scaled, cond, "left").select(*dims, F.coalesce("rate", F.lit(1.0 if most is None else float(most))).alias("rate"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]], tokens: F.Column, most: float = 1.0, seed: int = 2025, id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]], tokens: F.Column, most: float | None = 1.0, seed: int = 2025, id_col: str = "doc_id") -> DataFrame:
     """All rows and columns of ``docs`` with ``sample_rate`` and ``copies``, how often the row is in the mixture."""
     dims = list(targets)
     rates = sampling_rates(docs, targets, tokens, most)
@@ -113,6 +116,12 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], tokens: F.Column,
     return out.drop(*[f"_key_{i}" for i in range(len(dims))]).withColumn("copies", copies.cast("long"))
 
 
+def drawn(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of every row, as often as its ``copies`` say."""
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")
+    return mixed.filter("copies > 0").select(*columns, times).select(*columns)
+
+
 #: Topics by the form of a text; ``documents`` has no topic column.
 def form_topic(text: str = "text") -> F.Column:
     bars = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^|]", ""))

@@ -154,7 +154,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("topic", mixing.form_topic())
     tokens = F.length(F.coalesce("text", F.lit("")))
     targets = {"source": mixing.source_targets(docs, tokens)} | mixing.TARGETS
-    return mixing.mix(docs, targets, tokens).select("doc_id", "source", "lang", "topic", F.round("sample_rate", 9).alias("sample_rate"), "copies")
+    return mixing.mix(docs, targets, tokens, most=None).select("doc_id", "source", "lang", "topic", F.round("sample_rate", 9).alias("sample_rate"), "copies")
 
 
 _OP10 = """

@@ -32,11 +32,11 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled towards the source, language and topic targets, counted in characters."""
+    """Documents sampled towards the source, language and topic targets, counted in characters; those of rare cells repeat."""
     tokens = F.length(F.coalesce("text", F.lit("")))
     targets = {"source": mixing.source_targets(docs, tokens)} | mixing.TARGETS
-    mixed = mixing.mix(docs.withColumn("topic", mixing.form_topic()), targets, tokens)
-    return mixed.filter("copies > 0").select(*docs.columns)
+    mixed = mixing.mix(docs.withColumn("topic", mixing.form_topic()), targets, tokens, most=None)
+    return mixing.drawn(mixed, docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -358,6 +358,20 @@ def test_raking_against_numpy(spark):
     assert mixing.mix(docs.limit(0), targets, F.length("text")).count() == 0
 
 
+def test_rare_cell_repeats_and_the_others_stay(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    sizes = {"note": 40, "article": 250, "book": 900}
+    rows = [(i, "word " * sizes[rng.choice(["article"] * 8 + ["book"] * 4 + ["note"])], rng.choice(["en"] * 5 + ["de", "fr", "es"]), f"s{i % 5}", 0, "x") for i in range(1000)]
+    rows.append((1000, "| a | b |" * 100, "en", "s1", 0, "x"))
+    kept = corpus_pipeline.mixing_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert len({r["doc_id"] for r in kept} - {1000}) > 600
+    chars = sum(len(r["text"]) for r in kept)
+    assert sum(len(r["text"]) for r in kept if r["doc_id"] == 1000) / chars == pytest.approx(0.03, rel=0.1)
+    assert chars == pytest.approx(sum(len(r[1]) for r in rows), rel=0.1)
+
+
 # 10 archives
 
 
