@@ -12,7 +12,8 @@ scarcest cell decides how much of all others stays.  A document appears
 documents in every run and however the table is divided.
 
 Defined results: a null value of a dimension is a value of its own; values without a target share
-what the targets leave of 1, in proportion to their tokens; if there are none of those, or the targets exceed 1, the
+what the targets leave of 1, in proportion to their tokens; if the targets as given leave nothing, values without one
+keep the share that they have and the targets are scaled to the rest; if there are no such values, the
 targets are scaled to 1; targets of values that don't occur are left out; documents
 without tokens take their cell's rate and don't count in any sum; equal rows are drawn alike; an empty table gives an
 empty result.  Targets that contradict each other (for cells that don't exist) are met as nearly as the last step can.
@@ -43,14 +44,18 @@ def cells_of(docs: DataFrame, dims: list[str], tokens: F.Column) -> DataFrame:
 def complete_targets(cells: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
     """``dim, value, want`` (shares that sum to 1 in each dimension) for every value that has tokens."""
     spark = cells.sparkSession
+    full = [d for d, t in targets.items() if sum(t.values()) >= 1 - TOLERANCE]  # nothing left for other values
     given = spark.createDataFrame([(d, NULL if v is None else str(v), float(w)) for d, t in targets.items() for v, w in t.items()], "dim string, value string, given double")
     values = cells.select("tokens", F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in targets])).alias("v"))
     sums = values.groupBy("v.dim", "v.value").agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
     joined = sums.join(given, ["dim", "value"], "left")
     totals = joined.groupBy("dim").agg(F.sum("tokens").alias("all"), F.sum(F.when(F.col("given").isNull(), F.col("tokens")).otherwise(0.0)).alias("free"), F.sum("given").alias("given_all"))
     given_all, free = F.coalesce("given_all", F.lit(0.0)), F.col("free")
-    asked = F.col("given") / F.when((free > 0) & (given_all <= 1), 1.0).otherwise(given_all)
-    left = F.greatest(1 - given_all, F.lit(0.0)) * F.try_divide(F.col("tokens"), free)
+    kept = free / F.col("all")
+    rest = F.when(F.col("dim").isin(full), kept).otherwise(F.greatest(1 - given_all, F.lit(0.0)))
+    named = F.when(free <= 0, 1.0).when(F.col("dim").isin(full), 1 - kept).otherwise(given_all)
+    asked = F.try_divide(F.col("given") * named, given_all)
+    left = rest * F.try_divide(F.col("tokens"), free)
     want = F.when(F.col("given").isNull(), left).otherwise(asked)
     return joined.join(totals, "dim").select("dim", "value", F.coalesce(want, F.lit(0.0)).alias("want"))
 

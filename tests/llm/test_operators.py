@@ -372,6 +372,25 @@ def test_rare_cell_repeats_and_the_others_stay(spark):
     assert chars == pytest.approx(sum(len(r[1]) for r in rows), rel=0.1)
 
 
+def test_values_without_a_target_stay(spark):
+    rng = random.Random(8)
+    rows = [(i, "word " * rng.choice([40, 250, 900]), rng.choice(["en"] * 30 + ["de", "fr", "es"] * 6 + [None, "it"]), f"s{i % 4}", 0, "x") for i in range(1500)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("topic", mixing.form_topic())
+    for keep in ({"en", "de", "fr", "es", "it", None}, {"en", "it", None}):  # also where targets are left out
+        some = docs.filter(F.coalesce("lang", F.lit("it")).isin([x for x in keep if x]))
+        got = mixing.mix(some, mixing.TARGETS, F.length("text"), most=None).collect()
+        sizes, mixed = collections.Counter(), collections.Counter()
+        for r in got:
+            sizes[r["lang"]] += len(r["text"])
+            mixed[r["lang"]] += len(r["text"]) * r["sample_rate"]
+        for lang in (None, "it"):
+            assert min(r["sample_rate"] for r in got if r["lang"] == lang) > 0
+            assert mixed[lang] / sum(mixed.values()) == pytest.approx(sizes[lang] / sum(sizes.values()), rel=1e-3)
+        named = sum(v for k, v in mixed.items() if k in mixing.TARGETS["lang"])
+        asked = sum(mixing.TARGETS["lang"][k] for k in keep if k in mixing.TARGETS["lang"])
+        assert all(mixed[k] / named == pytest.approx(mixing.TARGETS["lang"][k] / asked, rel=1e-3) for k in keep if k in mixing.TARGETS["lang"])
+
+
 # 10 archives
 
 
