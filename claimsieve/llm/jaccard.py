@@ -239,7 +239,54 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """Keep the document with the smallest ``doc_id`` of every group (all documents with an empty set), one row of each."""
+    """Keep the document with the smallest ``doc_id`` of every group (all documents with an empty set).
+
+    Rows go and stay by ``doc_id``, so rows that share one are treated alike; ``one_row_of_each_group`` tells them apart."""
     groups = similar_groups(docs, k, percent)
     gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def _with_sets(docs: DataFrame, k: int) -> DataFrame:
+    """``docs`` with the size ``_n`` and the digest ``_d1, _d2`` of every row's set."""
+    long = T.LongType()
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, long) for c in ("_n", "_d1", "_d2")]])
+    at = docs.columns.index("text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[] for _ in range(3)]
+            for tokens in _token_sets(encoded(batch.column(at).cast(pa.string())), k):
+                n = len(tokens)
+                d1, d2 = np.frombuffer(blake2b(tokens.tobytes(), digest_size=16).digest(), dtype=np.int64).tolist() if n else (None, None)
+                for column, value in zip(rows, (n, d1, d2)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in rows]], schema.names)
+
+    return docs.mapInArrow(read, schema)
+
+
+def one_row_of_each_group(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """Exactly one row of every group, and all rows with an empty set.
+
+    The row with the smallest ``doc_id`` stays (a null one only if the group has no other); of several with that id, the
+    one with the smallest digest, and of those with equal sets the smallest row.  Rows whose id is their own go by id;
+    only rows with a null or repeated id are scanned again to tell them apart."""
+    members, classes, _ = similar_classes(docs, k, percent)
+    placed = members.filter("n > 0").join(classes, ["d1", "d2"], "left")
+    alone = F.col("root").isNull()
+    keyed = placed.groupBy("root", F.when(alone, F.col("d1")).alias("g1"), F.when(alone, F.col("d2")).alias("g2"))
+    stays = keyed.agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "d1", "d2")).alias("s"))
+    stays = materialize(stays.select("s.doc_id", "s.d1", "s.d2"), "survivors")
+    unclear = materialize(members.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 or doc_id is null").select(F.col("doc_id").alias("_u")), "unclear")
+    # an id of one row stays if it survives in any group: it has one group only
+    gone = members.filter("n > 0").select("doc_id").join(stays.select("doc_id"), "doc_id", "left_anti").filter("doc_id is not null")
+    if unclear.isEmpty():
+        return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("_u"))
+    clear = docs.join(unclear, same, "left_anti").join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    told = materialize(_with_sets(docs.join(unclear, same, "left_semi"), k), "told")
+    chosen = stays.select(F.col("doc_id").alias("_s"), F.col("d1").alias("_s1"), F.col("d2").alias("_s2"))
+    kept = told.filter("_n > 0").join(chosen, F.col("doc_id").eqNullSafe(F.col("_s")) & (F.col("_d1") == F.col("_s1")) & (F.col("_d2") == F.col("_s2")), "left_semi")
+    first = kept.groupBy("doc_id", "_d1", "_d2").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return clear.unionByName(told.filter("_n = 0").select(*docs.columns)).unionByName(first)

@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
-    return jaccard.one_of_each_group(docs, k=5, percent=80)
+    """One row of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
+    return jaccard.one_row_of_each_group(docs, k=5, percent=80)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -320,6 +320,22 @@ def test_one_document_of_each_group_stays(spark):
     assert jaccard.similar_groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = rows_of(["a b c d e f", "a b c d e f", None, "", "q r s t u v", "g h i j k l"])
+    rows += [(4, "q r s t u v", "en", "s", 0, "x"), (4, "q r s t u v", "en", "s", 0, "x"), (None, "a b c d e f", "en", "s", 0, "x"), (None, "", "en", "s", 0, "x")]
+    rows += [(1, "text unlike the removed copy one", "en", "s", 0, "x")]  # shares the id of a removed copy
+    rows += [(None, "only rows without any id here", "en", "s", 0, x) for x in "yxz"]
+    rows += [(3, "A B C D E F", "en", "s", 0, "x")]  # a copy that shares the id of an empty text
+    kept = jaccard.one_row_of_each_group(spark.createDataFrame(rows, DOCS).repartition(3), k=5, percent=80)
+    assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+    want = [("0", "a b c d e f"), ("1", "text unlike the removed copy one"), ("2", None), ("3", ""), ("4", "q r s t u v"), ("5", "g h i j k l"), ("None", ""), ("None", "only rows without any id here")]
+    got = kept.collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "", r["text"] is None) for r in got) == sorted((i, t or "", t is None) for i, t in want)
+    assert {r["start"] for r in got if (r["text"] or "").startswith("only")} == {"x"}
+    plain = rows_of(["a b c d e f", "a b c d e f", None, "g h i j k l"])
+    assert sorted(r["doc_id"] for r in jaccard.one_row_of_each_group(spark.createDataFrame(plain, DOCS), k=5, percent=80).collect()) == [0, 2, 3]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
