@@ -125,8 +125,7 @@ def imbalance_schemes(spark, sf_dir):
 
 @register("best_scheme")
 def best_scheme(spark, sf_dir):
-    schemes = [s for s in P.SCHEMES if s.kind != "oversample"]
-    predictions = P.scheme_predictions(prepared(spark, sf_dir), schemes, k=2, **FOREST)
+    predictions = P.scheme_predictions(prepared(spark, sf_dir), **FOREST)
     return round_doubles(N.best_scheme(P.scheme_report(predictions)))
 
 
