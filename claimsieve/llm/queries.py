@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsieve.llm import chat, decontaminate, html_crf, jaccard, mixing, pairwise, quality_rules, token_pack, toxicity, warc
+from claimsieve.llm import bond, chat, decontaminate, html_crf, jaccard, kdtree, merkle, mixing, pairwise, quality_rules, token_pack, toxicity, warc
 from claimsieve.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,83 @@ select page_id, payload_bytes, payload_digest, case when f = page_id then 'respo
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back through the index."""
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _scaled(scale: int, label: str = "label") -> str:
+    """Usable rows ``r, vec_id, label, v`` in SQL."""
+    return f"""select row_number() over () as r, vec_id, {label} as label, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v
+        from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0"""
+
+
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2]))::bigint"
+
+_OP11 = f"""
+with e as ({_scaled(256, 'case when vec_id % 7 = 0 then (label + 1) % 10 else label end')} and label is not null),
+s as (select a.r as a, a.vec_id as anchor_id, b.r as b, b.vec_id as other, a.label = b.label as same, {_DOT.format('a.v', 'b.v')} as score
+      from e a, e b where a.vec_id % 100 = 0 and a.r <> b.r),
+p as (select * from s where same qualify row_number() over (partition by a order by score desc, other) <= 5),
+n as (select p.anchor_id, p.other as positive_id, p.score as positive_score, s.other as negative_id, s.score as negative_score,
+             row_number() over (partition by p.a, p.b order by s.score desc, s.other) as k
+      from p join s on s.a = p.a and not s.same and 100 * s.score between 30 * p.score and 90 * p.score)
+select anchor_id, positive_id, k::int as rank, negative_id, positive_score, negative_score from n where k <= 10
+"""
+
+
+@query("op11_hard_negatives", _OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score 30 to 90 % of each anchor's five positives; every seventh label is moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond.hard_negatives(table(spark, sf_dir, "embeddings"), label)
+
+
+_OP12 = f"""
+with e as ({_scaled(1024)}),
+s as (select a.r as a, a.vec_id as query_id, b.vec_id, {_DOT.format('a.v', 'b.v')} as score from e a, e b where a.vec_id % 100 = 0 and a.r <> b.r)
+select query_id, (row_number() over (partition by a order by score desc, vec_id))::int as rank, vec_id, score from s
+qualify row_number() over (partition by a order by score desc, vec_id) <= 10
+"""
+
+
+@query("op12_kdtree_topk", _OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows with the highest inner product for every hundredth id."""
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+_CODE = "coalesce(octet_length(encode({0}::varchar))::varchar || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_CODE.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+_CRC32 = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, len({0}) + 1), lambda i: ascii({0}[i])::bigint)),
+    lambda acc, c: list_reduce(list_concat([xor(acc, c)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda a, _: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end)), 4294967295)"""
+
+_OP13 = f"""
+with recursive d as (select doc_id, coalesce('=' || lang, '') as run, {_LEAF.format(n='n_chars')} as leaf,
+                            case when {_CRC32.format('(doc_id::varchar)')} % 7 = 0 then {_LEAF.format(n='(n_chars + 1)')} end as told from documents),
+placed as (select *, row_number() over (partition by run order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by run) as n from d),
+low as (select run, 0 as l, pos as p, leaf as h, n from placed
+        union all select run, l + 1, p // 2, sha256(string_agg(h, '' order by p)), (any_value(n) + 1) // 2 from low where n > 1 group by run, l, p // 2),
+tops as (select run, h as subroot, row_number() over (order by run) - 1 as pos, count(*) over () as n from low where n = 1),
+high as (select 0 as l, pos as p, subroot as h, n from tops
+         union all select l + 1, p // 2, sha256(string_agg(h, '' order by p)), (any_value(n) + 1) // 2 from high where n > 1 group by l, p // 2),
+fold as (select x.doc_id, x.run, x.pos as id, coalesce(x.told, x.leaf) as h, '' as proof, x.pos as p, 0 as l from placed x
+         union all
+         select f.doc_id, f.run, f.id, sha256(case when f.p % 2 = 1 then coalesce(s.h, '') || f.h else f.h || coalesce(s.h, '') end), f.proof || coalesce(s.h, ''), f.p // 2, f.l + 1
+         from fold f join low o on o.run = f.run and o.l = f.l and o.p = f.p and o.n > 1 left join low s on s.run = f.run and s.l = f.l and s.p = xor(f.p, 1)),
+ends as (select * from fold qualify l = max(l) over (partition by run, id)),
+climb as (select e.run, e.id, e.h, e.proof, t.pos as p, 0 as l from ends e join tops t using (run)
+          union all
+          select c.run, c.id, sha256(case when c.p % 2 = 1 then coalesce(s.h, '') || c.h else c.h || coalesce(s.h, '') end), c.proof || coalesce(s.h, ''), c.p // 2, c.l + 1
+          from climb c join high o on o.l = c.l and o.p = c.p and o.n > 1 left join high s on s.l = c.l and s.p = xor(c.p, 1)),
+last as (select * from climb qualify l = max(l) over (partition by run, id)),
+root as (select h as root from high where n = 1)
+select x.doc_id, x.leaf, t.subroot, root.root, sha256(last.proof) as proof_sha256, last.h as folded_root, last.h = root.root as verified
+from placed x join tops t using (run) join last on last.run = x.run and last.id = x.pos cross join root
+"""
+
+
+@query("op13_merkle_manifest", _OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; every seventh checksum's document claims one character more."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    claimed = [F.when(tampered, c + 1).otherwise(c) if i == 3 else c for i, c in enumerate(columns)]
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.col("lang"), "doc_id", columns, claimed)
