@@ -277,6 +277,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Documents without a contaminated row of their ``doc_id``; all columns are kept."""
-    bad = contamination(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """Rows of ``docs`` that aren't contaminated, with all their columns.  Rows are judged by id and text, so rows that share
+    an id, or have none, stay or go by their own texts."""
+    name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    key = F.md5(F.concat(name, F.lit("\n"), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"))
+    keyed = docs.select(key.alias("doc_id"), "text")
+    bad = materialize(contamination(keyed, items, window).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
+    return docs.join(bad, key == F.col("_bad"), "left_anti")

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -34,6 +35,7 @@ from claimsieve.llm.words import bounded_batches
 from claimsieve.session import materialize
 
 SAMPLE_PAGES = 400
+SAMPLE_CHARS = 200_000  # of a sampled page, so that the sample fits the driver; pages of any length are extracted
 MAIN, OTHER = 1, 0
 
 #: HTML element kinds.
@@ -45,8 +47,9 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea title svg math template iframe".split())
 DROPPED_RAW = frozenset("script style svg math template iframe".split())
-INLINE_BREAK = frozenset("br wbr img".split())
 LANDMARKS = frozenset("article main nav header footer aside form title button noscript textarea select".split())
+LISTS = frozenset("ul ol table blockquote figure dl pre".split())
+NOTED = LANDMARKS | LISTS
 #: Words of class and id values that tell what a box is for.
 BOX_WORDS = {
     "ad": "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored".split(),
@@ -60,7 +63,8 @@ BOX_WORDS = {
     "main": "article content post entry story main body text".split(),
 }
 _BOX = {w: k for k, ws in BOX_WORDS.items() for w in ws}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/<>\"']*")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
@@ -69,7 +73,9 @@ _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
+    leaf: str  # innermost block-level tag
+    depth: int  # number of block-level tags
+    inside: frozenset[str]  # tags of NOTED around it
     boxes: frozenset[str]
     linked: int
     size: int
@@ -82,12 +88,103 @@ def _boxes(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+class _Markup:
+    """Markup of one page in order, in time proportional to the page: whatever is looked for ahead is looked for once."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.special = (0, -1)  # the first special character from here on is there
+        self.ends: dict[int, int] = {}  # an opening quote outside of others and the end of its tag, -1 if it has none
+
+    def _next_special(self, at: int) -> int:
+        since, found = self.special
+        if not since <= at <= found:
+            m = _SPECIAL.search(self.html, at)
+            self.special = at, m.start() if m else len(self.html)
+        return self.special[1]
+
+    def tag_end(self, at: int) -> int:
+        """Position of the first ``>`` outside quotes, or -1."""
+        html, passed = self.html, []
+        x = self._next_special(at)
+        end = -1
+        while x < len(html):
+            if html[x] == ">":
+                end = x
+                break
+            if x in self.ends:
+                end = self.ends[x]
+                break
+            passed.append(x)
+            close = html.find(html[x], x + 1)
+            if close < 0:
+                break
+            m = _SPECIAL.search(html, close + 1)
+            x = m.start() if m else len(html)
+        for q in passed:
+            self.ends[q] = end
+        return end
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str, str]]:
+        """``start, end, slash, name, attributes``; comments and declarations have no name.  ``skip`` moves on."""
+        html, find = self.html, self.html.find
+        self.at = 0
+        closes = True  # a ``>`` lies ahead
+        while (lo := find("<", self.at)) >= 0:
+            if html.startswith("<!--", lo):
+                z = find("-->", lo + 4)
+                self.at = z + 3 if z >= 0 else len(html)
+                yield lo, self.at, "", "", ""
+                continue
+            if html.startswith(("<!", "<?"), lo):
+                z = find(">", lo + 2) if closes else -1
+                closes = z >= 0
+                self.at = z + 1 if closes else lo + 2
+                if closes:
+                    yield lo, self.at, "", "", ""
+                continue
+            slash = "/" if html.startswith("/", lo + 1) else ""
+            m = _NAME.match(html, lo + 1 + len(slash))
+            z = self.tag_end(m.end()) if m else -1
+            if z < 0:
+                self.at = m.end() if m else lo + 1
+                continue
+            self.at = z + 1
+            yield lo, self.at, slash, m[0].lower(), html[m.end() : z]
+
+    def skip(self, at: int) -> None:
+        self.at = at
+
+
 def blocks_of(html: str) -> list[Block]:
     """Leaf blocks in page order; scripts, styles and comments are left out."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
+    near = [""]  # open block-level tags
+    opened: Counter[str] = Counter()  # open tags
+    boxed: Counter[str] = Counter()  # kinds of open boxes
     parts: list[str] = []
-    linked = anchors = 0
+    linked = 0
+    around: list[frozenset[str]] = []  # noted tags and boxes, until one of them opens or closes
+
+    def push(tag: str, boxes: frozenset[str]) -> None:
+        stack.append((tag, boxes))
+        opened[tag] += 1
+        if boxes or tag in NOTED:
+            boxed.update(boxes)
+            around.clear()
+        if tag in BLOCK_TAGS:
+            near.append(tag)
+
+    def pop() -> str:
+        tag, boxes = stack.pop()
+        opened[tag] -= 1
+        if boxes or tag in NOTED:
+            boxed.subtract(boxes)
+            around.clear()
+        if tag in BLOCK_TAGS:
+            near.pop()
+        return tag
 
     def flush() -> None:
         nonlocal linked
@@ -95,50 +192,46 @@ def blocks_of(html: str) -> list[Block]:
             raw = "".join(parts)
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                boxes = frozenset().union(*[b for _, b in stack]) if any(b for _, b in stack) else frozenset()
-                out.append(Block(text, tuple(t for t, _ in stack), boxes, min(linked, len(text)), len(text)))
+                if not around:
+                    around[:] = frozenset(t for t in NOTED if opened[t] > 0), frozenset(k for k, n in boxed.items() if n > 0)
+                out.append(Block(text, near[-1], len(near) - 1, *around, min(linked, len(text)), len(text)))
             parts.clear()
         linked = 0
 
-    at = 0
-    for m in iter(lambda: _TOKEN.search(html, at), None):
-        if m.start() > at:
-            piece = html[at : m.start()]
-            parts.append(piece)
-            if anchors:
-                linked += len(piece)
-        at = m.end()
-        if not m[2]:
+    markup, at = _Markup(html), 0
+    for start, end, slash, tag, attributes in markup:
+        if start > at:
+            parts.append(html[at:start])
+            if opened["a"] > 0:
+                linked += start - at
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if not m[1]:
-            if tag in INLINE_BREAK:
+        if not slash:
+            if tag == "br":
                 parts.append(" ")
             if tag in BLOCK_TAGS:
                 flush()
                 if tag in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and any(t == tag for t, _ in stack[-3:]):
-                    while stack.pop()[0] != tag:  # an element of this kind ends the one before
+                    while pop() != tag:  # an element of this kind ends the one before
                         pass
             if tag in RAW_TAGS:
-                end = _END[tag].search(html, at)
-                inner = html[at : end.start() if end else len(html)]
+                close = _END[tag].search(html, at)
+                inner = html[at : close.start() if close else len(html)]
                 if tag not in DROPPED_RAW:
-                    stack.append((tag, frozenset()))
+                    push(tag, frozenset())
                     parts.append(inner)
                     flush()
-                    stack.pop()
-                at = end.end() if end else len(html)
-            elif tag not in VOID_TAGS and not m[3].endswith("/"):
-                stack.append((tag, _boxes(m[3]) if m[3] else frozenset()))
-                anchors += tag == "a"
-        elif any(t == tag for t, _ in stack):
+                    pop()
+                at = close.end() if close else len(html)
+                markup.skip(at)
+            elif tag not in VOID_TAGS and not attributes.endswith("/"):
+                push(tag, _boxes(attributes) if attributes else frozenset())
+        elif opened[tag] > 0:
             if tag in BLOCK_TAGS:
                 flush()
-            while stack:
-                t, _ = stack.pop()
-                anchors -= t == "a"
-                if t == tag:
-                    break
+            while pop() != tag:
+                pass
         elif tag in BLOCK_TAGS:
             flush()
     if at < len(html):
@@ -152,11 +245,10 @@ def features_of(blocks: list[Block], hide: bool = False) -> list[list[str]]:
     out = []
     last = len(blocks) - 1
     for i, b in enumerate(blocks):
-        near = [t for t in b.tags if t in BLOCK_TAGS]
-        f = ["bias", f"leaf={near[-1] if near else ''}", f"depth={min(len(near), 8)}"]
+        f = ["bias", f"leaf={b.leaf}", f"depth={min(b.depth, 8)}"]
         if not hide:
-            f += [f"in={t}" for t in set(b.tags) & LANDMARKS] + [f"box={x}" for x in b.boxes]
-        f += [f"in={t}" for t in set(b.tags) & {"ul", "ol", "table", "blockquote", "figure", "dl", "pre"}]
+            f += [f"in={t}" for t in b.inside & LANDMARKS] + [f"box={x}" for x in b.boxes]
+        f += [f"in={t}" for t in b.inside & LISTS]
         words = b.text.count(" ") + 1
         f.append(f"words={min(words.bit_length(), 8)}")
         share = b.linked / max(b.size, 1)
@@ -176,7 +268,7 @@ def landmark_labels(blocks: list[Block]) -> list[int]:
     """Labels of a page by its landmark tags and box names."""
     away = {"nav", "header", "footer", "aside", "form", "title", "button", "noscript", "textarea", "select"}
     boxes = {"ad", "menu", "foot", "side", "notice", "comment", "form"}
-    return [MAIN if set(b.tags) & {"article", "main"} and not set(b.tags) & away and not b.boxes & boxes else OTHER for b in blocks]
+    return [MAIN if b.inside & {"article", "main"} and not b.inside & away and not b.boxes & boxes else OTHER for b in blocks]
 
 
 @dataclass
@@ -368,10 +460,10 @@ def training_pages(sample: list[str], seed: int = 5) -> list[tuple[list[list[str
     return [(features_of(b, hide=i % 6 == 0), y) for i, (b, y) in enumerate(pages)]
 
 
-def fit_field(pages: DataFrame, rows: int = SAMPLE_PAGES) -> Field:
-    """Train on at most ``rows`` pages, those with the smallest hash of ``page_id`` (of a repeated id the least html), and
+def fit_field(pages: DataFrame, rows: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> Field:
+    """Train on at most ``rows`` pages shorter than ``chars`` characters, those with the smallest hash of ``page_id`` (of a repeated id the least html), and
     on made pages.  Ids are chosen first, so only the html of chosen pages is moved."""
-    usable = pages.filter(F.col("page_id").isNotNull() & F.col("html").isNotNull() & (F.length("html") < 200_000)).select("page_id", "html")
+    usable = pages.filter(F.col("page_id").isNotNull() & F.col("html").isNotNull() & (F.length("html") < chars)).select("page_id", "html")
     chosen = materialize(usable.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(rows), "chosen-pages")
     some = usable.join(F.broadcast(chosen), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))  # bounded by rows
     return train_field(training_pages([r["html"] for r in some.orderBy(F.xxhash64("page_id"), "page_id").collect()]))  # bounded by rows

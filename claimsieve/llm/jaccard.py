@@ -111,8 +111,12 @@ def _full_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             if pages:
                 at = batch.column(0).to_numpy()
-                keep = [int(x) // 32768 + 1 in pages and pages[int(x) // 32768 + 1][int(x) % 32768] == 1 for x in at]
-                batch = batch.filter(pa.array(keep, pa.bool_()))
+                keep = np.zeros(len(at), dtype=bool)
+                for page in np.unique(at // 32768):
+                    if page + 1 in pages:
+                        own = at // 32768 == page
+                        keep[own] = pages[page + 1][at[own] % 32768] == 1
+                batch = batch.filter(pa.array(keep))
             columns: list[list] = [[] for _ in names]
             for tokens in _token_sets(encoded(batch.column(1)), k):
                 if len(tokens):
@@ -238,15 +242,6 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return members.filter("n > 0").join(named, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
 
-def one_of_each_group(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """Keep the document with the smallest ``doc_id`` of every group (all documents with an empty set).
-
-    Rows go and stay by ``doc_id``, so rows that share one are treated alike; ``one_row_of_each_group`` tells them apart."""
-    groups = similar_groups(docs, k, percent)
-    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-
-
 def _with_sets(docs: DataFrame, k: int) -> DataFrame:
     """``docs`` with the size ``_n`` and the digest ``_d1, _d2`` of every row's set."""
     long = T.LongType()

@@ -8,15 +8,16 @@ join each, and a cell or source that holds a third of all rows is summed map-sid
 Rates are scaled so that the mixture has as many tokens as the input: cells above their targets are thinned, and rare
 cells repeat.  With ``most`` they are scaled by the largest factor that asks for no more than that of any cell, so the
 scarcest cell decides how much of all others stays.  A document appears
-``floor(rate)`` times and once more with the rest as probability, drawn from a hash of its id and the seed: the same
-documents in every run and however the table is divided.
+``floor(rate)`` times and once more with the rest as probability, drawn from a hash of its id, text and the seed: the same
+documents in every run and however the table is divided.  Rows of equal id and text are drawn one by one, by their place
+in the table.  Tokens are estimated with a regular expression unless the caller counts them.
 
 Defined results: a null value of a dimension is a value of its own; values without a target share
 what the targets leave of 1, in proportion to their tokens; if the targets as given leave nothing, values without one
 keep the share that they have and the targets are scaled to the rest; if there are no such values, the
 targets are scaled to 1; targets of values that don't occur are left out; documents
-without tokens take their cell's rate and don't count in any sum; equal rows are drawn alike; an empty table gives an
-empty result.  Targets that contradict each other (for cells that don't exist) are met as nearly as the last step can.
+without tokens take their cell's rate and don't count in any sum; columns named ``sample_rate`` or ``copies`` are replaced;
+an empty table gives an empty result.  Targets that contradict each other (for cells that don't exist) are met as nearly as the last step can.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ NULL = "\u0000null"
 TOLERANCE = 1e-6
 MAX_SWEEPS = 40
 CELLS_A_TASK = 100_000
+IN_PLACE = 64  # copies that a task makes of one row
+PIECES = r"[\p{L}\p{N}]{1,6}|[^\p{L}\p{N}\s]"
 
 
 def key_of(name: str) -> F.Column:
@@ -92,6 +95,11 @@ def unit(seed: int, *cols: str) -> F.Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
+def estimated_tokens(text: str = "text") -> F.Column:
+    """Tokens of a text, estimated without a tokenizer: pieces of at most ``PIECE`` characters of its words, and its marks."""
+    return F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(PIECES)).cast("double")
+
+
 def sampling_rates(docs: DataFrame, targets: dict[str, dict[str, float]], tokens: F.Column, most: float | None = 1.0) -> DataFrame:
     """``<dims>, rate`` of every cell."""
     dims = list(targets)
@@ -108,27 +116,45 @@ def sampling_rates(docs: DataFrame, targets: dict[str, dict[str, float]], tokens
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]], tokens: F.Column, most: float | None = 1.0, seed: int = 2025, id_col: str = "doc_id") -> DataFrame:
-    """All rows and columns of ``docs`` with ``sample_rate`` and ``copies``, how often the row is in the mixture."""
+    """All rows and columns of ``docs`` with ``sample_rate`` and ``copies``, how often the row is in the mixture.
+
+    ``docs`` is a table that reads alike each time, as a file does."""
     dims = list(targets)
+    docs = docs.drop("sample_rate", "copies")
     rates = sampling_rates(docs, targets, tokens, most)
-    keyed = docs.select("*", *[key_of(d).alias(f"_key_{i}") for i, d in enumerate(dims)])
+    values = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in [id_col, *(c for c in ("text",) if c in docs.columns)]]
+    digest = F.md5(F.concat_ws("\n", *values).cast("binary"))
+    again = docs.select(digest.alias("_again")).groupBy("_again").agg(F.count("*").alias("_n")).filter("_n > 1").select("_again")
+    again = materialize(again, "repeated")
+    keyed = docs.select("*", digest.alias("_draw"), *[key_of(d).alias(f"_key_{i}") for i, d in enumerate(dims)])
+    if not again.isEmpty():
+        numbered = keyed.withColumn("_place", F.monotonically_increasing_id())
+        marked = numbered.join(again, F.col("_draw") == F.col("_again"), "left")
+        keyed = marked.withColumn("_draw", F.when(F.col("_again").isNull(), F.col("_draw")).otherwise(F.concat_ws("#", "_draw", "_place"))).drop("_again", "_place")
     named = rates.select(*[F.col(d).alias(f"_key_{i}") for i, d in enumerate(dims)], F.col("rate").alias("sample_rate"))
     named = materialize(named, "rates")
     if named.count() <= CELLS_A_TASK:
         named = F.broadcast(named)  # a few strings and a number each
     out = keyed.join(named, [f"_key_{i}" for i in range(len(dims))])
-    copies = F.floor("sample_rate") + (unit(seed, id_col) < F.col("sample_rate") - F.floor("sample_rate")).cast("long")
-    return out.drop(*[f"_key_{i}" for i in range(len(dims))]).withColumn("copies", copies.cast("long"))
+    copies = F.floor("sample_rate") + (unit(seed, "_draw") < F.col("sample_rate") - F.floor("sample_rate")).cast("long")
+    return out.withColumn("copies", copies.cast("long")).drop("_draw", *[f"_key_{i}" for i in range(len(dims))])
 
 
 def drawn(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of every row, as often as its ``copies`` say."""
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")
-    return mixed.filter("copies > 0").select(*columns, times).select(*columns)
+    """``columns`` of every row, as often as its ``copies`` say.  A row with many copies is dealt over the tasks first."""
+    one = F.lit(1).cast("long")
+    times = F.explode(F.sequence(one, F.col("copies"))).alias("_copy")
+    few = mixed.filter(F.col("copies").between(1, IN_PLACE)).select(*columns, times).select(*columns)
+    if not (mixed.agg(F.max("copies")).first()[0] or 0) > IN_PLACE:
+        return few
+    turns = mixed.filter(F.col("copies") > IN_PLACE).select(*columns, "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / IN_PLACE))).alias("_turn"))
+    turns = turns.repartition(F.xxhash64("_turn", F.monotonically_increasing_id()))
+    last = F.least(F.col("copies") - F.col("_turn") * IN_PLACE, F.lit(IN_PLACE).cast("long"))
+    return few.unionByName(turns.select(*columns, F.explode(F.sequence(one, last)).alias("_copy")).select(*columns))
 
 
-#: Topics by the form of a text; ``documents`` has no topic column.
 def form_topic(text: str = "text") -> F.Column:
+    """Topics by the form of a text, for tables without a topic."""
     bars = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^|]", ""))
     size = F.length(F.coalesce(F.col(text), F.lit("")))
     return F.when(bars * 50 > size, "table").when(size < 500, "note").when(size < 4000, "article").otherwise("book")
@@ -136,7 +162,7 @@ def form_topic(text: str = "text") -> F.Column:
 
 TARGETS = {
     "lang": {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12},
-    "topic": {"table": 0.03, "note": 0.01, "article": 0.40, "book": 0.56},
+    "_form": {"table": 0.03, "note": 0.01, "article": 0.40, "book": 0.56},
 }
 HOT_SHARE = 0.3
 

@@ -122,12 +122,13 @@ def learn_list(x: np.ndarray, good: np.ndarray, names: list[str], min_precision:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where: F.Column | None = None, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Ratios and label of at most ``rows`` labelled documents, those with the smallest hash of ``doc_id``.  Their ids are
-    broadcast (the bound is ``rows``), so only their texts are counted and no text is shuffled."""
+    """Ratios and label of at most ``rows`` labelled documents, those with the smallest hash of ``doc_id``, one row (the least
+    text) of each.  Their ids are broadcast (the bound is ``rows``), so only their texts are shuffled and counted."""
     named = ratios()
     known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).dropna().filter(where if where is not None else F.lit(True))
     known = materialize(known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels")
-    texts = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # one row of a repeated id
     stats = text_stats(texts, ["doc_id"]).join(F.broadcast(known), "doc_id")
     got = stats.select("doc_id", "_label", *[c.alias(k) for k, c in named.items()]).orderBy("doc_id", *named).toPandas()  # bounded by rows
     return got[list(named)].to_numpy(dtype=np.float64), got["_label"].to_numpy() == 1, list(named)

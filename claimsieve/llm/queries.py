@@ -151,10 +151,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mixing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling rate and draw of every document for the source, language and topic targets."""
-    docs = table(spark, sf_dir, "documents").withColumn("topic", mixing.form_topic())
-    tokens = F.length(F.coalesce("text", F.lit("")))
+    docs = table(spark, sf_dir, "documents").withColumn("_form", mixing.form_topic())
+    tokens = mixing.estimated_tokens()
     targets = {"source": mixing.source_targets(docs, tokens)} | mixing.TARGETS
-    return mixing.mix(docs, targets, tokens, most=None).select("doc_id", "source", "lang", "topic", F.round("sample_rate", 9).alias("sample_rate"), "copies")
+    return mixing.mix(docs, targets, tokens, most=None).select("doc_id", "source", "lang", F.col("_form").alias("topic"), F.round("sample_rate", 9).alias("sample_rate"), "copies")
 
 
 _OP10 = """

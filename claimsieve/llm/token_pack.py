@@ -13,10 +13,11 @@ touches only, and a block is unpacked by a few numpy operations.
 
 Texts are encoded by the ``tokenizers`` library.  Its byte-level splitter is regular, so words are found by a vectorised
 scan whose character classes are asked of the library itself, and each distinct word is encoded once for a task; texts
-with characters beyond the basic plane, or a tokenizer of another kind, are encoded whole.
+with an added token or characters beyond the basic plane, or a tokenizer of another kind, are encoded whole.  Ids are
+those of an untouched ``Tokenizer`` without special tokens added, so an added token in a text has its own id.
 
-Defined results: null and empty texts have the end id only; rows with equal ``doc_id`` follow each other by text; null
-ids come first; extra columns are ignored; an empty table gives no rows.
+Defined results: null and empty texts have the end id only; rows with equal ``doc_id`` follow each other by a hash of
+their texts; null ids come first; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -156,7 +157,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True  # for single words, of which none is an added token
         self.regular = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         self._forget()
         if self.regular:
@@ -176,14 +179,14 @@ class WordEncoder:
         ids: list[list[int]] = []
         groups = [place[i : i + JOINED_WORDS] for i in range(0, len(place), JOINED_WORDS)]
         for group in groups:
-            made = self.tokenizer.encode("".join([words[i] for i in group.tolist()]), add_special_tokens=False)
+            made = self.plain.encode("".join([words[i] for i in group.tolist()]), add_special_tokens=False)
             counts = np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(group))
             if len(counts) != len(group):
                 raise ValueError("joined words did not fall apart again")
             size[group] = counts
             ids.append(made.ids)
         rest = np.flatnonzero(~lead)
-        alone = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in rest.tolist()], add_special_tokens=False)]
+        alone = [e.ids for e in self.plain.encode_batch_fast([words[i] for i in rest.tolist()], add_special_tokens=False)]
         size[rest] = [len(x) for x in alone]
         return ids + alone, np.concatenate([*groups, rest]), size
 
@@ -246,7 +249,9 @@ class WordEncoder:
         start = np.flatnonzero(self._starts(chars, kind))
         stop = np.append(start[1:], len(chars))
         key = span_hashes(chars, start, stop)
-        far = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(kind == _FAR)[edges]))))  # texts for the library as a whole
+        far = np.diff(np.concatenate(([0], np.cumsum(kind == _FAR)[edges]))) > 0  # texts for the library as a whole
+        far |= np.array([any(x in t for x in self.added) for t in texts], dtype=bool)
+        far = np.flatnonzero(far)
         uniq, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         if len(self.keys) > KNOWN_WORDS:
             self._forget()
@@ -308,7 +313,8 @@ def write_packed(docs: DataFrame, tokenizer: str, folder: str, vocabulary: int,
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(id_type)))], schema.names)
 
     rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t"))
-    ordered = rows.repartitionByRange("_i").sortWithinPartitions("_i", "_t")
+    rows = rows.withColumn("_d", F.xxhash64("_t"))  # rows of a repeated id can go to several tasks
+    ordered = rows.repartitionByRange("_i", "_d").sortWithinPartitions("_i", "_d", "_t").drop("_d")
     return materialize(ordered.mapInArrow(write, schema), "packs")
 
 

@@ -5,8 +5,8 @@ every earlier category is an input of the later models.  While training, those i
 a later model sees earlier probabilities as unsure as they'll be on new texts.
 
 Features are the presence of a word, and of the first five bytes of a longer word (which catches compounds and
-inflected forms).  They are selected on a bounded labelled sample by how far their rate differs between the classes of
-any category; counts and selection are Spark aggregations, and only the selected features' rows reach the driver.
+inflected forms).  Each category selects its share of them on a bounded labelled sample, by how far their rate differs
+between its classes; counts and selection are Spark aggregations, and only the selected features' rows reach the driver.
 
 Defined results: null and empty texts have no features and get the intercepts' probabilities; unlabelled rows and rows
 with a null label aren't learned from; a category with one class gets a constant probability; repeated rows are scored
@@ -28,7 +28,7 @@ from claimsieve.llm.words import ALNUM, Scan, bounded_batches, chunks, encoded,
 from claimsieve.session import materialize
 
 SAMPLE_ROWS = 10_000
-FEATURES = 2_048
+FEATURES = 4_096  # of all categories; each has an equal share
 MIN_ROWS = 4
 FOLDS = 3
 STEM = 5
@@ -156,12 +156,13 @@ def train_chain(row: np.ndarray, col: np.ndarray, y: np.ndarray, fold: np.ndarra
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Chain:
-    """Fit on at most ``rows`` labelled documents (those with the smallest hash of ``doc_id``); ``labels`` has ``doc_id``
+    """Fit on at most ``rows`` labelled documents (those with the smallest hash of ``doc_id``, one row of each); ``labels`` has ``doc_id``
     and a 0/1 column per category, in the chain's order."""
     bounded_batches(docs.sparkSession)
     known = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in categories]).dropna().dropDuplicates(["doc_id"])
     known = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels")
-    sample = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")  # bounded by rows
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"))  # one row of a repeated id: bounded by rows
     found = materialize(_feature_rows(sample).join(F.broadcast(known), "doc_id"), "features")
     totals = found.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     if not totals["n"]:
@@ -173,8 +174,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], rows: i
         share = max(totals[c], 1) / totals["n"]
         return F.abs(F.col(c) - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1e-9)
 
-    best = counts.orderBy(F.desc(F.greatest(*[differs(c) for c in categories], F.lit(0.0))), "f").limit(features)
-    chosen = np.sort(np.array([r["f"] for r in best.select("f").collect()], dtype=np.int64).view(np.uint64))  # bounded by features
+    counts = materialize(counts, "counts")
+    best = [counts.orderBy(F.desc(differs(c)), "f").limit(features // len(categories)).select("f") for c in categories]
+    names = sorted({r["f"] for b in best for r in b.collect()})  # bounded by features
+    chosen = np.sort(np.array(names, dtype=np.int64).view(np.uint64))
     wanted = F.array(*[F.lit(int(x)) for x in chosen.view(np.int64)])
     got = found.select("doc_id", *categories, F.array_intersect("features", wanted).alias("f")).orderBy("doc_id").toArrow()  # bounded by rows x features
     lists = got.column("f").combine_chunks()

@@ -34,6 +34,7 @@ from claimsieve.session import materialize, scratch_path
 
 GAP_BYTES = 64 << 10
 RANGE_BYTES = 8 << 20
+TASK_BYTES = 64 << 20
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 DATE = "2024-01-01T00:00:00Z"
 
@@ -138,7 +139,10 @@ def read_records(spark: SparkSession, index: DataFrame, gap: int = GAP_BYTES, si
     fields = [("page_id", id_type), ("url", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", id_type)]
     fields += [("payload", T.BinaryType())] if payload else []
     schema = T.StructType([T.StructField(k, t) for k, t in fields])
-    ranges = byte_ranges(index, gap, size)
+    # the index is small beside the records, so tasks are dealt by the bytes that they will read
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    ranges = byte_ranges(index, gap, size).repartition(tasks, F.xxhash64("file", "start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
