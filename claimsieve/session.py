@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_GROUP: ContextVar[str] = ContextVar("group", default="")
 
 
 def build_session(app: str = "claimsieve", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -42,8 +46,35 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/claimsieve/{app}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{_app_folder(spark)}/{_GROUP.get()}{label}-{uuid.uuid4().hex[:12]}"
+
+
+def _app_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/claimsieve/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def step_group(name: str) -> Iterator[str]:
+    """Step tables written inside lie in one folder, which :func:`release_group` deletes."""
+    own = f"{_GROUP.get()}{name}-{uuid.uuid4().hex[:12]}/"
+    token = _GROUP.set(own)
+    try:
+        yield own
+    finally:
+        _GROUP.reset(token)
+
+
+def release_group(spark: SparkSession, group: str, reader: DataFrame | None = None) -> bool:
+    """Delete the step tables of a group, unless ``reader`` still reads files of it.  Whether they are gone."""
+    if reader is not None and any(group in f for f in reader.inputFiles()):
+        return False
+    _delete(spark, f"{_app_folder(spark)}/{group}")
+    return True
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
@@ -66,6 +97,4 @@ def spread(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> bool:
     """Delete the step tables this application wrote to the shared folder.  Call it once results are stored elsewhere."""
-    jvm, sc = spark._jvm, spark.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/claimsieve/{sc.applicationId}")
-    return path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return _delete(spark, _app_folder(spark))
