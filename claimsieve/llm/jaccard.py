@@ -132,7 +132,8 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """``node, n, single, common, p0, p1, p2``: how many tokens no other class has, the others, and those of them that are
     in each prefix."""
     each = sets.select("node", F.explode("tokens").alias("token"))
-    shared = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    # counts and heads are written, so both sides of their joins are plain shuffles and a hot token's rows can be divided
+    shared = materialize(each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "counts")
     own = each.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))  # at most one set
     own = own.join(sets.select("node", "n"), "node")
     tokens = F.col("s.token")
@@ -193,6 +194,7 @@ def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[Dat
     index = prefixes.select("node", "n", "single", F.posexplode("p0").alias("at", "token")).withColumn("at", F.col("single") + F.col("at"))
     pivot = F.min(F.struct("single", F.xxhash64("node").alias("h"), "node", "n", "at"))
     heads = index.groupBy("token").agg(F.count("*").alias("m"), pivot.alias("pivot")).filter("m > 1")
+    heads = materialize(heads, "heads")
     index = materialize(index.drop("single").join(heads, "token"), "index")
     entry = F.struct("node", "n", "at")
     few = index.filter(F.col("m") <= SMALL_BUCKET).groupBy("token").agg(F.sort_array(F.collect_list(entry)).alias("e"))
@@ -209,6 +211,7 @@ def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[Dat
         placed = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         parts = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
         whole = parts.groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+        whole = materialize(whole, "whole")
         placed = materialize(placed.join(whole.select("token", "m", "main"), "token"), "open")
         # what is left: a row outside its bucket's main component with a row of any other component
         minor = placed.filter("root != main")

@@ -135,7 +135,8 @@ def manifest(rows: DataFrame, run: Column, id_col: str, values: Sequence[Column]
     Leaves hash ``values`` in order; verification starts from the hash of the ``claimed`` values (by default the same)."""
     leaf, told = leaf_hash(*values), leaf_hash(*(claimed or values))
     leaves = rows.select(run_key(run).alias("run"), F.col(id_col).alias("_id"), leaf.alias("node"), F.nullif(told, leaf).alias("told"))
-    nodes = materialize(numbered(leaves, ["_id", "node"]), "leaves")
+    # hashes first, so the range sort samples and moves narrow rows and no text is read twice
+    nodes = materialize(numbered(materialize(leaves, "hashes"), ["_id", "node"]), "leaves")
     own, tops = tree(nodes, fanout, height)
     tops = materialize(tops, "subroots")
     runs = materialize(numbered(tops.select(F.lit("").alias("run"), F.col("run").alias("_run"), F.col("top").alias("node")), ["_run"]), "runs")
