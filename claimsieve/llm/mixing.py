@@ -32,7 +32,7 @@ TOLERANCE = 1e-6
 MAX_SWEEPS = 40
 CELLS_A_TASK = 100_000
 IN_PLACE = 64  # copies that a task makes of one row
-PIECES = r"[\p{L}\p{N}]{1,6}|[^\p{L}\p{N}\s]"
+PIECES = r"[A-Za-z0-9]{1,5}|[^A-Za-z0-9\s]"
 
 
 def key_of(name: str) -> F.Column:
@@ -96,14 +96,14 @@ def unit(seed: int, *cols: str) -> F.Column:
 
 
 def estimated_tokens(text: str = "text") -> F.Column:
-    """Tokens of a text, estimated without a tokenizer: pieces of at most ``PIECE`` characters of its words, and its marks."""
+    """Tokens of a text, estimated without a tokenizer: pieces of at most five ASCII letters or digits, and every other
+    character but white space."""
     return F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(PIECES)).cast("double")
 
 
-def sampling_rates(docs: DataFrame, targets: dict[str, dict[str, float]], tokens: F.Column, most: float | None = 1.0) -> DataFrame:
-    """``<dims>, rate`` of every cell."""
+def sampling_rates(cells: DataFrame, targets: dict[str, dict[str, float]], most: float | None = 1.0) -> DataFrame:
+    """``<dims>, rate`` of every cell of :func:`cells_of`."""
     dims = list(targets)
-    cells = materialize(cells_of(docs, dims, tokens), "cells")
     fitted = rake(cells, targets).select(*[F.col(d).alias(f"_{d}") for d in dims], "w", F.col("tokens").alias("_t"), (F.col("w") / F.col("tokens")).alias("r"))
     sums = fitted.agg(F.max("r").alias("top"), F.sum("w").alias("w"), F.sum("_t").alias("t")).first()
     scale = (sums["t"] or 1.0) / (sums["w"] or 1.0) if most is None else most / (sums["top"] or 1.0)
@@ -115,13 +115,15 @@ def sampling_rates(docs: DataFrame, targets: dict[str, dict[str, float]], tokens
     return cells.join(scaled, cond, "left").select(*dims, F.coalesce("rate", F.lit(1.0 if most is None else float(most))).alias("rate"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]], tokens: F.Column, most: float | None = 1.0, seed: int = 2025, id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]], tokens: F.Column | DataFrame, most: float | None = 1.0, seed: int = 2025, id_col: str = "doc_id") -> DataFrame:
     """All rows and columns of ``docs`` with ``sample_rate`` and ``copies``, how often the row is in the mixture.
 
+    ``tokens`` counts a row's tokens, unless they have been summed: then it is the written table of :func:`cells_of`.
     ``docs`` is a table that reads alike each time, as a file does."""
     dims = list(targets)
     docs = docs.drop("sample_rate", "copies")
-    rates = sampling_rates(docs, targets, tokens, most)
+    cells = tokens if isinstance(tokens, DataFrame) else materialize(cells_of(docs, dims, tokens), "cells")
+    rates = sampling_rates(cells, targets, most)
     values = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in [id_col, *(c for c in ("text",) if c in docs.columns)]]
     digest = F.md5(F.concat_ws("\n", *values).cast("binary"))
     again = docs.select(digest.alias("_again")).groupBy("_again").agg(F.count("*").alias("_n")).filter("_n > 1").select("_again")
@@ -167,9 +169,9 @@ TARGETS = {
 HOT_SHARE = 0.3
 
 
-def source_targets(docs: DataFrame, tokens: F.Column, hot_share: float = HOT_SHARE) -> dict[str, float]:
-    """Bring every source that holds more than ``hot_share`` of the tokens down to it (there are fewer than
+def source_targets(cells: DataFrame, hot_share: float = HOT_SHARE) -> dict[str, float]:
+    """From the cells: bring every source that holds more than ``hot_share`` of the tokens down to it (there are fewer than
     ``1 / hot_share`` of those); the others share the rest as they do now, and need no target of their own."""
-    sums = docs.select(key_of("source").alias("source"), tokens.cast("double").alias("t")).groupBy("source").agg(F.sum("t").alias("t"))
+    sums = cells.groupBy("source").agg(F.sum("tokens").alias("t"))
     all_ = sums.agg(F.sum("t")).first()[0] or 0.0
     return {r["source"]: hot_share for r in sums.filter(F.col("t") > all_ * hot_share).collect()}  # fewer than 1 / hot_share rows

@@ -152,9 +152,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling rate and draw of every document for the source, language and topic targets."""
     docs = table(spark, sf_dir, "documents").withColumn("_form", mixing.form_topic())
-    tokens = mixing.estimated_tokens()
-    targets = {"source": mixing.source_targets(docs, tokens)} | mixing.TARGETS
-    return mixing.mix(docs, targets, tokens, most=None).select("doc_id", "source", "lang", F.col("_form").alias("topic"), F.round("sample_rate", 9).alias("sample_rate"), "copies")
+    cells = materialize(mixing.cells_of(docs, ["source", *mixing.TARGETS], mixing.estimated_tokens()), "cells")
+    targets = {"source": mixing.source_targets(cells)} | mixing.TARGETS
+    return mixing.mix(docs, targets, cells, most=None).select("doc_id", "source", "lang", F.col("_form").alias("topic"), F.round("sample_rate", 9).alias("sample_rate"), "copies")
 
 
 _OP10 = """
