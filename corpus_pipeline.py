@@ -58,10 +58,11 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @staged
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled towards the source, language and topic targets, counted in estimated tokens; those of rare cells repeat."""
-    tokens = mixing.estimated_tokens()
-    targets = {"source": mixing.source_targets(docs, tokens)} | mixing.TARGETS
-    mixed = mixing.mix(docs.withColumn("_form", mixing.form_topic()), targets, tokens, most=None)
-    return mixing.drawn(mixed, docs.columns)
+    columns, docs = docs.columns, docs.withColumn("_form", mixing.form_topic())
+    cells = materialize(mixing.cells_of(docs, ["source", *mixing.TARGETS], mixing.estimated_tokens()), "cells")
+    targets = {"source": mixing.source_targets(cells)} | mixing.TARGETS
+    mixed = mixing.mix(docs, targets, cells, most=None)
+    return mixing.drawn(mixed, columns)
 
 
 @staged
