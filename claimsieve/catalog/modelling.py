@@ -1,4 +1,4 @@
-"""Queries that fit models.  Tree counts, folds and grids are small here; the full settings are parameters."""
+"""Queries that fit models: all configurations, schemes and folds; the number of trees is the only reduced setting."""
 
 from __future__ import annotations
 
@@ -8,21 +8,35 @@ from claimsieve.catalog.common import round_doubles
 from claimsieve.catalog.registry import register
 from claimsieve.operators import classify as N
 from claimsieve.operators import models as M
+from claimsieve.operators.order import quantile_columns
 from claimsieve.operators.regress import median_baseline, regression_metrics
 from claimsieve.plans import modelling as P
 from claimsieve.session import scratch_path
 from claimsieve.sources.claims import order_claims
 
-SMALL = M.GbtSpec("l2", 0.3, 5, 20, 8)
+TREES = 4
+SPEC = M.GbtSpec("l1", 0.1, 5, 20, TREES)
 FOREST = {"trees": 10, "depth": 6}
-FOLDS = 3
-ROUNDS = 4
+FOLDS = 5
+_saved: dict[tuple[str, str], dict] = {}  # by application and data: the folder of chosen models and what is in it
 
 
 def prepared(spark, sf_dir) -> P.Prepared:
     return P.prepare(order_claims(spark, sf_dir))
 
 
+def choose(spark, sf_dir, part, prep=None):
+    """Choose a regressor or a classifier on this data and save it, once in an application: ``(folder, scores)``."""
+    held = _saved.setdefault((spark.sparkContext.applicationId, sf_dir), {"folder": scratch_path(spark, "models")})
+    if part not in held:
+        prep = prep or prepared(spark, sf_dir)
+        if part == "regressor":
+            held[part] = P.select_regressor(prep, M.full_grid(TREES), held["folder"], FOLDS, lo=1)
+        else:
+            held[part] = P.select_classifier(prep, held["folder"], k=FOLDS, **FOREST)
+    return held["folder"], held[part]
+
+
 @register("assemble_features")
 def assemble_features(spark, sf_dir):
     prep = prepared(spark, sf_dir)
@@ -34,93 +48,108 @@ def assemble_features(spark, sf_dir):
 
 @register("gbt_regress")
 def gbt_regress(spark, sf_dir):
+    """Out-of-fold errors of the three objectives and the median baseline."""
     prep = prepared(spark, sf_dir)
     data = P.assembled_folds(prep, FOLDS)
-    train, valid = data.where("fold <> 0"), data.where("fold = 0")
-    out = regression_metrics(median_baseline(train, valid)).withColumn("objective", F.lit("median"))
-    for objective in ("l2", "log"):
-        model = M.fit_gbt(train, SMALL._replace(objective=objective), prep.space.max_bins)
-        row = regression_metrics(model.predict(valid)).withColumn("objective", F.lit(objective))
-        out = out.unionByName(row)
+    out = regression_metrics(median_baseline(data)).withColumn("objective", F.lit("median"))
+    specs = [SPEC._replace(objective=o) for o in ("l2", "log", "l1")]
+    for spec, (oof, _) in zip(specs, M.cross_fits(data, specs, prep.space.max_bins, FOLDS)):
+        out = out.unionByName(regression_metrics(oof).withColumn("objective", F.lit(spec.objective)))
     return round_doubles(out)
 
 
 @register("lad_boost")
 def lad_boost(spark, sf_dir):
+    """Training error of every round, and the error on the fold that was left out."""
     prep = prepared(spark, sf_dir)
     data = P.assembled_folds(prep, FOLDS)
-    model = M.fit_gbt(data, SMALL._replace(objective="l1"), prep.space.max_bins, lad_rounds=ROUNDS)
-    rounds = F.array(*[F.lit(m) for m in model.training_mae])
-    scored = regression_metrics(model.predict(data)).select("n", "mae")
-    return round_doubles(
-        scored.select(F.posexplode(rounds).alias("round", "training_mae"), F.col("n"), F.col("mae").alias("final_mae"))
-    )
+    fit = M.boost(data.where("fold <> 0"), SPEC._replace(trees=2 * TREES), prep.space.max_bins)
+    rounds = F.array(*[F.lit(m) for m in fit.training])
+    scored = regression_metrics(fit.model.predict(data.where("fold = 0"))).select("n", "mae")
+    return round_doubles(scored.select(F.posexplode(rounds).alias("round", "training_mae"), F.col("n"), F.col("mae").alias("final_mae")))
 
 
 @register("early_stop")
 def early_stop(spark, sf_dir):
+    """Best round of each objective on the inner split of the training part, with the errors around it."""
     prep = prepared(spark, sf_dir)
-    data = P.assembled_folds(prep, FOLDS)
-    best = M.best_iteration(data.where("fold <> 0"), SMALL._replace(trees=12), prep.space.max_bins)
-    return data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).withColumn("best_iteration", F.lit(best))
+    train = P.assembled_folds(prep, FOLDS).where("fold <> 0")
+    specs = [SPEC._replace(objective=o, learning_rate=0.5, trees=2 * TREES) for o in ("l2", "log", "l1")]
+    fits = M.in_parallel([lambda s=s: M.early_stopped(train, s, prep.space.max_bins, patience=TREES, chunk=2) for s in specs])
+    rows = [(s.objective, f.best, len(f.inner), f.inner[0], f.inner[f.best - 1]) for s, f in zip(specs, fits)]
+    return round_doubles(spark.createDataFrame(rows, "objective string, best_iteration int, rounds int, first_error double, best_error double"))
 
 
 @register("grid_screen")
 def grid_screen(spark, sf_dir):
-    grid = [SMALL, SMALL._replace(objective="log"), SMALL._replace(depth=4)]
-    return round_doubles(P.grid_screen(prepared(spark, sf_dir), grid, FOLDS, keep=3, early_stop=False))
+    """All 20 configurations with early stopping, the best three kept."""
+    return round_doubles(P.grid_screen(prepared(spark, sf_dir), M.full_grid(TREES), FOLDS))
 
 
 @register("topk_configs")
 def topk_configs(spark, sf_dir):
-    grid = [SMALL._replace(depth=d, trees=4) for d in (2, 3, 4, 5)]
-    screened = P.grid_screen(prepared(spark, sf_dir), grid, FOLDS, keep=4, early_stop=False)
-    return round_doubles(P.topk(screened, "mae", 3).select("config", "depth", "mae"))
+    """The best three of all 20 configurations."""
+    screened = P.grid_screen(prepared(spark, sf_dir), M.full_grid(TREES), FOLDS, keep=20)
+    return round_doubles(P.topk(screened, "mae", 3).select("config", "objective", "depth", "mae"))
 
 
 @register("cv_oof")
 def cv_oof(spark, sf_dir):
-    return round_doubles(P.cross_validation(prepared(spark, sf_dir), [(0, SMALL)], FOLDS, early_stop=False))
+    """The three objectives over five folds, each with early stopping."""
+    configs = [(i, SPEC._replace(objective=o)) for i, o in enumerate(("l2", "log", "l1"))]
+    return round_doubles(P.cross_validation(prepared(spark, sf_dir), configs, FOLDS))
 
 
 @register("holdout_check")
 def holdout_check(spark, sf_dir):
-    return round_doubles(P.holdout_check(prepared(spark, sf_dir), SMALL))
-
-
-SCREEN = [SMALL, SMALL._replace(objective="log"), SMALL._replace(depth=4), SMALL._replace(objective="l1", trees=4)]
+    """The chosen configuration, fitted without the holdout and scored on it."""
+    prep = prepared(spark, sf_dir)
+    return round_doubles(P.holdout_check(prep, P.load_spec(spark, f"{choose(spark, sf_dir, 'regressor', prep)[0]}/spec")))
 
 
 @register("select_regressor")
 def select_regressor(spark, sf_dir):
-    """Screen, cross-validation, choice and frozen trees, saved to a file."""
-    scores = P.select_regressor(prepared(spark, sf_dir), SCREEN, scratch_path(spark, "regressor"), FOLDS, keep=2, early_stop=False, lo=4)
-    return round_doubles(scores)
+    """Full screen, cross-validation of the best three, choice and frozen trees; the fitted model is saved."""
+    return round_doubles(choose(spark, sf_dir, "regressor")[1])
+
+
+@register("select_classifier")
+def select_classifier(spark, sf_dir):
+    """All schemes over five folds; the best one, fitted on all of history, is saved with its configuration."""
+    return round_doubles(choose(spark, sf_dir, "classifier")[1])
 
 
 @register("predict_payout")
 def predict_payout(spark, sf_dir):
-    return round_doubles(P.predict_payout(prepared(spark, sf_dir), SMALL))
+    """Payouts of new claims from the saved model."""
+    prep = prepared(spark, sf_dir)
+    return round_doubles(P.predict_payout(spark, choose(spark, sf_dir, "regressor", prep)[0], prep.score))
 
 
 @register("classify")
 def classify(spark, sf_dir):
     prep = prepared(spark, sf_dir)
     data = P.assembled_folds(prep, FOLDS, stratified=True)
-    train, valid = data.where("fold <> 0"), data.where("fold = 0")
+
+    def job(boosted, f):
+        def run():
+            settings = {"trees": 6, "depth": 4, "learning_rate": 0.3} if boosted else FOREST
+            model = M.fit_classifier(data.where(F.col("fold") != f), prep.space.max_bins, boosted=boosted, **settings)
+            return P.materialize(model.predict(data.where(F.col("fold") == f)).select("claim_key", "risk_class", "predicted"), "classes")
+
+        return run
+
     out = None
     for name, boosted in (("forest", False), ("boosted", True)):
-        settings = {"trees": 6, "depth": 4, "learning_rate": 0.3} if boosted else FOREST
-        model = M.fit_classifier(train, prep.space.max_bins, boosted=boosted, **settings)
-        row = N.class_metrics(model.predict(valid)).withColumn("model", F.lit(name))
+        parts = M.in_parallel([job(boosted, f) for f in range(FOLDS)])
+        row = N.class_metrics(P.reduce(P.DataFrame.unionByName, parts)).withColumn("model", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return round_doubles(out)
 
 
 @register("imbalance_schemes")
 def imbalance_schemes(spark, sf_dir):
-    predictions = P.scheme_predictions(prepared(spark, sf_dir), k=2, **FOREST)
-    return round_doubles(P.scheme_report(predictions))
+    return round_doubles(P.scheme_report(P.scheme_predictions(prepared(spark, sf_dir), k=FOLDS, **FOREST)))
 
 
 @register("best_scheme")
@@ -131,19 +160,22 @@ def best_scheme(spark, sf_dir):
 
 @register("route_compare")
 def route_compare(spark, sf_dir):
-    return round_doubles(P.route_comparison(prepared(spark, sf_dir), SMALL, P.SCHEMES[2], 2, **FOREST))
+    return round_doubles(P.route_comparison(prepared(spark, sf_dir), SPEC, P.SCHEMES[2], FOLDS, **FOREST))
 
 
 @register("predictions_table")
 def predictions_table(spark, sf_dir):
-    return P.prediction_table(prepared(spark, sf_dir), SMALL, **FOREST)
+    """From the saved choice alone."""
+    prep = prepared(spark, sf_dir)
+    choose(spark, sf_dir, "regressor", prep)
+    return P.prediction_table(spark, choose(spark, sf_dir, "classifier", prep)[0], prep.score)
 
 
 @register("result_summary")
 def result_summary(spark, sf_dir):
-    from claimsieve.operators.order import quantile_columns
-
-    scored = P.materialize(P.predict_payout(prepared(spark, sf_dir), SMALL), "payouts")
+    """Counts and quartiles of the payouts that the chosen model predicts."""
+    prep = prepared(spark, sf_dir)
+    scored = P.materialize(P.predict_payout(spark, choose(spark, sf_dir, "regressor", prep)[0], prep.score), "payouts")
     basic = scored.agg(
         F.count(F.lit(1)).alias("n"), F.avg("payout_hat").alias("mean"), F.min("payout_hat").alias("min"), F.max("payout_hat").alias("max")
     )
@@ -154,9 +186,9 @@ def result_summary(spark, sf_dir):
 @register("label_sensitivity")
 def label_sensitivity(spark, sf_dir):
     pairs = [(0.86, 0.98), (0.85, 0.97), (0.88, 0.98)]
-    return round_doubles(P.label_sensitivity(prepared(spark, sf_dir), pairs, 2, **FOREST))
+    return round_doubles(P.label_sensitivity(prepared(spark, sf_dir), pairs, FOLDS, **FOREST))
 
 
 @register("ablation")
 def ablation(spark, sf_dir):
-    return round_doubles(P.ablation(prepared(spark, sf_dir), SMALL._replace(trees=4), k=2))
+    return round_doubles(P.ablation(prepared(spark, sf_dir), SPEC, k=FOLDS))

@@ -25,6 +25,22 @@ def balanced_weights(df: DataFrame, label: str = "risk_class", name: str = "weig
     return df.withColumn("_counts", class_counts(df, label)).withColumn(name, total / (own * len(CLASSES))).drop("_counts")
 
 
+def copies(
+    df: DataFrame, ratios: dict[int, float], label: str = "risk_class", key: str = "claim_key", seed: int = 2025, name: str = "copies"
+) -> DataFrame:
+    """Add how often each row counts so that every listed class has ``ratio`` times as many rows as class 0.
+
+    Every row counts; those that count once more than the others come first in the seeded hash order of their class."""
+    target = F.lit(None).cast("double")
+    for k, ratio in ratios.items():
+        target = F.when(F.col(label) == k, F.bround(F.get("_counts", F.lit(0)) * F.lit(float(ratio)))).otherwise(target)
+    ranked = hash_ordinal(df, key, seed, [label], "_o").withColumn("_counts", class_counts(df, label))
+    own = F.get("_counts", F.col(label))
+    extra = F.greatest(F.coalesce(target.cast("bigint") - own, F.lit(0)), F.lit(0))
+    times = 1 + F.expr("_extra div _own") + F.when(F.col("_o") < F.col("_extra") % F.col("_own"), 1).otherwise(0)
+    return ranked.withColumn("_own", own).withColumn("_extra", extra).withColumn(name, times.cast("int")).drop("_o", "_counts", "_own", "_extra")
+
+
 def oversample(
     df: DataFrame,
     ratios: dict[int, float],
@@ -33,24 +49,10 @@ def oversample(
     seed: int = 2025,
     copy: str = "copy",
 ) -> DataFrame:
-    """Repeat the rows of each listed class until it has ``ratio`` times as many rows as class 0.
+    """Repeat the rows of each listed class until it has ``ratio`` times as many rows as class 0 (see :func:`copies`).
 
-    Every row is kept; the rows repeated once more than the others come first in the seeded hash order of their class.
-    Copies are made inside the task that holds the row.
-    """
-    target = F.lit(None).cast("double")
-    for k, ratio in ratios.items():
-        target = F.when(F.col(label) == k, F.bround(F.get("_counts", F.lit(0)) * F.lit(float(ratio)))).otherwise(target)
-    ranked = hash_ordinal(df, key, seed, [label], "_o").withColumn("_counts", class_counts(df, label))
-    own = F.get("_counts", F.col(label))
-    extra = F.greatest(F.coalesce(target.cast("bigint") - own, F.lit(0)), F.lit(0))
-    copies = 1 + F.expr("_extra div _own") + F.when(F.col("_o") < F.col("_extra") % F.col("_own"), 1).otherwise(0)
-    return (
-        ranked.withColumn("_own", own)
-        .withColumn("_extra", extra)
-        .withColumn(copy, F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-        .drop("_o", "_counts", "_own", "_extra")
-    )
+    Copies are made inside the task that holds the row."""
+    return copies(df, ratios, label, key, seed, "_times").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
 
 
 def prior_correct(df: DataFrame, priors: Column, w: float, probability: str = "probability") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Tree models on Spark ML: features, boosted regression (three objectives), classification.
+"""Tree models on Spark ML: features, boosted regression (three objectives, resumable, early stopping), classification.
 
 Loops here run on the driver over Spark ML fits; every fit is a distributed job over the claims.  What comes back to
 the driver is bounded by the model: leaves, error curves and metric rows.
@@ -6,21 +6,28 @@ the driver is bounded by the model: leaves, error curves and metric rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from itertools import accumulate
 from typing import NamedTuple
 
+from pyspark import SparkContext, inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimsieve.functions.expr import argmax
 from claimsieve.operators.order import exact_quantiles
 from claimsieve.operators.folds import SEED, holdout
 from claimsieve.plans.features import NUMERIC_FEATURES
-from claimsieve.session import materialize, shared_folder
+from claimsieve.session import materialize, release_group, step_group
+from claimsieve.sources.files import load_config, save_config
 from claimsieve.sources.schemas import CATEGORICAL
 
 KEPT = ["claim_key", "claim_amount", "payout", "excess", "risk_class", "fold", "weight"]
@@ -52,6 +59,12 @@ class FeatureSpace(NamedTuple):
         return assembler.transform(coded).select(*[c for c in KEPT if c in df.columns], "features")
 
 
+def feature_view(df: DataFrame, space: FeatureSpace, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """An assembled table with some of its features, category levels included, without assembling it again."""
+    slicer = VectorSlicer(inputCol="_all", outputCol="features", indices=[*[space.numeric.index(c) for c in numeric], *[len(space.numeric) + space.categorical.index(c) for c in categorical]])
+    return slicer.transform(df.withColumnRenamed("features", "_all")).drop("_all")
+
+
 def fit_features(
     train: DataFrame,
     score: DataFrame | None = None,
@@ -91,130 +104,198 @@ def full_grid(trees: int = 2000) -> list[GbtSpec]:
     return grid + [GbtSpec("log", lr, depth, 20, trees) for lr in (0.05, 0.1) for depth in (5, 6)]
 
 
-class BoostedModel:
-    """Spark's boosted trees; the log objective is mapped back with ``expm1``."""
+PATIENCE = 100
+CHUNK = 4
+FEW_ROWS = 100_000
+WIDTH = 4
 
-    def __init__(self, model, log_target: bool):
-        self.model, self.log_target = model, log_target
 
-    def predict(self, df: DataFrame, name: str = "payout_hat") -> DataFrame:
-        raw = F.expm1("_p") if self.log_target else F.col("_p")
-        return self.model.setPredictionCol("_p").transform(df).withColumn(name, raw).drop("_p")
+def in_parallel(jobs: Sequence[Callable[[], object]], width: int = WIDTH, pool: str = "models") -> list:
+    """Results of driver-side jobs (fits over tables that are written already), at most ``width`` at a time.
+
+    Their Spark jobs share the executors; with the fair scheduler they do so in the named pool."""
+
+    def run(job):
+        SparkContext._active_spark_context.setLocalProperty("spark.scheduler.pool", pool)
+        return job()
+
+    with ThreadPoolExecutor(max(1, min(width, len(jobs)))) as threads:
+        return [f.result() for f in [threads.submit(inheritable_thread_target(SparkSession.active())(run), job) for job in jobs]]
+
 
+class Boosted:
+    """A start value plus the trees' steps.  A tree's step is its own value or, for ``l1``, its leaf's median residual;
+    the log objective is mapped back with ``expm1``."""
 
-class LadModel:
-    """A base model plus trees whose leaves carry the median residual."""
+    def __init__(self, objective: str, learning_rate: float, start: float, rounds: list[tuple[object, list[float] | None]] | None = None):
+        self.objective, self.learning_rate, self.start = objective, learning_rate, start
+        self.rounds = rounds or []
 
-    def __init__(self, base: BoostedModel, learning_rate: float):
-        self.base, self.learning_rate = base, learning_rate
-        self.rounds: list[tuple[object, list[float]]] = []
-        self.training_mae: list[float] = []
+    def first(self, n: int) -> Boosted:
+        return Boosted(self.objective, self.learning_rate, self.start, self.rounds[:n])
 
-    def step(self, df: DataFrame, tree, medians: list[float], name: str) -> DataFrame:
-        leaf = F.get(F.array(*[F.lit(m) for m in medians]), F.col("_leaf").cast("int"))
-        return tree.transform(df).withColumn(name, F.col(name) + self.learning_rate * leaf).drop("_leaf", "_p")
+    def step(self, df: DataFrame, tree, medians: list[float] | None, old: str, new: str) -> DataFrame:
+        value = F.col("_p") if medians is None else F.get(F.array(*[F.lit(m) for m in medians]), F.col("_leaf").cast("int"))
+        return tree.transform(df).withColumn(new, F.col(old) + self.learning_rate * value).drop("_leaf", "_p")
 
     def predict(self, df: DataFrame, name: str = "payout_hat") -> DataFrame:
-        out = self.base.predict(df, name)
+        out = df.withColumn(name, F.lit(self.start))
         for tree, medians in self.rounds:
-            out = self.step(out, tree, medians, name)
+            out = self.step(out, tree, medians, name, name)
+        return out.withColumn(name, F.expm1(name)) if self.objective == "log" else out
+
+
+def leaf_medians(placed: DataFrame, leaves: int, rows: int, few: int = FEW_ROWS) -> list[float]:
+    """Exact median of ``_residual`` by ``_leaf``.  Up to ``few`` rows come to the driver as counted values; beyond that the
+    distributed order statistics find the medians, so a leaf can hold any number of rows."""
+    out = [0.0] * leaves
+    if rows > few:
+        for r in exact_quantiles(placed, "_residual", [0.5], ["_leaf"]).collect():  # at most 2 ** depth leaves
+            out[int(r["_leaf"])] = r["q"]
         return out
+    counted: dict[int, list[tuple[float, int]]] = {}
+    for leaf, value, n in placed.groupBy("_leaf", "_residual").count().collect():  # bounded by few
+        counted.setdefault(int(leaf), []).append((value, n))
+    for leaf, values in counted.items():
+        values.sort()
+        ends = list(accumulate(n for _, n in values))
+        low, high = (values[bisect_right(ends, rank)][0] for rank in ((ends[-1] - 1) // 2, ends[-1] // 2))
+        out[leaf] = low + (high - low) / 2
+    return out
 
 
-def _boosting(spark, spec: GbtSpec, max_bins: int, label: str, seed: int) -> GBTRegressor:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark) + "/claimsieve/ml")
-    return GBTRegressor(
-        featuresCol="features",
-        labelCol=label,
-        maxIter=spec.trees,
-        stepSize=spec.learning_rate,
-        maxDepth=spec.depth,
-        minInstancesPerNode=spec.min_leaf,
-        maxBins=max_bins,
-        checkpointInterval=10,
-        seed=seed,
-    )
+class Fit(NamedTuple):
+    """A boosted model, its mean training and inner error after each round, and the round with the least inner error."""
 
+    model: Boosted
+    training: list[float]
+    inner: list[float]
+    best: int
 
-def fit_gbt(train: DataFrame, spec: GbtSpec, max_bins: int, y: str = "payout", seed: int = SEED, lad_rounds: int | None = None):
-    """Fit one configuration.  ``l1`` starts from the squared-error model and adds median-leaf rounds."""
-    log_target = spec.objective == "log"
-    labelled = train.withColumn("_y", F.log1p(y) if log_target else F.col(y))
-    base = BoostedModel(_boosting(train.sparkSession, spec, max_bins, "_y", seed).fit(labelled), log_target)
-    if spec.objective == "l1":
-        return fit_lad(train, base, spec, max_bins, spec.trees if lad_rounds is None else lad_rounds, y, seed)
-    return base
+    @property
+    def chosen(self) -> Boosted:
+        return self.model.first(self.best)
 
 
-def fit_lad(
-    train: DataFrame, base: BoostedModel, spec: GbtSpec, max_bins: int, rounds: int, y: str = "payout", seed: int = SEED, cut: int = 4
-) -> LadModel:
-    """Least-absolute-deviation boosting: a tree on the sign of the residual, then the median residual of each leaf.
+def boost(
+    data: DataFrame, spec: GbtSpec, max_bins: int, y: str = "payout", seed: int = SEED, inner: str | None = None, patience: int = PATIENCE, chunk: int = CHUNK
+) -> Fit:
+    """Boosting from the mean (``l1``: the median), a tree on the residual (``l1``: its sign) per round.
 
-    A leaf can hold any number of claims; its exact median comes from the distributed order statistics.  The running prediction is written
-    to the shared folder every ``cut`` rounds.
+    Rows where the column ``inner`` is 1 are not learned from; their error is that of early stopping: no round is added
+    once ``patience`` rounds have passed since the best.  Every ``chunk`` rounds the running prediction is written to the
+    shared folder, so the next ones neither repeat the trees before nor depend on the executors that grew them.
     """
-    model = LadModel(base, spec.learning_rate)
-    state = materialize(base.predict(train).select("claim_key", "features", y, "payout_hat"), "lad")
+    spark = data.sparkSession
+    l1 = spec.objective == "l1"
+    target = F.log1p(y) if spec.objective == "log" else F.col(y).cast("double")
     grower = DecisionTreeRegressor(
-        featuresCol="features",
-        labelCol="_sign",
-        predictionCol="_p",
-        maxDepth=spec.depth,
-        minInstancesPerNode=spec.min_leaf,
-        maxBins=max_bins,
-        seed=seed,
-    ).setLeafCol("_leaf")
-    residual = F.col(y) - F.col("payout_hat")
-    for i in range(rounds):
-        tree = grower.fit(state.withColumn("_sign", F.signum(residual)))
-        leaves = (
-            tree.transform(state)
-            .groupBy("_leaf")
-            .agg(
-                F.sum(F.abs(residual)).alias("absolute"),
-                F.count(F.lit(1)).alias("n"),
-            )
-            .collect()
-        )
-        placed = tree.transform(state).select("_leaf", residual.alias("_residual"))
-        medians = [0.0] * (1 + int(max(r["_leaf"] for r in leaves)))
-        for r in exact_quantiles(placed, "_residual", [0.5], ["_leaf"]).collect():  # at most 2 ** depth leaves
-            medians[int(r["_leaf"])] = r["q"]
-        model.training_mae.append(sum(r["absolute"] for r in leaves) / sum(r["n"] for r in leaves))
-        model.rounds.append((tree, medians))
-        state = model.step(state, tree, medians, "payout_hat")
-        if (i + 1) % cut == 0 and i + 1 < rounds:
-            state = materialize(state, "lad")
-    model.training_mae.append(state.agg(F.avg(F.abs(residual))).first()[0])
-    return model
+        featuresCol="features", labelCol="_r", predictionCol="_p", maxDepth=spec.depth, minInstancesPerNode=spec.min_leaf, maxBins=max_bins, seed=seed
+    )
+    if l1:
+        grower = grower.setLeafCol("_leaf")
+
+    def grow(rows: DataFrame, running: str):
+        residual = F.col("_y") - F.col(running)
+        tree = grower.fit(rows.withColumn("_r", F.signum(residual) if l1 else residual))
+        if not l1:
+            return tree, None
+        return tree, leaf_medians(tree.transform(rows).select("_leaf", residual.alias("_residual")), tree.numNodes, size)
+
+    with step_group("boost") as group:
+        side = F.col(inner).cast("int") if inner else F.lit(0)
+        state = materialize(data.select("features", target.alias("_y"), side.alias("_inner")), "rows")
+        learned = state.where("_inner = 0")
+        mean, size = learned.agg(F.avg("_y"), F.count("_y")).first()
+        start = leaf_medians(learned.select(F.lit(0).alias("_leaf"), F.col("_y").alias("_residual")), 1, size)[0] if l1 else mean or 0.0
+        model = Boosted(spec.objective, spec.learning_rate, float(start))
+        state = state.withColumn("_f", F.lit(model.start))
+        training, held, best = [], [], spec.trees
+        while len(model.rounds) < spec.trees:
+            todo = min(chunk, spec.trees - len(model.rounds))
+            now = state.withColumnRenamed("_f", "_f0")
+            for i in range(todo):
+                tree, medians = grow(now.where("_inner = 0"), f"_f{i}")
+                now = model.step(now, tree, medians, f"_f{i}", f"_f{i + 1}")
+                model.rounds.append((tree, medians))
+            names = [f"_f{i + 1}" for i in range(todo)]
+            written = materialize(now.select("features", "_y", "_inner", *names), "rounds")
+
+            def error(name: str, part: int) -> Column:
+                gap = F.abs(F.col("_y") - F.col(name))
+                return F.avg(F.when(F.col("_inner") == part, gap if l1 else gap * gap))
+
+            row = written.agg(*[error(n, part).alias(f"{n}_{part}") for n in names for part in (0, 1)]).first()
+            training += [row[f"{n}_0"] for n in names]
+            held += [row[f"{n}_1"] for n in names]
+            state = written.select("features", "_y", "_inner", F.col(names[-1]).alias("_f"))
+            if inner and row[f"{names[0]}_1"] is not None:
+                best = 1 + min(range(len(held)), key=lambda i: held[i])
+                if len(held) - best >= patience:
+                    break
+        release_group(spark, group)
+    return Fit(model, training, held, min(best, len(model.rounds)))
+
+
+def fit_gbt(train: DataFrame, spec: GbtSpec, max_bins: int, y: str = "payout", seed: int = SEED) -> Boosted:
+    """Fit one configuration with all its trees."""
+    return boost(train, spec, max_bins, y, seed).model
+
+
+def early_stopped(train: DataFrame, spec: GbtSpec, max_bins: int, y: str = "payout", seed: int = SEED, patience: int = PATIENCE, chunk: int = CHUNK) -> Fit:
+    """Fit with early stopping on an inner split of the training part, never on rows that are scored."""
+    return boost(holdout(train, seed=seed + 1, name="_inner_side"), spec, max_bins, y, seed, "_inner_side", patience, chunk)
 
 
 def best_iteration(train: DataFrame, spec: GbtSpec, max_bins: int, y: str = "payout", seed: int = SEED) -> int:
-    """Number of trees with the lowest error on an inner split of the training part, never on the scored fold."""
-    split = materialize(holdout(train, seed=seed + 1, name="_inner"), "inner")
-    label = F.log1p(y) if spec.objective == "log" else F.col(y)
-    split = split.withColumn("_y", label)
-    model = _boosting(train.sparkSession, spec, max_bins, "_y", seed).fit(split.where("_inner = 0"))
-    loss = "absolute" if spec.objective == "l1" else "squared"
-    curve = model.evaluateEachIteration(split.where("_inner = 1"), loss)
-    return 1 + min(range(len(curve)), key=lambda i: curve[i])
-
-
-def cross_fit(
-    assembled: DataFrame, spec: GbtSpec, max_bins: int, folds: int, early_stop: bool = False, lad_rounds: int | None = None
-) -> tuple[DataFrame, list[int]]:
+    """Number of trees with the lowest error of the objective on the inner split."""
+    return early_stopped(train, spec, max_bins, y, seed).best
+
+
+def cross_fit(assembled: DataFrame, spec: GbtSpec, max_bins: int, folds: int, early_stop: bool = False, width: int = WIDTH) -> tuple[DataFrame, list[int]]:
     """Out-of-fold predictions: every key is predicted once by a model that did not see it."""
-    out, iterations = None, []
-    for f in range(folds):
-        train = assembled.where(F.col("fold") != f)
-        used = spec._replace(trees=best_iteration(train, spec, max_bins)) if early_stop else spec
-        iterations.append(used.trees)
-        model = fit_gbt(train, used, max_bins, lad_rounds=lad_rounds)
-        part = model.predict(assembled.where(F.col("fold") == f)).drop("features")
-        out = part if out is None else out.unionByName(part)
-    return materialize(out, "oof"), iterations
+    return cross_fits(assembled, [spec], max_bins, folds, early_stop, width)[0]
+
+
+def cross_fits(
+    assembled: DataFrame, specs: Sequence[GbtSpec], max_bins: int, folds: int, early_stop: bool = False, width: int = WIDTH, features: Sequence[Callable[[DataFrame], DataFrame]] | None = None
+) -> list[tuple[DataFrame, list[int]]]:
+    """:func:`cross_fit` of several configurations over one written table, fits beside each other.
+
+    ``features`` may give each configuration its own view of the feature vector."""
+    views = features or [lambda df: df] * len(specs)
+
+    def job(spec: GbtSpec, view: Callable[[DataFrame], DataFrame], f: int):
+        def run() -> tuple[DataFrame, int]:
+            rows = view(assembled)
+            train, valid = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
+            model = early_stopped(train, spec, max_bins).chosen if early_stop else fit_gbt(train, spec, max_bins)
+            return materialize(model.predict(valid).drop("features"), "oof"), len(model.rounds)
+
+        return run
+
+    done = in_parallel([job(s, v, f) for s, v in zip(specs, views) for f in range(folds)], width)
+    out = []
+    for i in range(len(specs)):
+        parts = done[i * folds : (i + 1) * folds]
+        out.append((reduce(DataFrame.unionByName, [d for d, _ in parts]), [n for _, n in parts]))
+    return out
+
+
+def save_boosted(spark: SparkSession, model: Boosted, folder: str) -> None:
+    """Trees by Spark ML's writer, next to one row with the rest."""
+    PipelineModel([tree for tree, _ in model.rounds]).write().overwrite().save(f"{folder}/trees")
+    row = (model.objective, model.learning_rate, model.start, [m for _, m in model.rounds])
+    save_config(spark.createDataFrame([row], BOOSTED_SCHEMA), f"{folder}/steps")
+
+
+def load_boosted(spark: SparkSession, folder: str) -> Boosted:
+    row = load_config(spark, f"{folder}/steps", BOOSTED_SCHEMA).first()
+    trees = PipelineModel.load(f"{folder}/trees").stages
+    return Boosted(row["objective"], row["learning_rate"], row["start"], list(zip(trees, row["medians"])))
+
+
+BOOSTED_SCHEMA = "objective string, learning_rate double, start double, medians array<array<double>>"
 
 
 # ---- classification --------------------------------------------------------------------------------------------

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from statistics import median
 from typing import NamedTuple
 
+from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,21 +54,26 @@ def _spec_columns(spec: M.GbtSpec) -> list:
     return [F.lit(v).alias(n) for n, v in zip(M.GbtSpec._fields, spec)]
 
 
-def grid_screen(
-    prep: Prepared, grid: Sequence[M.GbtSpec], k: int = 5, keep: int = 3, lad_rounds: int | None = None, early_stop: bool = True
-) -> DataFrame:
-    """Score every configuration on the first fold and keep the best."""
+def grid_screen(prep: Prepared, grid: Sequence[M.GbtSpec], k: int = 5, keep: int = 3, early_stop: bool = True, width: int = M.WIDTH) -> DataFrame:
+    """Score every configuration on the first fold and keep the best.
+
+    One assembled table, with the inner split of early stopping, serves all fits."""
     data = assembled_folds(prep, k)
     train, valid = data.where("fold <> 0"), data.where("fold = 0")
-    out = None
-    for i, spec in enumerate(grid):
-        best = M.best_iteration(train, spec, prep.space.max_bins) if early_stop else spec.trees
-        model = M.fit_gbt(train, spec._replace(trees=best), prep.space.max_bins, lad_rounds=lad_rounds)
-        row = regression_metrics(model.predict(valid)).select(
-            F.lit(i).alias("config"), *_spec_columns(spec), F.lit(best).alias("best_iteration"), "mae", "rmse"
-        )
-        out = row if out is None else out.unionByName(row)
-    return topk(materialize(out, "screen"), "mae", keep)
+    if early_stop:
+        train = materialize(holdout(train, seed=M.SEED + 1, name="_inner_side"), "inner")
+
+    def job(spec: M.GbtSpec):
+        def run():
+            fit = M.boost(train, spec, prep.space.max_bins, inner="_inner_side" if early_stop else None)
+            return fit.best, regression_metrics(fit.chosen.predict(valid)).first()
+
+        return run
+
+    done = M.in_parallel([job(s) for s in grid], width)
+    rows = [(i, *spec, best, row["mae"], row["rmse"]) for i, (spec, (best, row)) in enumerate(zip(grid, done))]
+    schema = T.StructType([T.StructField("config", T.IntegerType()), *SPEC_SCHEMA, T.StructField("best_iteration", T.IntegerType()), T.StructField("mae", T.DoubleType()), T.StructField("rmse", T.DoubleType())])
+    return topk(prep.train.sparkSession.createDataFrame(rows, schema), "mae", keep)  # a row for each configuration
 
 
 def topk(scores: DataFrame, score: str, k: int = 3) -> DataFrame:
@@ -73,14 +81,11 @@ def topk(scores: DataFrame, score: str, k: int = 3) -> DataFrame:
     return scores.orderBy(score, "config").limit(k)
 
 
-def cross_validation(
-    prep: Prepared, configs: Sequence[tuple[int, M.GbtSpec]], k: int = 5, early_stop: bool = True, lad_rounds: int | None = None
-) -> DataFrame:
+def cross_validation(prep: Prepared, configs: Sequence[tuple[int, M.GbtSpec]], k: int = 5, early_stop: bool = True, width: int = M.WIDTH) -> DataFrame:
     """Fold means and pooled out-of-fold metrics of each configuration, best first."""
     data = assembled_folds(prep, k)
     out = None
-    for i, spec in configs:
-        oof, iterations = M.cross_fit(data, spec, prep.space.max_bins, k, early_stop, lad_rounds)
+    for (i, spec), (oof, iterations) in zip(configs, M.cross_fits(data, [s for _, s in configs], prep.space.max_bins, k, early_stop, width)):
         per_fold = regression_metrics(oof, by=["fold"]).agg(
             F.avg("mae").alias("mae_mean"),
             F.stddev_pop("mae").alias("mae_std"),
@@ -101,9 +106,9 @@ def cross_validation(
     return materialize(out, "cv").orderBy("oof_mae", "config")
 
 
-def holdout_check(prep: Prepared, spec: M.GbtSpec, frac: float = 0.2, lad_rounds: int | None = None) -> DataFrame:
+def holdout_check(prep: Prepared, spec: M.GbtSpec, frac: float = 0.2) -> DataFrame:
     data = materialize(prep.space.assemble(holdout(prep.train, frac=frac).withColumnRenamed("is_holdout", "fold")), "holdout")
-    model = M.fit_gbt(data.where("fold = 0"), spec, prep.space.max_bins, lad_rounds=lad_rounds)
+    model = M.fit_gbt(data.where("fold = 0"), spec, prep.space.max_bins)
     return regression_metrics(model.predict(data.where("fold = 1")))
 
 
@@ -119,30 +124,48 @@ def load_spec(spark: SparkSession, path: str) -> M.GbtSpec:
 def select_regressor(
     prep: Prepared,
     grid: Sequence[M.GbtSpec],
-    path: str,
+    folder: str,
     k: int = 5,
     keep: int = 3,
     early_stop: bool = True,
-    lad_rounds: int | None = None,
     lo: int = 100,
     hi: int = 2000,
+    width: int = M.WIDTH,
 ) -> DataFrame:
-    """Screen the grid, cross-validate the best, and save the winner with its trees frozen, for :func:`load_spec`.
+    """Screen the grid, cross-validate the best, freeze the winner's trees, fit it on all of history, and save it.
 
-    Returns the cross-validated configurations, best first, with ``chosen`` and ``frozen_trees``.  What comes to the
-    driver is at most ``keep`` rows of scores.
+    ``folder`` gets the configuration (:func:`load_spec`), the category levels and the fitted trees.  Returns the
+    cross-validated configurations, best first, with ``chosen`` and ``frozen_trees``.  What comes to the driver is a row of
+    scores for each configuration.
     """
     spark = prep.train.sparkSession
-    screened = grid_screen(prep, grid, k, keep, lad_rounds, early_stop).select("config").collect()
+    screened = grid_screen(prep, grid, k, keep, early_stop, width).select("config").collect()
     finalists = [(r["config"], grid[r["config"]]) for r in screened]
-    scored = cross_validation(prep, finalists, k, early_stop, lad_rounds)
+    scored = cross_validation(prep, finalists, k, early_stop, width)
     best = scored.limit(1)
     winner = best.first()["config"]
     trees = freeze_trees(best, "best_iteration_median", lo, hi).first()["n_trees"]
-    save_spec(spark, grid[winner]._replace(trees=trees), path)
+    spec = grid[winner]._replace(trees=trees)
+    save_spec(spark, spec, f"{folder}/spec")
+    save_space(spark, prep.space, folder)
+    train = materialize(prep.space.assemble(prep.train), "train")
+    M.save_boosted(spark, M.fit_gbt(train, spec, prep.space.max_bins), f"{folder}/regressor")
     return scored.withColumn("chosen", F.col("config") == winner).withColumn("frozen_trees", F.when(F.col("chosen"), F.lit(trees)))
 
 
+SPACE_SCHEMA = "numeric array<string>, categorical array<string>"
+
+
+def save_space(spark: SparkSession, space: M.FeatureSpace, folder: str) -> None:
+    space.indexer.write().overwrite().save(f"{folder}/levels")
+    save_config(spark.createDataFrame([(space.numeric, space.categorical)], SPACE_SCHEMA), f"{folder}/features")
+
+
+def load_space(spark: SparkSession, folder: str) -> M.FeatureSpace:
+    row = load_config(spark, f"{folder}/features", SPACE_SCHEMA).first()
+    return M.FeatureSpace(StringIndexerModel.load(f"{folder}/levels"), row["numeric"], row["categorical"])
+
+
 class Scheme(NamedTuple):
     name: str
     kind: str
@@ -157,34 +180,42 @@ SCHEMES = (
 )
 
 
+def _fit_scheme(train: DataFrame, s: Scheme, max_bins: int, **forest) -> M.ForestModel:
+    """One classifier under a scheme's treatment of the training rows; copies are weights, so no row is repeated."""
+    if s.kind == "weight":
+        return M.fit_classifier(N.balanced_weights(train), max_bins, weight="weight", **forest)
+    if s.kind == "oversample":
+        return M.fit_classifier(N.copies(train, {1: s.ratios[0], 2: s.ratios[1]}, name="weight"), max_bins, weight="weight", **forest)
+    return M.fit_classifier(train, max_bins, **forest)
+
+
 def scheme_predictions(
-    prep: Prepared, schemes: Sequence[Scheme] = SCHEMES, k: int = 5, data: DataFrame | None = None, **forest
+    prep: Prepared, schemes: Sequence[Scheme] = SCHEMES, k: int = 5, data: DataFrame | None = None, width: int = M.WIDTH, **forest
 ) -> DataFrame:
     """Out-of-fold predictions of every imbalance scheme on the same folds.
 
-    Treatments touch the training part only.  The three prior corrections reuse one untreated fit per fold.
+    Treatments touch the training part only.  The prior corrections share one untreated fit per fold.  Each fit scores its
+    fold, the scores are written, and the model is dropped; at most ``width`` models are held at a time.
     """
     data = assembled_folds(prep, k, stratified=True) if data is None else data
-    bins = prep.space.max_bins
-    out = None
-    for f in range(k):
-        train, valid = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-        plain = None
-        for i, s in enumerate(schemes):
-            if s.kind == "weight":
-                scored = M.fit_classifier(N.balanced_weights(train), bins, weight="weight", **forest).predict(valid)
-            elif s.kind == "oversample":
-                grown = N.oversample(train, {1: s.ratios[0], 2: s.ratios[1]})
-                scored = M.fit_classifier(grown, bins, **forest).predict(valid)
-            else:
-                if plain is None:
-                    plain = M.fit_classifier(train, bins, **forest)
-                scored = N.prior_correct(plain.predict(valid), N.class_priors(train), s.w)
-            part = scored.select(
-                F.lit(i).alias("ordinal"), F.lit(s.name).alias("scheme"), "claim_key", "fold", "risk_class", "predicted"
-            )
-            out = part if out is None else out.unionByName(part)
-    return materialize(out, "schemes")
+    alike: dict[object, list[tuple[int, Scheme]]] = {}
+    for i, s in enumerate(schemes):
+        alike.setdefault("plain" if s.kind == "prior" else i, []).append((i, s))
+
+    def job(group: list[tuple[int, Scheme]], f: int):
+        def run() -> DataFrame:
+            train, valid = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
+            scored = _fit_scheme(train, group[0][1], prep.space.max_bins, **forest).predict(valid)
+            parts = []
+            for i, s in group:
+                own = N.prior_correct(scored, N.class_priors(train), s.w) if s.kind == "prior" else scored
+                parts.append(own.select(F.lit(i).alias("ordinal"), F.lit(s.name).alias("scheme"), "claim_key", "fold", "risk_class", "predicted"))
+            return materialize(reduce(DataFrame.unionByName, parts), "scheme")
+
+        return run
+
+    done = M.in_parallel([job(group, f) for f in range(k) for group in alike.values()], width)
+    return reduce(DataFrame.unionByName, done)
 
 
 def scheme_report(predictions: DataFrame) -> DataFrame:
@@ -198,38 +229,62 @@ def scheme_report(predictions: DataFrame) -> DataFrame:
     return N.fold_summary(predictions, by=keys).join(pooled, keys)
 
 
-def route_comparison(prep: Prepared, spec: M.GbtSpec, scheme: Scheme, k: int = 5, lad_rounds: int | None = None, **forest) -> DataFrame:
+def route_comparison(prep: Prepared, spec: M.GbtSpec, scheme: Scheme, k: int = 5, width: int = M.WIDTH, **forest) -> DataFrame:
     """Direct classification and regression-then-rule on the same stratified folds."""
     data = assembled_folds(prep, k, stratified=True)
-    direct = scheme_predictions(prep, [scheme], k, data, **forest).select(
+    direct = scheme_predictions(prep, [scheme], k, data, width, **forest).select(
         F.lit("A").alias("route"), "claim_key", "risk_class", "predicted"
     )
-    oof, _ = M.cross_fit(data, spec, prep.space.max_bins, k, lad_rounds=lad_rounds)
+    oof, _ = M.cross_fit(data, spec, prep.space.max_bins, k, width=width)
     via_rule = route_b(oof, prep.rule).join(data.select("claim_key", "risk_class"), "claim_key").select(
         F.lit("B").alias("route"), "claim_key", "risk_class", "predicted"
     )
     return N.class_metrics(direct.unionByName(via_rule), by=["route"])
 
 
-def predict_payout(prep: Prepared, spec: M.GbtSpec, lad_rounds: int | None = None) -> DataFrame:
-    """Refit on all of history and score the new claims, clamped at 0."""
-    model = M.fit_gbt(materialize(prep.space.assemble(prep.train), "train"), spec, prep.space.max_bins, lad_rounds=lad_rounds)
-    scored = model.predict(prep.space.assemble(prep.score))
-    return scored.select("claim_key", "claim_amount", F.greatest("payout_hat", F.lit(0.0)).alias("payout_hat"))
+SCHEME_SCHEMA = "name string, kind string, ratios array<double>, w double, priors array<double>"
 
 
-def prediction_table(
-    prep: Prepared, spec: M.GbtSpec, ratios: tuple[float, float] = (0.5, 0.5), lad_rounds: int | None = None, **forest
-) -> DataFrame:
-    """Per new claim: predicted payout, direct class (route A), class by the rule (route B), claimed amount."""
-    payout = materialize(predict_payout(prep, spec, lad_rounds), "payouts")
+def select_classifier(prep: Prepared, folder: str, schemes: Sequence[Scheme] = SCHEMES, k: int = 5, width: int = M.WIDTH, **forest) -> DataFrame:
+    """Compare the schemes on the same folds, fit the best on all of history, and save it with its configuration.
+
+    Returns the schemes' report with ``chosen``."""
+    spark = prep.train.sparkSession
+    report = materialize(scheme_report(scheme_predictions(prep, schemes, k, None, width, **forest)), "report")
+    best = schemes[N.best_scheme(report).first()["ordinal"]]
     train = materialize(prep.space.assemble(prep.train), "train")
-    grown = N.oversample(train, {1: ratios[0], 2: ratios[1]})
-    classifier = M.fit_classifier(grown, prep.space.max_bins, **forest)
-    route_a = classifier.predict(prep.space.assemble(prep.score)).select("claim_key", F.col("predicted").alias("route_a"))
-    by_rule = route_b(payout, prep.rule, name="route_b").select("claim_key", "route_b")
+    model = _fit_scheme(train, best, prep.space.max_bins, **forest)
+    model.model.write().overwrite().save(f"{folder}/classifier/model")
+    priors = train.select(N.class_priors(train).alias("p")).first()["p"] if best.kind == "prior" else None
+    row = (best.name, best.kind, list(best.ratios) if best.ratios else None, best.w, priors)
+    save_config(spark.createDataFrame([row], SCHEME_SCHEMA), f"{folder}/classifier/scheme")
+    save_space(spark, prep.space, folder)
+    prep.rule.write.mode("overwrite").parquet(f"{folder}/rule")
+    return report.withColumn("chosen", F.col("scheme") == best.name)
+
+
+def predict_payout(spark: SparkSession, folder: str, claims: DataFrame) -> DataFrame:
+    """Payouts of new claims (a scoring table of :func:`feature_tables`) by the saved regressor, clamped at 0."""
+    scored = M.load_boosted(spark, f"{folder}/regressor").predict(load_space(spark, folder).assemble(claims))
+    return scored.select("claim_key", "claim_amount", F.greatest("payout_hat", F.lit(0.0)).alias("payout_hat"))
+
+
+def predict_class(spark: SparkSession, folder: str, claims: DataFrame, name: str = "route_a") -> DataFrame:
+    """Classes of new claims by the saved classifier and its scheme."""
+    scheme = load_config(spark, f"{folder}/classifier/scheme", T.StructType.fromDDL(SCHEME_SCHEMA)).first()
+    scored = M.ForestModel(RandomForestClassificationModel.load(f"{folder}/classifier/model")).predict(load_space(spark, folder).assemble(claims))
+    if scheme["kind"] == "prior":
+        priors = F.array(*[F.lit(p).cast("double") for p in scheme["priors"]])
+        scored = N.prior_correct(scored, priors, scheme["w"])
+    return scored.select("claim_key", F.col("predicted").alias(name))
+
+
+def prediction_table(spark: SparkSession, folder: str, claims: DataFrame) -> DataFrame:
+    """From the saved folder alone, per new claim: payout, direct class (route A), class by the rule (route B), claimed amount."""
+    payout = materialize(predict_payout(spark, folder, claims), "payouts")
+    by_rule = route_b(payout, spark.read.parquet(f"{folder}/rule"), name="route_b").select("claim_key", "route_b")
     return (
-        payout.join(route_a, "claim_key")
+        payout.join(predict_class(spark, folder, claims), "claim_key")
         .join(by_rule, "claim_key")
         .select("claim_key", half_even("payout_hat", 2).alias("payout_hat"), "route_a", "route_b", "claim_amount")
     )
@@ -267,12 +322,14 @@ ABLATION_GROUPS = {
 }
 
 
-def ablation(prep: Prepared, spec: M.GbtSpec, groups=None, k: int = 5, lad_rounds: int | None = None) -> DataFrame:
-    """Mean and deviation of the fold MAE for each feature group."""
+def ablation(prep: Prepared, spec: M.GbtSpec, groups=None, k: int = 5, width: int = M.WIDTH) -> DataFrame:
+    """Mean and deviation of the fold MAE for each feature group.  The table is assembled once; a group is a slice of it."""
+    groups = groups or ABLATION_GROUPS
+    data = assembled_folds(prep, k)
+    views = [lambda df, n=numeric, c=categorical: M.feature_view(df, prep.space, n, c) for numeric, categorical in groups.values()]
+    done = M.cross_fits(data, [spec] * len(groups), prep.space.max_bins, k, width=width, features=views)
     out = None
-    for name, (numeric, categorical) in (groups or ABLATION_GROUPS).items():
-        data = assembled_folds(prep, k, numeric=numeric, categorical=categorical)
-        oof, _ = M.cross_fit(data, spec, prep.space.max_bins, k, lad_rounds=lad_rounds)
+    for (name, (numeric, categorical)), (oof, _) in zip(groups.items(), done):
         row = regression_metrics(oof, by=["fold"]).agg(
             F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std"), F.sum("n").alias("n")
         )

@@ -30,25 +30,3 @@ def test_every_sql_has_a_query():
 def test_entry(spark):
     rows = entry(spark).collect()
     assert len(rows) == 3 and sum(r.pct for r in rows) == pytest.approx(100, abs=0.01)
-
-
-def test_best_scheme_is_chosen_from_all_schemes_and_folds(monkeypatch):
-    import inspect
-
-    from claimsieve.catalog import modelling
-    from claimsieve.plans import modelling as plans
-
-    sign, seen = inspect.signature(plans.scheme_predictions), {}
-
-    def note(*args, **kwargs):
-        call = sign.bind(*args, **kwargs)
-        call.apply_defaults()
-        seen.update(call.arguments)
-
-    monkeypatch.setattr(modelling, "prepared", lambda spark, sf_dir: None)
-    monkeypatch.setattr(modelling.P, "scheme_predictions", note)
-    monkeypatch.setattr(modelling.P, "scheme_report", lambda x: x)
-    monkeypatch.setattr(modelling.N, "best_scheme", lambda x: x)
-    monkeypatch.setattr(modelling, "round_doubles", lambda x: x)
-    modelling.best_scheme(None, "")
-    assert tuple(seen["schemes"]) == plans.SCHEMES and seen["k"] == 5
