@@ -14,6 +14,7 @@ from claimsieve.operators import density as D
 from claimsieve.operators import quality as Q
 from claimsieve.operators import report as V
 from claimsieve.operators import rule as R
+from claimsieve.operators import sketches as S
 from claimsieve.operators.order import positions, quantile_scalar
 from claimsieve.plans.estimate import frozen, with_density
 from claimsieve.plans.features import feature_tables
@@ -114,27 +115,50 @@ def check_shares(spark, sf_dir):
     return Q.check_shares(R.apply_rule(train, rule), "history").unionByName(Q.check_shares(predictions, "scoring"))
 
 
-@register("check_relabel", with_claims(_verdict("relabel", "true", "0", "(select count(*) from hist)")))
+def seeded(checks):
+    """The same checks on data with planted defects, under names of their own."""
+    return checks.withColumn("check_id", F.concat("check_id", F.lit("_seeded")))
+
+
+@register(
+    "check_relabel",
+    with_claims(
+        _verdict("relabel", "true", "0", "(select count(*) from hist)")
+        + " union all "
+        + _verdict("relabel_seeded", "count(*) filter (where claim_key % 97 = 0) = 0", "count(*) filter (where claim_key % 97 = 0)", "hist")
+    ),
+)
 def check_relabel(spark, sf_dir):
+    """On the stored labels, and on labels of which every 97th claim's is wrong."""
     df = hist(spark, sf_dir)
     labels = labelled(spark, sf_dir).select("claim_key", "risk_class")
     rule = materialize(R.linear_rule(base(spark, sf_dir)), "rule")
-    return Q.check_relabel(raw_copy(df), labels, rule)
+    wrong = labels.withColumn("risk_class", F.when(F.col("claim_key") % 97 == 0, (F.col("risk_class") + 1) % 3).otherwise(F.col("risk_class")))
+    raw = raw_copy(df)
+    return Q.check_relabel(raw, labels, rule).unionByName(seeded(Q.check_relabel(raw, wrong, rule)))
 
 
+_UPPER = "(alpha2 + beta2 * greatest(payout, 1e-9) > alpha1 - beta1 * greatest(payout, 1e-9))"  # the lower slope turned round
 RULE_SHAPE = " union all ".join(
     [
         _verdict("slopes_positive", "beta1 > 0 and beta2 > 0", "printf('%.4f', least(beta1, beta2))", "rule"),
         _verdict("upper_above_lower", "count(*) filter (where t2 <= t1) = 0", "count(*) filter (where t2 <= t1)", "labelled"),
         _verdict("excess_positive", "count(*) filter (where excess <= 0) = 0", "count(*) filter (where excess <= 0)", "labelled"),
+        _verdict("slopes_positive_seeded", "false", "printf('%.4f', least(-beta1, beta2))", "rule"),
+        _verdict("upper_above_lower_seeded", f"count(*) filter (where not {_UPPER}) = 0", f"count(*) filter (where not {_UPPER})", "labelled, rule"),
+        _verdict("excess_positive_seeded", "count(*) filter (where claim_key % 101 = 0) = 0", "count(*) filter (where claim_key % 101 = 0)", "labelled"),
     ]
 )
 
 
 @register("check_rule_shape", with_claims(RULE_SHAPE, *LABELLED))
 def check_rule_shape(spark, sf_dir):
-    df = base(spark, sf_dir)
-    return Q.check_rule_shape(df, materialize(R.linear_rule(df), "rule"))
+    """On the rule and its claims, and with a falling lower boundary and every 101st excess turned round."""
+    df = hist(spark, sf_dir).select("claim_key", "payout", "excess")
+    rule = materialize(R.linear_rule(df), "rule")
+    turned = rule.withColumn("lower", F.col("lower").withField("beta", -F.col("lower.beta")))
+    planted = df.withColumn("excess", F.when(F.col("claim_key") % 101 == 0, -F.col("excess")).otherwise(F.col("excess")))
+    return Q.check_rule_shape(df, rule).unionByName(seeded(Q.check_rule_shape(planted, turned)))
 
 
 REFIT = " union all ".join(
@@ -156,6 +180,38 @@ def check_refit(spark, sf_dir):
     return Q.check_refit(nodes, rule)
 
 
+_LINE = "concat(regexp_replace(printf('%.2f', alpha{i}), '(\\d)(\\d{{3}})\\.', '\\1,\\2.'), '/', printf('%.3f', {beta}))"
+
+
+@register(
+    "check_sketched_refit",
+    with_claims(
+        " union all ".join(
+            _verdict(f"sketched_{c}{name}", ok, _LINE.format(i=i, beta=f"beta{i}{by}"), "rule")
+            for name, by, fails in (("", "", ()), ("_coefficient", " * 1.25", (1, 2)), ("_input", "", (1, 2)))
+            for i, c in ((1, "lower"), (2, "upper"))
+            for ok in ["false" if i in fails else "true"]
+        ),
+        *LABELLED,
+    ),
+)
+def check_sketched_refit(spark, sf_dir):
+    """The frozen boundaries against sketches of the claims; then with slopes a quarter larger, and with claims of which the
+    excess has doubled, both of which must fail."""
+    df = base(spark, sf_dir)
+    nodes = R.node_quantiles(df, [0.86, 0.98])
+    rule = materialize(frozen(R.candidates(R.curves(nodes, [1.0], isotonic=False), [0.86], [0.98])), "rule")
+    steeper = rule.withColumns({c: F.col(c) * 1.25 for c in ("beta1", "beta2")})
+    sketched = materialize(S.sketched_nodes(df, [0.86, 0.98]), "sketched")
+    moved = S.sketched_nodes(df.withColumn("excess", F.col("excess") * 2), [0.86, 0.98])
+
+    def named(checks, ending):
+        return checks.withColumn("check_id", F.concat("check_id", F.lit(ending)))
+
+    out = Q.check_sketched_refit(sketched, rule).unionByName(named(Q.check_sketched_refit(sketched, steeper), "_coefficient"))
+    return out.unionByName(named(Q.check_sketched_refit(moved, rule), "_input"))
+
+
 def figures(df):
     """Headline figures of a labelled table as ``(metric, value)``."""
     total = F.count(F.lit(1))

@@ -9,7 +9,9 @@ from claimsieve.catalog.registry import register
 from claimsieve.catalog.sqltext import SCORE, with_claims
 from claimsieve.operators import encode as E
 from claimsieve.operators.clean import fill_categorical
+from claimsieve.session import scratch_path
 from claimsieve.sources.claims import order_claims
+from claimsieve.sources.files import write_bucketed
 from claimsieve.sources.schemas import CATEGORICAL, IDS
 
 SINGLE = {c: [c] for c in [*IDS, "abnormal_reason", "goods_category"]}
@@ -124,13 +126,26 @@ def concat_tables(spark, sf_dir):
     return round_doubles(out, mean_claim=4, total_payout=2)
 
 
-@register(
-    "label_join",
-    with_claims(
-        "select claim_key, claim_amount, cast(case when excess <= payout then 0 when excess <= 2 * payout then 1 else 2 end "
-        "as int) as risk_class from hist"
-    ),
+LABEL_JOIN = with_claims(
+    "select claim_key, claim_amount, cast(case when excess <= payout then 0 when excess <= 2 * payout then 1 else 2 end "
+    "as int) as risk_class from hist"
 )
+
+
+@register("bucketed_label_join", LABEL_JOIN)
+def bucketed_label_join(spark, sf_dir):
+    """The label join over two tables that are written by claim key, so neither side is shuffled."""
+    claims = hist(spark, sf_dir)
+    u, p = F.col("excess"), F.col("payout")
+    labels = claims.select("claim_key", F.when(u <= p, 0).when(u <= 2 * p, 1).otherwise(2).alias("risk_class"))
+    sides = []
+    for label, df in (("features", claims.select("claim_key", "claim_amount")), ("labels", labels)):
+        path = scratch_path(spark, label)
+        sides.append(write_bucketed(df, path, "claimsieve_" + path.rpartition("/")[2].replace("-", "_"), ["claim_key"], 16))
+    return E.attach_labels(*sides)
+
+
+@register("label_join", LABEL_JOIN)
 def label_join(spark, sf_dir):
     claims = hist(spark, sf_dir)
     u, p = F.col("excess"), F.col("payout")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimsieve.catalog.common import round_doubles
 from claimsieve.catalog.registry import register
+from claimsieve.catalog.sqltext import SCORE, with_claims
 from claimsieve.operators import classify as N
 from claimsieve.operators import models as M
 from claimsieve.operators.order import quantile_columns
@@ -37,7 +38,10 @@ def choose(spark, sf_dir, part, prep=None):
     return held["folder"], held[part]
 
 
-@register("assemble_features")
+@register(
+    "assemble_features",
+    with_claims("select claim_key, 42::int as n_features from hist union all select claim_key, 42::int from score", SCORE),
+)
 def assemble_features(spark, sf_dir):
     prep = prepared(spark, sf_dir)
     both = prep.space.assemble(prep.train).select("claim_key", "features").unionByName(

@@ -10,7 +10,9 @@ from claimsieve.catalog.sqltext import SCORE, qcut_cte, with_claims
 from claimsieve.functions.expr import rounded
 from claimsieve.operators import binning as B
 from claimsieve.operators import profile as P
+from claimsieve.operators import sketches as S
 from claimsieve.operators.order import average_ranks, exact_quantiles
+from claimsieve.session import materialize
 from claimsieve.sources.claims import order_claims
 from claimsieve.sources.schemas import NUMERIC
 
@@ -69,6 +71,22 @@ def value_counts(spark, sf_dir):
     return P.value_counts(hist(spark, sf_dir), "abnormal_reason")
 
 
+KEYED = ["start_city", "end_city", "consigner_id", "receiver_id", "abnormal_reason", "goods_category"]
+
+
+@register(
+    "approx_distinct",
+    with_claims(" union all ".join(f"select '{c}' as column_name, count({c}) as n, count(distinct {c}) as n_exact, true as within_error from hist" for c in KEYED)),
+)
+def approx_distinct(spark, sf_dir):
+    """Distinct values from sketches of each part, written and added up, against the exact counts: within four standard errors."""
+    df = hist(spark, sf_dir).select("claim_key", *KEYED)
+    parts = materialize(S.distinct_sketches(df, KEYED, F.col("claim_key") % 7), "sketches")
+    exact = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.count_distinct(c).alias("n_exact")) for c in KEYED])))
+    off = F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.ceil(4 * S.distinct_error() * F.col("n_exact"))
+    return S.merged_distinct(parts).join(exact, "column_name").select("column_name", "n", "n_exact", off.alias("within_error"))
+
+
 GAP_PROBS = [0, 0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.85, 0.9, 0.95, 0.97, 0.98, 0.99, 0.999, 1]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from claimsieve.functions.expr import nan_to_null, null_safe_join
 from claimsieve.operators.binning import qcut
 from claimsieve.operators.order import average_ranks, positions, quantile_columns, quantile_table
+from claimsieve.session import materialize
 
 
 def _one_row_long(df: DataFrame, measures: list[Column]) -> DataFrame:
@@ -118,22 +119,36 @@ def detrended_profile(df: DataFrame, y: str, x: str, k: int, probs: dict[str, fl
     return quantile_columns(qcut(detrend(df, y, x), x, k), "residual", probs, ["bin"])
 
 
+def _missing_patterns(named: DataFrame, cols: Sequence[str]) -> list[list[str]]:
+    """Columns that lack a value in the same rows, by the count and the sum of row hashes of those rows."""
+    row = F.xxhash64(*named.columns).cast("decimal(20,0)")
+    lacks = {c: nan_to_null(F.col(c).cast("double")).isNull() for c in cols}
+    found = named.agg(*[F.struct(F.count_if(m).alias("n"), F.sum(F.when(m, row)).alias("h")).alias(c) for c, m in lacks.items()]).first()
+    groups: dict[tuple, list[str]] = {}
+    for c in cols:
+        groups.setdefault(tuple(found[c]), []).append(c)
+    return list(groups.values())
+
+
 def spearman(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """Rank correlation of each column with ``target``, ties at their average rank.
 
     Both are ranked over the rows in which both are there (neither null nor NaN); a column without such rows has no row
-    here, and one without spread a null.  A column's ranks are needed only per distinct value, and the covariance only
-    the sum of target ranks per distinct value, so rows are pre-aggregated before they move and no rank is joined back
-    to rows except the target's.
+    here, and one without spread a null.  The target is ranked once for all columns that lack a value in the same rows, so
+    once if none does.  A column's ranks are needed only per distinct value, and the covariance only the sum of target
+    ranks per distinct value, so rows are pre-aggregated before they move.
     """
-    named = df.select(F.col(target).cast("double").alias("_y"), *cols)
-    present = [nan_to_null(c).isNotNull() for c in ("_y", "value")]
-    pairs = long_form(named, cols, ["_y"]).where(present[0] & present[1])
-    target_ranks = average_ranks(pairs, "_y", ["column_name"]).select("column_name", "_y", F.col("avg_rank").alias("_ry"))
-    counts = pairs.join(target_ranks, ["column_name", "_y"]).groupBy("column_name", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_ry").alias("s"), F.sum(F.col("_ry") * F.col("_ry")).alias("s2")
-    )
-    ranked = positions(counts, "value", "n", ["column_name"]).withColumn(
+    named = df.select(F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in cols])
+    named = materialize(named.where(nan_to_null("_y").isNotNull()), "pairs")
+    counts = None
+    for alike in _missing_patterns(named, cols):
+        rows = named.where(nan_to_null(alike[0]).isNotNull()).select("_y", *alike)
+        ranks = average_ranks(rows, "_y").select("_y", F.col("avg_rank").alias("_ry"))
+        part = long_form(rows.join(ranks, "_y"), alike, ["_ry"]).groupBy("column_name", "value").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("_ry").alias("s"), F.sum(F.col("_ry") * F.col("_ry")).alias("s2")
+        )
+        counts = part if counts is None else counts.unionByName(part)
+    ranked = positions(materialize(counts, "values"), "value", "n", ["column_name"]).withColumn(
         "rx", F.col("before") + (F.col("n") + 1) / 2.0
     )
     n, rx = F.col("n"), F.col("rx")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimsieve.operators.clean import drop_embedded_header, to_double
@@ -106,11 +106,10 @@ def check_rule_shape(df: DataFrame, rule: DataFrame) -> DataFrame:
     )
 
 
-def check_refit(nodes: DataFrame, frozen: DataFrame, alpha_tol: float = 0.5, beta_tol: float = 0.05) -> DataFrame:
-    """Linear boundaries re-estimated with the built-in regression aggregates against the frozen ones."""
-    line = nodes.groupBy("tau").agg(F.regr_intercept("q", "node_p").alias("a"), F.regr_slope("q", "node_p").alias("b"))
+def _frozen_lines(frozen: DataFrame) -> DataFrame:
+    """``curve, tau, alpha, beta`` of both boundaries."""
     config = frozen.select("tau1", "tau2", "alpha1", "beta1", "alpha2", "beta2")
-    wanted = config.select(
+    return config.select(
         F.inline(
             F.array(
                 F.struct(F.lit("lower").alias("curve"), F.col("tau1").alias("tau"), F.col("alpha1").alias("alpha"), F.col("beta1").alias("beta")),
@@ -118,6 +117,12 @@ def check_refit(nodes: DataFrame, frozen: DataFrame, alpha_tol: float = 0.5, bet
             )
         )
     )
+
+
+def check_refit(nodes: DataFrame, frozen: DataFrame, alpha_tol: float = 0.5, beta_tol: float = 0.05) -> DataFrame:
+    """Linear boundaries re-estimated with the built-in regression aggregates against the frozen ones."""
+    line = nodes.groupBy("tau").agg(F.regr_intercept("q", "node_p").alias("a"), F.regr_slope("q", "node_p").alias("b"))
+    wanted = _frozen_lines(frozen)
     off_a, off_b = F.abs(F.col("a") - F.col("alpha")), F.abs(F.col("b") - F.col("beta"))
     ok = F.coalesce((off_a < alpha_tol) & (off_b < beta_tol), F.lit(False))
     return wanted.join(line, "tau", "left").select(
@@ -127,6 +132,28 @@ def check_refit(nodes: DataFrame, frozen: DataFrame, alpha_tol: float = 0.5, bet
     )
 
 
+def check_sketched_refit(sketched: DataFrame, frozen: DataFrame) -> DataFrame:
+    """Frozen linear boundaries against those re-estimated from sketches of the claims (``sketches.sketched_nodes``).
+
+    The tolerance of a coefficient is what the sketches' rank error can make of it: each node's error times its weight in
+    the least-squares line."""
+    keys = Window.partitionBy("tau")
+    centred = sketched.withColumn("_d", F.col("node_p") - F.avg("node_p").over(keys)).withColumn("_s", F.sum(F.col("_d") * F.col("_d")).over(keys))
+    slope = F.regr_slope("q", "node_p").over(keys)
+    error = F.greatest(F.col("q_high") - F.col("q"), F.col("q") - F.col("q_low")) + F.abs(slope) * F.greatest(F.col("node_high") - F.col("node_p"), F.col("node_p") - F.col("node_low"))
+    line = centred.withColumn("_e", error).groupBy("tau").agg(
+        F.regr_intercept("q", "node_p").alias("a"), F.regr_slope("q", "node_p").alias("b"),
+        F.sum(F.abs(F.try_divide(F.col("_d"), F.col("_s"))) * F.col("_e")).alias("tol_b"), F.avg("_e").alias("_e"), F.avg("node_p").alias("_m"),
+    )
+    line = line.withColumn("tol_a", F.col("_e") + F.col("tol_b") * F.abs("_m"))
+    off_a, off_b = F.abs(F.col("a") - F.col("alpha")), F.abs(F.col("b") - F.col("beta"))
+    ok = F.coalesce((off_a <= F.col("tol_a")) & (off_b <= F.col("tol_b")), F.lit(False))
+    return _frozen_lines(frozen).join(line, "tau", "left").select(
+        F.concat(F.lit("sketched_"), "curve").alias("check_id"), F.when(ok, "PASS").otherwise("FAIL").alias("status"),
+        F.concat_ws("/", F.format_number("alpha", 2), F.format_number("beta", 3)).alias("detail"),
+    )
+
+
 def reconcile(published: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Published figures ``(metric, published, tolerance)`` against ``(metric, value)``; a missing value fails."""
     off = F.abs(F.col("published") - F.col("value"))

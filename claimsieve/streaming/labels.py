@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from claimsieve.operators.clean import clean
+from claimsieve.operators.encode import freq_encode
 from claimsieve.operators.rule import apply_rule
 
 
@@ -14,6 +18,12 @@ def claim_stream(spark: SparkSession, path: str, schema: T.StructType, files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def feature_stream(claims: DataFrame, dictionary: DataFrame, keys: dict[str, Sequence[str]], default: dict[str, float] | None = None) -> DataFrame:
+    """Cleaned claims with their keyed frequencies: every arriving claim is looked up in the frozen dictionary (a static
+    table), so nothing is kept between batches and a restart goes on after the last finished batch."""
+    return freq_encode(clean(claims), dictionary, keys, default)
+
+
 def label_stream(claims: DataFrame, rule: DataFrame) -> DataFrame:
     """Append-only labels under a frozen rule; no state is kept."""
     scored = claims.withColumn("excess", F.col("claim_amount") - F.col("payout"))
