@@ -15,9 +15,9 @@ from claimsieve.plans import modelling as P
 from claimsieve.session import scratch_path
 from claimsieve.sources.claims import order_claims
 
-TREES = 4
+TREES = 2
 SPEC = M.GbtSpec("l1", 0.1, 5, 20, TREES)
-FOREST = {"trees": 10, "depth": 6}
+FOREST = {"trees": 5, "depth": 6}
 FOLDS = 5
 _saved: dict[tuple[str, str], dict] = {}  # by application and data: the folder of chosen models and what is in it
 
@@ -67,7 +67,7 @@ def lad_boost(spark, sf_dir):
     """Training error of every round, and the error on the fold that was left out."""
     prep = prepared(spark, sf_dir)
     data = P.assembled_folds(prep, FOLDS)
-    fit = M.boost(data.where("fold <> 0"), SPEC._replace(trees=2 * TREES), prep.space.max_bins)
+    fit = M.boost(data.where("fold <> 0"), SPEC._replace(trees=8), prep.space.max_bins)
     rounds = F.array(*[F.lit(m) for m in fit.training])
     scored = regression_metrics(fit.model.predict(data.where("fold = 0"))).select("n", "mae")
     return round_doubles(scored.select(F.posexplode(rounds).alias("round", "training_mae"), F.col("n"), F.col("mae").alias("final_mae")))
@@ -78,8 +78,8 @@ def early_stop(spark, sf_dir):
     """Best round of each objective on the inner split of the training part, with the errors around it."""
     prep = prepared(spark, sf_dir)
     train = P.assembled_folds(prep, FOLDS).where("fold <> 0")
-    specs = [SPEC._replace(objective=o, learning_rate=0.5, trees=2 * TREES) for o in ("l2", "log", "l1")]
-    fits = M.in_parallel([lambda s=s: M.early_stopped(train, s, prep.space.max_bins, patience=TREES, chunk=2) for s in specs])
+    specs = [SPEC._replace(objective=o, learning_rate=0.5, trees=8) for o in ("l2", "log", "l1")]
+    fits = M.in_parallel([lambda s=s: M.early_stopped(train, s, prep.space.max_bins, patience=4, chunk=2) for s in specs])
     rows = [(s.objective, f.best, len(f.inner), f.inner[0], f.inner[f.best - 1]) for s, f in zip(specs, fits)]
     return round_doubles(spark.createDataFrame(rows, "objective string, best_iteration int, rounds int, first_error double, best_error double"))
 

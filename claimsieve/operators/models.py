@@ -107,7 +107,7 @@ def full_grid(trees: int = 2000) -> list[GbtSpec]:
 PATIENCE = 100
 CHUNK = 4
 FEW_ROWS = 100_000
-WIDTH = 4
+WIDTH = 8
 
 
 def in_parallel(jobs: Sequence[Callable[[], object]], width: int = WIDTH, pool: str = "models") -> list:
