@@ -298,6 +298,90 @@ def route_b_query(spark, sf_dir):
     return route_b_given(spark, sf_dir).select("claim_key", "risk_class", "predicted")
 
 
+@register(
+    "route_compare_given",
+    with_claims(
+        "select route, " + CLASS_METRICS.removeprefix("select "), *GIVEN, ROUTE_B,
+        "routes as (select 'A' as route, risk_class, predicted from scored union all select 'B', risk_class, predicted from route)",
+        _metric_sql("routes", "route"),
+    ),
+)
+def route_compare_given(spark, sf_dir):
+    """Corrected probabilities against the baseline payout and the rule, on the same claims."""
+    return round_doubles(N.compare_routes({"A": predicted(spark, sf_dir), "B": route_b_given(spark, sf_dir)}))
+
+
+def _schemes_given(spark, sf_dir):
+    """Three schemes' predictions on the folds of the first: corrected probabilities, the rule at the baseline payout, class 0."""
+    first = predicted(spark, sf_dir)
+    via_rule = first.drop("predicted").join(route_b_given(spark, sf_dir).select("claim_key", "predicted"), "claim_key")
+    schemes = {"corrected": first, "rule": via_rule, "majority": first.withColumn("predicted", F.lit(0))}
+    named = [df.select(F.lit(i).alias("ordinal"), F.lit(n).alias("scheme"), "risk_class", "predicted", "fold") for i, (n, df) in enumerate(schemes.items())]
+    return materialize(named[0].unionByName(named[1]).unionByName(named[2]), "schemes")
+
+
+SCHEMES_SQL = [
+    *GIVEN,
+    ROUTE_B,
+    "schemes as (select 0 as ordinal, 'corrected' as scheme, risk_class, predicted, fold from scored "
+    "union all select 1, 'rule', risk_class, r.predicted, fold from scored join (select claim_key, predicted from route) r using (claim_key) "
+    "union all select 2, 'majority', risk_class, 0, fold from scored)",
+    _metric_sql("schemes", "ordinal, scheme, fold"),
+    _metric_sql("schemes", "ordinal, scheme").replace("cm as (", "cm2 as (").replace("from cm)", "from cm2)").replace("per_class as", "pooled as"),
+    """report as (select f.ordinal, f.scheme, round(avg(f.macro_f1), 6) as macro_f1_mean, round(stddev_pop(f.macro_f1), 6) as macro_f1_std,
+  round(avg(f.accuracy), 6) as accuracy_mean, round(avg(f.recall), 6) as severe_recall_mean, round(any_value(p.precision), 6) as severe_precision,
+  round(any_value(p.f1), 6) as severe_f1 from per_class f join pooled p on p.ordinal = f.ordinal and p.risk_class = 2 where f.risk_class = 2 group by f.ordinal, f.scheme)""",
+]
+
+
+@register("scheme_report", with_claims("select * from report", *SCHEMES_SQL))
+def scheme_report(spark, sf_dir):
+    return round_doubles(N.scheme_report(_schemes_given(spark, sf_dir)))
+
+
+@register("best_scheme_given", with_claims("select * from report order by macro_f1_mean desc, ordinal limit 1", *SCHEMES_SQL))
+def best_scheme_given(spark, sf_dir):
+    return round_doubles(N.best_scheme(N.scheme_report(_schemes_given(spark, sf_dir))))
+
+
+SHARES = [i / 20 for i in range(1, 21)]
+
+
+@register(
+    "topk_baselines",
+    with_claims(
+        "select config, share, n, round(mae, 4) as mae, round(rmse, 4) as rmse, round(mape_all, 4) as mape_all, "
+        "round(mape_ge1, 4) as mape_ge1, round(wape, 4) as wape from scores order by mae, config limit 3",
+        "shares as (select * from (values " + ", ".join(f"({i}, {s!r}::double)" for i, s in enumerate(SHARES)) + ") v(config, share))",
+        "errors as (select config, share, payout, abs(payout - claim_amount * share) as e from hist, shares)",
+        "scores as (select config, share, count(*) as n, avg(e) as mae, sqrt(avg(e * e)) as rmse, 100 * avg(e / payout) as mape_all, "
+        "100 * avg(e / payout) filter (where payout >= 1) as mape_ge1, 100 * sum(e) / sum(payout) as wape from errors group by config, share)",
+    ),
+)
+def topk_baselines(spark, sf_dir):
+    """The best three of 20 constant shares of the claim."""
+    from claimsieve.plans.modelling import topk
+
+    scored = G.regression_metrics(G.share_baselines(hist(spark, sf_dir).select("claim_amount", "payout"), SHARES), by=["config", "share"])
+    return round_doubles(topk(scored, "mae", 3), 4)
+
+
+@register(
+    "summary_given",
+    with_claims(
+        "select count(*) as n, round(avg(p), 6) as mean, round(median(p), 6) as median, round(min(p), 6) as min, round(max(p), 6) as max "
+        "from (select greatest(claim_amount - g, 0) as p from score, (select median(excess) as g from hist))",
+        SCORE,
+    ),
+)
+def summary_given(spark, sf_dir):
+    """Summary of the new claims' baseline payouts."""
+    from claimsieve.operators.report import prediction_summary
+
+    train = hist(spark, sf_dir).select("claim_amount", "payout", "excess")
+    return round_doubles(prediction_summary(materialize(G.gap_baseline(train, score(spark, sf_dir).select("claim_amount"), clamp=True), "payouts")))
+
+
 @register(
     "binned_error",
     with_claims(

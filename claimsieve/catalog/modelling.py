@@ -9,8 +9,8 @@ from claimsieve.catalog.registry import register
 from claimsieve.catalog.sqltext import SCORE, with_claims
 from claimsieve.operators import classify as N
 from claimsieve.operators import models as M
-from claimsieve.operators.order import quantile_columns
 from claimsieve.operators.regress import median_baseline, regression_metrics
+from claimsieve.operators.report import prediction_summary
 from claimsieve.plans import modelling as P
 from claimsieve.session import scratch_path
 from claimsieve.sources.claims import order_claims
@@ -153,13 +153,13 @@ def classify(spark, sf_dir):
 
 @register("imbalance_schemes")
 def imbalance_schemes(spark, sf_dir):
-    return round_doubles(P.scheme_report(P.scheme_predictions(prepared(spark, sf_dir), k=FOLDS, **FOREST)))
+    return round_doubles(N.scheme_report(P.scheme_predictions(prepared(spark, sf_dir), k=FOLDS, **FOREST)))
 
 
 @register("best_scheme")
 def best_scheme(spark, sf_dir):
     predictions = P.scheme_predictions(prepared(spark, sf_dir), **FOREST)
-    return round_doubles(N.best_scheme(P.scheme_report(predictions)))
+    return round_doubles(N.best_scheme(N.scheme_report(predictions)))
 
 
 @register("route_compare")
@@ -180,11 +180,7 @@ def result_summary(spark, sf_dir):
     """Counts and quartiles of the payouts that the chosen model predicts."""
     prep = prepared(spark, sf_dir)
     scored = P.materialize(P.predict_payout(spark, choose(spark, sf_dir, "regressor", prep)[0], prep.score), "payouts")
-    basic = scored.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("payout_hat").alias("mean"), F.min("payout_hat").alias("min"), F.max("payout_hat").alias("max")
-    )
-    median = quantile_columns(scored, "payout_hat", {"median": 0.5}).scalar()
-    return round_doubles(basic.withColumn("median", median))
+    return round_doubles(prediction_summary(scored))
 
 
 @register("label_sensitivity")

@@ -180,6 +180,24 @@ def bin_profile(spark, sf_dir):
     )
 
 
+RATIO_PROBS = {"q50": 0.5, "q75": 0.75, "q85": 0.85, "q90": 0.9, "q95": 0.95, "q97": 0.97, "q98": 0.98, "q99": 0.99, "q997": 0.997}
+
+
+@register(
+    "ratio_profile",
+    with_claims(
+        _profile_sql("rated", "bin", "ratio", RATIO_PROBS),
+        qcut_cte("b10", "hist", "payout", 10),
+        "rated as (select bin, payout / (payout + excess) as ratio from b10)",
+    ),
+)
+def ratio_profile(spark, sf_dir):
+    """Quantiles of the paid share of the claim by payout decile: level rows speak for a rule on the ratio."""
+    binned = B.qcut(narrow(spark, sf_dir, "payout", "excess"), "payout", 10)
+    rated = binned.withColumn("ratio", F.try_divide(F.col("payout"), F.col("payout") + F.col("excess")))
+    return round_doubles(P.group_quantile_profile(rated, ["bin"], "ratio", RATIO_PROBS))
+
+
 SLICE_PROBS = {"q50": 0.5, "q80": 0.8, "q85": 0.85, "q90": 0.9, "q95": 0.95, "q97": 0.97, "q99": 0.99}
 
 

@@ -324,14 +324,14 @@ def kde_at_samples(spark, sf_dir):
 @register(
     "decile_pairs",
     with_claims(
-        "select decile, count(*) as n, round(avg(density), 10) as mean_density from dens group by decile", B10, DENSITY
+        "select decile, count(*) as n, round(avg(density), 10) as mean_density, "
+        "round(sum(density * bw.n * bw.h * sqrt(2 * pi())), 3) as pair_sum from dens join bw using (decile) group by decile",
+        B10, DENSITY,
     ),
 )
 def decile_pairs(spark, sf_dir):
-    scored = with_density(base(spark, sf_dir))
-    return round_doubles(
-        scored.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.avg("density").alias("mean_density")), 10
-    )
+    binned = materialize(qcut(base(spark, sf_dir), "payout", 10, "decile"), "deciles")
+    return round_doubles(D.pair_sums(binned), 10, pair_sum=3)
 
 
 @register(

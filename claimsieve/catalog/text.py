@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimsieve.catalog.registry import register
 from claimsieve.operators import textjobs as X
+from claimsieve.session import materialize
 from claimsieve.sources.claims import table
 
 PAIRS = [("$", "USD "), ("&amp;", "&"), ("  ", " "), ("http://", "https://"), ("```", "'''"), ("USD  ", "USD "), ("\\le", "≤")]
@@ -45,6 +46,32 @@ def dictionary_hits(spark, sf_dir):
     return X.dictionary_hits(X.dictionary_replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PAIRS), PAIRS)
 
 
+REPORTED = [("the", "The"), ("The", "the"), ("e ", "e  "), ("zzzz", "z"), ("  ", " "), ("of", "of the")]
+
+
+def _report_sql() -> str:
+    ctes = ["t0 as (select doc_id, text from documents)"]
+    for i, (old, new) in enumerate(REPORTED):
+        hits = ", ".join([f"h{j}" for j in range(i)] + [f"contains(text, {quoted(old)})::int as h{i}"])
+        ctes.append(f"t{i + 1} as (select doc_id, replace(text, {quoted(old)}, {quoted(new)}) as text, {hits} from t{i})")
+    counts = " union all ".join(
+        f"select {i} as entry, {quoted(old)} as old, coalesce(sum(h{i}), 0)::bigint as n_documents, "
+        f"count(*) filter (where contains(text, {quoted(old)})) as n_still_present from t{len(REPORTED)}"
+        for i, (old, _) in enumerate(REPORTED)
+    )
+    return (
+        "with " + ",\n".join(ctes) + f" select *, n_documents = 0 as never_hit, case when n_still_present > 0 then 'still present' "
+        f"when n_documents = 0 then 'never hit' end as problem from ({counts})"
+    )
+
+
+@register("replacement_report", _report_sql())
+def replacement_report(spark, sf_dir):
+    """Entries that undo each other, one that isn't there, and one whose replacement holds it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return X.replacement_report(materialize(X.dictionary_replace(docs, REPORTED), "replaced"), REPORTED)
+
+
 @register(
     "residual_audit",
     r"""select doc_id, len(l)::int as n_lines, len(list_filter(l, lambda x: regexp_matches(x, '\$')))::int as pattern_0,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,6 +166,19 @@ def majority_baseline(df: DataFrame, true: str = "risk_class") -> DataFrame:
     return class_metrics(df.withColumn("predicted", F.lit(0)), true)
 
 
+def compare_routes(routes: dict[str, DataFrame], true: str = "risk_class", pred: str = "predicted") -> DataFrame:
+    """Metrics of several routes' predictions of the same claims, one row per route and class, in one aggregation."""
+    named = [df.select(F.lit(name).alias("route"), true, pred) for name, df in routes.items()]
+    return class_metrics(reduce(DataFrame.unionByName, named), true, pred, ["route"])
+
+
+def scheme_report(predictions: DataFrame, keys: Sequence[str] = ("ordinal", "scheme")) -> DataFrame:
+    """Fold means plus pooled precision and F1 of the severe class, per scheme."""
+    pooled = class_metrics(predictions, by=keys).where(F.col("risk_class") == CLASSES[-1])
+    pooled = pooled.select(*keys, F.col("precision").alias("severe_precision"), F.col("f1").alias("severe_f1"))
+    return fold_summary(predictions, by=keys).join(pooled, list(keys))
+
+
 def best_scheme(scores: DataFrame, score: str = "macro_f1_mean", ordinal: str = "ordinal") -> DataFrame:
     """The first scheme with the highest score."""
     return scores.orderBy(F.col(score).desc(), F.col(ordinal)).limit(1)

@@ -90,6 +90,20 @@ def kde_at(df: DataFrame, refs: DensityCells, by: str = "decile", value: str = "
     return found.select(*df.columns, F.when(F.col("_cell").isNotNull(), density).alias(name))
 
 
+def pair_sums(df: DataFrame, by: str = "decile", value: str = "excess", refs: DensityCells | None = None) -> DataFrame:
+    """Per group: ``n``, ``pair_sum`` (the kernel summed over all ordered pairs of its values, each with itself included)
+    and ``mean_density``; a group without spread has null sums.
+
+    What a self-join of the group would add up, without the join: the other side of every pair comes from the cells, and
+    rows are summed before they move, so neither the pairs nor a hot group meet in one task.  ``n`` counts all rows."""
+    refs = refs or density_cells(df, by, value)
+    scored = kde_at(df.select(by, value), refs, by, value, "_density")
+    sums = scored.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("_density").alias("_sum"), F.count("_density").alias("_m"))
+    sizes = refs.groups.select(F.col(by).alias("_by"), F.col("n").alias("_n"), F.col("h").alias("_h"))
+    whole = F.col("_sum") * F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi)
+    return sums.join(sizes, F.col(by) == F.col("_by"), "left").select(by, "n", whole.alias("pair_sum"), F.try_divide(F.col("_sum"), F.col("_m")).alias("mean_density"))
+
+
 def kde_curve(df: DataFrame, by: str, value: str, lo: float, hi: float | None = None, points: int = 600) -> DataFrame:
     """Density of ``value`` per group on an even grid from ``lo`` to ``hi`` (default: the largest value of all groups)."""
     refs = density_cells(df, by, value)

@@ -51,6 +51,12 @@ def gap_baseline(
     return out.withColumn("payout_hat", F.greatest(value, F.lit(0.0)) if clamp else value).drop("_gap")
 
 
+def share_baselines(df: DataFrame, shares: Sequence[float], x: str = "claim_amount") -> DataFrame:
+    """Every row once per constant share of the claim, with ``config``, ``share`` and ``payout_hat``; one pass for all shares."""
+    grid = F.array(*[F.struct(F.lit(i).alias("config"), F.lit(float(s)).alias("share")) for i, s in enumerate(shares)])
+    return df.select("*", F.inline(grid)).withColumn("payout_hat", F.col(x) * F.col("share"))
+
+
 def freeze_trees(iterations: DataFrame, col: str = "best_iteration", lo: int = 100, hi: int = 2000) -> DataFrame:
     """Number of trees of the final refit: 1.2 times the median best iteration, within limits."""
     middle = F.floor(F.percentile(col, 0.5))  # one row per fold, so the buffer is bounded by the number of folds

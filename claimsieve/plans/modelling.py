@@ -218,28 +218,13 @@ def scheme_predictions(
     return reduce(DataFrame.unionByName, done)
 
 
-def scheme_report(predictions: DataFrame) -> DataFrame:
-    """Fold means plus pooled precision and F1 of the severe class, per scheme."""
-    keys = ["ordinal", "scheme"]
-    pooled = (
-        N.class_metrics(predictions, by=keys)
-        .where("risk_class = 2")
-        .select(*keys, F.col("precision").alias("severe_precision"), F.col("f1").alias("severe_f1"))
-    )
-    return N.fold_summary(predictions, by=keys).join(pooled, keys)
-
-
 def route_comparison(prep: Prepared, spec: M.GbtSpec, scheme: Scheme, k: int = 5, width: int = M.WIDTH, **forest) -> DataFrame:
     """Direct classification and regression-then-rule on the same stratified folds."""
     data = assembled_folds(prep, k, stratified=True)
-    direct = scheme_predictions(prep, [scheme], k, data, width, **forest).select(
-        F.lit("A").alias("route"), "claim_key", "risk_class", "predicted"
-    )
+    direct = scheme_predictions(prep, [scheme], k, data, width, **forest)
     oof, _ = M.cross_fit(data, spec, prep.space.max_bins, k, width=width)
-    via_rule = route_b(oof, prep.rule).join(data.select("claim_key", "risk_class"), "claim_key").select(
-        F.lit("B").alias("route"), "claim_key", "risk_class", "predicted"
-    )
-    return N.class_metrics(direct.unionByName(via_rule), by=["route"])
+    via_rule = route_b(oof, prep.rule).join(data.select("claim_key", "risk_class"), "claim_key")
+    return N.compare_routes({"A": direct, "B": via_rule})
 
 
 SCHEME_SCHEMA = "name string, kind string, ratios array<double>, w double, priors array<double>"
@@ -250,7 +235,7 @@ def select_classifier(prep: Prepared, folder: str, schemes: Sequence[Scheme] = S
 
     Returns the schemes' report with ``chosen``."""
     spark = prep.train.sparkSession
-    report = materialize(scheme_report(scheme_predictions(prep, schemes, k, None, width, **forest)), "report")
+    report = materialize(N.scheme_report(scheme_predictions(prep, schemes, k, None, width, **forest)), "report")
     best = schemes[N.best_scheme(report).first()["ordinal"]]
     train = materialize(prep.space.assemble(prep.train), "train")
     model = _fit_scheme(train, best, prep.space.max_bins, **forest)

@@ -171,6 +171,6 @@ def test_best_scheme_on_all_schemes(prep):
     """Every scheme scores every claim once, and the choice is the largest mean."""
     predictions = P.scheme_predictions(prep, k=2, trees=2, depth=3)
     assert {r["scheme"]: r["count"] for r in predictions.groupBy("scheme").count().collect()} == {s.name: prep.train.count() for s in P.SCHEMES}
-    report = P.scheme_report(predictions).collect()
+    report = N.scheme_report(predictions).collect()
     best = N.best_scheme(prep.train.sparkSession.createDataFrame(report)).first()
     assert best["macro_f1_mean"] == max(r["macro_f1_mean"] for r in report)
