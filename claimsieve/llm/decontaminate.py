@@ -216,21 +216,23 @@ def search(
     words.  ``slop=None`` asks for exact phrases; a number asks for proximity: the rarest term of a window with every
     other term of the window at most ``slop`` words away in the same document (the span is then that one word).
 
-    The items are sent to the tasks in blocks of about ``block_words`` words, so what is sent at once is bounded."""
+    Each distinct text of an item is searched once, however many items share it, and its finds are joined with its items.
+    The texts are numbered and sent to the tasks in blocks of about ``block_words`` words, so what is sent at once is bounded."""
     spark = index.sparkSession
     pieces = _item_pieces(items, item_col, text_col, window)
-    total = pieces.agg(F.sum(F.length("terms")) / 8).first()[0] or 0
+    texts = materialize(pieces.select("terms").distinct().withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    total = texts.agg(F.sum(F.length("terms")) / 8).first()[0] or 0
     blocks = max(1, -(-int(total) // block_words))
     doc_type, item_type = index.schema["doc_ids"].dataType.elementType, pieces.schema["item_id"].dataType
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([
         T.StructField("segment", T.LongType()), T.StructField("place", T.LongType()), T.StructField("doc_id", doc_type),
-        T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(item_type)), T.StructField("spans", T.ArrayType(span)),
+        T.StructField("n_words", T.LongType()), T.StructField("pieces", T.ArrayType(T.LongType())), T.StructField("spans", T.ArrayType(span)),
     ])
 
     def block(number: int) -> DataFrame:
-        rows = pieces.filter(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == number).collect()  # bounded by block_words
-        names = [r["item_id"] for r in rows]
+        rows = texts.filter(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == number).collect()  # bounded by block_words
+        names = [r["piece"] for r in rows]
         sent = spark.sparkContext.broadcast(([bytes(r["terms"]) for r in rows], names))
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,23 +243,26 @@ def search(
                     n_words, found, spans = _search_segment(row, windows, names, slop)
                     k = len(n_words)
                     columns = [[row["segment"]] * k, range(k), row["doc_ids"], n_words, found, spans]
-                    kinds = [pa.int64(), pa.int64(), batch.schema.field("doc_ids").type.value_type, pa.int64(), pa.list_(arrow_item), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+                    kinds = [pa.int64(), pa.int64(), batch.schema.field("doc_ids").type.value_type, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], schema.names)
 
         return index.mapInArrow(find, schema)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow_item = to_arrow_type(item_type)
     out = block(0)
     for number in range(1, blocks):
         out = out.unionByName(block(number))
     if blocks > 1:
         out = out.groupBy("segment", "place").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"),
+            F.flatten(F.collect_list("pieces")).alias("pieces"), F.flatten(F.collect_list("spans")).alias("spans"),
         )
-    return out.select("doc_id", "n_words", F.array_distinct("items").alias("items"), F.array_sort("spans").alias("spans"))
+    found = materialize(out, "found")
+    owners = pieces.join(texts, "terms").select("piece", "item_id").distinct()
+    named = found.select("segment", "place", F.explode("pieces").alias("piece")).join(owners, "piece").groupBy("segment", "place")
+    # a null item_id is an item too, which collecting plain values would leave out
+    named = named.agg(F.collect_set(F.struct("item_id")).alias("_i"))
+    items_of = F.coalesce(F.transform("_i", lambda x: x["item_id"]), F.array().cast(T.ArrayType(item_type)))
+    return found.join(named, ["segment", "place"], "left").select("doc_id", "n_words", items_of.alias("items"), F.array_sort("spans").alias("spans"))
 
 
 def covered(spans: F.Column) -> F.Column:

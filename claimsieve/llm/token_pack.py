@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from claimsieve.llm.files import AtomicFile, open_store, read_range
-from claimsieve.llm.words import bounded_batches, span_hashes
+from claimsieve.llm.words import bounded_batches, mix, span_hashes
 from claimsieve.session import materialize, scratch_path
 
 MAGIC = b"IDPK"
@@ -149,6 +149,11 @@ _EDGE_CHAR = 0x10FFFF + 1
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
+def word_keys(chars: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and a second one over other values of its characters, by which equal hashes are told apart."""
+    return span_hashes(chars, start, stop), span_hashes(mix(chars.astype(np.uint64)), start, stop)
+
+
 class WordEncoder:
     """Encodes texts with one tokenizer, each distinct word once while it is remembered."""
 
@@ -166,8 +171,9 @@ class WordEncoder:
             self.classes = self._classes()
 
     def _forget(self) -> None:
-        """Words met so far: sorted hashes, and where each one's ids lie in the pool."""
+        """Words met so far: sorted hashes, a second hash of each, and where each one's ids lie in the pool."""
         self.keys, self.pool = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
+        self.second = np.zeros(0, dtype=np.uint64)
         self.at = self.size = np.zeros(0, dtype=np.int64)
 
     def _encode_words(self, words: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
@@ -190,17 +196,18 @@ class WordEncoder:
         size[rest] = [len(x) for x in alone]
         return ids + alone, np.concatenate([*groups, rest]), size
 
-    def _learn(self, keys: np.ndarray, words: list[str], ends: np.ndarray, end_id: int) -> None:
-        """Add words; ``ends`` are the keys of the mark between texts."""
+    def _learn(self, keys: np.ndarray, words: list[str], ends: np.ndarray, second: np.ndarray, end_id: int) -> None:
+        """Add words; ``ends`` are the keys of the mark between texts, ``second`` the second hashes of both."""
         made, order, size = self._encode_words(words)
         size = np.concatenate([size[order], np.ones(len(ends), dtype=np.int64)])
         flat = np.fromiter(chain(chain.from_iterable(made), [end_id] * len(ends)), dtype=np.uint32, count=int(size.sum()))
         at = len(self.pool) + np.cumsum(size) - size
-        keys = np.concatenate([keys[order], ends])
+        keys, second = np.concatenate([keys[order], ends]), np.concatenate([second[: len(order)][order], second[len(order) :]])
         rank = np.argsort(keys, kind="stable")
         slot = np.searchsorted(self.keys, keys[rank])
         self.keys, self.pool = np.insert(self.keys, slot, keys[rank]), np.concatenate([self.pool, flat])
         self.at, self.size = np.insert(self.at, slot, at[rank]), np.insert(self.size, slot, size[rank])
+        self.second = np.insert(self.second, slot, second[rank])
 
     def _classes(self) -> np.ndarray:
         """Class of every character of the basic plane, as the library's own splitter shows it."""
@@ -248,7 +255,7 @@ class WordEncoder:
         edges = np.flatnonzero(kind == _EDGE)
         start = np.flatnonzero(self._starts(chars, kind))
         stop = np.append(start[1:], len(chars))
-        key = span_hashes(chars, start, stop)
+        key, second = word_keys(chars, start, stop)
         far = np.diff(np.concatenate(([0], np.cumsum(kind == _FAR)[edges]))) > 0  # texts for the library as a whole
         far |= np.array([any(x in t for x in self.added) for t in texts], dtype=bool)
         far = np.flatnonzero(far)
@@ -261,8 +268,10 @@ class WordEncoder:
             edge = new & (kind[start[first]] == _EDGE)
             word = new & ~edge
             words = [joined[a:z] for a, z in zip(start[first[word]].tolist(), stop[first[word]].tolist())]
-            self._learn(uniq[word], words, uniq[edge], end_id)
+            self._learn(uniq[word], words, uniq[edge], second[np.concatenate([first[word], first[edge]])], end_id)
             place = np.searchsorted(self.keys, uniq)
+        other = start[self.second[place][inverse] != second]  # another word has this word's hash: its text goes whole
+        far = np.union1d(far, np.searchsorted(edges, other))
         lens = self.size[place][inverse]
         ids = self.pool[np.repeat(self.at[place][inverse], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)]
         bound = np.concatenate(([0], np.cumsum(lens)[np.searchsorted(start, edges)]))

@@ -89,6 +89,21 @@ def test_packed_ids_equal_plain_encoding(spark, texts):
         start += len(ids)
 
 
+def test_words_of_equal_hash_are_told_apart(texts, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    keys = token_pack.word_keys
+
+    def crowded(chars, start, stop):
+        key, second = keys(chars, start, stop)
+        return key % np.uint64(97), second
+
+    monkeypatch.setattr(token_pack, "word_keys", crowded)
+    untouched, encoder = Tokenizer.from_file(path), token_pack.WordEncoder(path)
+    for part in (["a b", "", "longer words than before", "a"], ["b a a", "x"], list(texts.values())[:30], ["a"]):
+        ids, counts = encoder.encode(part, 0)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [[*untouched.encode(t, add_special_tokens=False).ids, 0] for t in part]
+
+
 def test_random_access(tmp_path):
     ids = np.random.default_rng(1).integers(0, 50_000, 10_000).astype(np.uint32)
     writer = token_pack.PackWriter(f"{tmp_path}/a.idpk", 17, block=64)
@@ -237,6 +252,17 @@ def test_proximity_and_empty(spark):
     assert decontaminate.contamination(docs, items.limit(0)).filter("contaminated").count() == 0
 
 
+def test_items_that_share_a_text_are_searched_once(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    items = [(k, text) for k in range(3000)] + [(None, text), (None, text), (1, "other words"), (5000, text.upper())]
+    docs = spark.createDataFrame(rows_of(["x " + text, "other words", "none", None]), DOCS)
+    index, table = decontaminate.build_index(docs), spark.createDataFrame(items, "item_id long, text string")
+    for block_words in (decontaminate.BLOCK_WORDS, 13):
+        got = {r["doc_id"]: r["items"] for r in decontaminate.search(index, table, block_words=block_words).collect()}
+        assert len(got[0]) == 3002 and set(got[0]) == {*range(3000), None, 5000}
+        assert got[1] == [1] and got[2] == [] and got[3] == []
+
+
 def test_clean_goes_by_row(spark):
     hit = "one two three four five six seven eight nine ten"
     rows = [(None, hit, "en", "s", 0, "x"), (None, "clean", "en", "s", 0, "x"), (5, hit, "en", "s", 0, "x"), (5, "clean", "en", "s", 0, "x"), (5, None, "en", "s", 0, "x"), (6, "clean", "en", "s", 0, "x"), (6, "clean", "en", "s", 0, "x")]
