@@ -151,7 +151,12 @@ _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 def word_keys(chars: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and a second one over other values of its characters, by which equal hashes are told apart."""
-    return span_hashes(chars, start, stop), span_hashes(mix(chars.astype(np.uint64)), start, stop)
+    return span_hashes(chars, start, stop), span_hashes(_character_values()[chars], start, stop)
+
+
+@lru_cache(maxsize=1)
+def _character_values() -> np.ndarray:
+    return mix(np.arange(_EDGE_CHAR + 1, dtype=np.uint64))
 
 
 class WordEncoder:
