@@ -11,8 +11,10 @@ intersected and no link is lost.
    counts (first order) or one of two hashes.  A class whose prefix has single tokens only has no link.
 3. The first order's prefix tokens are the buckets, and a token's position in it bounds the overlap.  Small buckets give
    all their pairs.  A large bucket gives the pairs with one pivot, the class with the fewest single tokens; then only
-   pairs between different components are left, first those with further pivots, at last all of them.  A group of
-   thousands of near copies thus costs a few times its size, not its square.
+   pairs between different components are left.  Rows outside the bucket's main component become pivots in turns, each
+   turn with eight times as many as the one before, and what a turn links is not listed again; so a group of thousands
+   of near copies costs a few times its size, not its square.  Unlike rows of one bucket all meet in the end, but only
+   those of like size, in blocks that many tasks share.
 4. A pair goes on if its sizes and positions fit and the prefixes of the second and third orders meet too; then the
    exact overlap decides.
 
@@ -25,6 +27,7 @@ ids are null.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +43,8 @@ from claimsieve.session import materialize
 
 SMALL_BUCKET = 16
 LOOSE = 10  # a tenth of a set is added to the prefix of the first step
-PIVOT_ROUNDS = 2
-LINEAR = 8
+LINEAR = 8  # pivots of the first turn, and how many times more each further turn has
+BLOCK = 1024  # rows and pivots of a hot bucket that meet in one task
 FILTER_BITS = 1 << 25  # 4 MB, sent to every task
 FEW_PAIRS = 50_000
 
@@ -157,6 +160,36 @@ def _may_link(n: F.Column, at: F.Column, m: F.Column, to: F.Column, percent: int
     return most * 100 >= (n + m - most) * percent
 
 
+def _turn(node: str) -> F.Column:
+    """A fixed number from 0 to 1 that says when a row becomes a pivot."""
+    return F.pmod(F.xxhash64(node, F.lit(0)), F.lit(1 << 30)) / (1 << 30)
+
+
+def _share(turn: int) -> F.Column:
+    """The part of a bucket of ``m`` rows that has been asked before this turn: about 0, 8, 64, 512 rows, at last all."""
+    return F.least(F.lit(1.0), F.lit(float(LINEAR**turn)) / F.col("m")) if turn else F.lit(0.0)
+
+
+def _meet(placed: DataFrame, pivots: DataFrame, part: F.Column, percent: int) -> DataFrame:
+    """``a, b``: pivots with the rows of their bucket that have another root and a fitting size and position.
+
+    Rows meet by size band, so unlike sizes are never listed, and the rows and pivots of a hot bucket are dealt over a
+    grid of blocks: a task lists about ``BLOCK`` by ``BLOCK`` pairs and a row is sent once for each block across."""
+    width = math.log(100 / percent) * 1.001 if percent < 100 else 0.5  # wider than the ratio, so rounding loses no pair
+    band = F.floor(F.log(F.col("n").cast("double")) / width)
+    down, across = F.ceil(F.col("m") / BLOCK), F.ceil(F.greatest(F.lit(1.0), F.col("m") * part) / BLOCK)
+
+    def blocks(count: F.Column) -> F.Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+
+    rows = placed.select("token", "node", "n", "at", "root", band.alias("band"), F.pmod(F.xxhash64("node", F.lit(1)), down).alias("i"), blocks(across).alias("j"))
+    asks = pivots.select("token", F.struct("node", "n", "at", "root").alias("x"), band.alias("band"), down.alias("down"), F.pmod(F.xxhash64("node", F.lit(2)), across).alias("j"))
+    asks = asks.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).withColumn("i", blocks(F.col("down"))).drop("down")
+    met = rows.join(asks, ["token", "band", "i", "j"])
+    fits = (F.col("root") != F.col("x.root")) & _may_link(F.col("n"), F.col("at"), F.col("x.n"), F.col("x.at"), percent)
+    return met.filter(fits).select(*_ordered(F.col("x.node"), F.col("node")))
+
+
 def _verify(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs that pass the other orders' filters and then the exact test."""
     narrow = prefixes.select("node", "n", "p1", "p2")
@@ -205,31 +238,32 @@ def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[Dat
     done = materialize(few.union(stars.select(*_ordered(F.col("pivot.node"), F.col("node")))).distinct(), "pairs")
     links = materialize(_verify(done, prefixes, percent), "links")
 
-    many = materialize(many.select("token", "node", "n", "at"), "large")
-    rows, roots = many.count(), components(links)
-    for turn in range(PIVOT_ROUNDS + 1) if rows else ():
+    many = materialize(many.select("token", "m", "node", "n", "at"), "large")
+    rows, roots, turn, mains = many.count(), components(links), 0, None
+    while rows:
         placed = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
-        whole = parts.groupBy("token").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-        whole = materialize(whole, "whole")
-        placed = materialize(placed.join(whole.select("token", "m", "main"), "token"), "open")
-        # what is left: a row outside its bucket's main component with a row of any other component
-        minor = placed.filter("root != main")
-        weight = minor.agg(F.sum("m")).first()[0] or 0
+        if mains is None:
+            parts = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
+            mains = materialize(parts.groupBy("token").agg(F.max(F.struct("c", "root"))["root"].alias("main")), "mains")
+        # a row of the main component stays in it, so each pair of other rows is asked about by the first of them whose turn comes
+        now = mains.join(roots.select(F.col("node").alias("main"), F.col("root").alias("now")), "main", "left").select("token", F.coalesce("now", "main").alias("main"))
+        placed = placed.join(now, "token").withColumn("waits", (F.col("root") != F.col("main")) & (_turn("node") >= _share(turn)))
+        open_ = placed.filter("waits").select("token").distinct()
+        placed = materialize(placed.join(open_, "token", "left_semi"), "open")
+        weight = placed.filter("waits").agg(F.sum("m")).first()[0] or 0
         if not weight:
             break
-        last = turn == PIVOT_ROUNDS or weight <= LINEAR * rows
-        ask = minor.select("token", F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "at", "root").alias("x"))
-        ask = ask if last else ask.groupBy("token").agg(F.min("x").alias("x"))
-        met = placed.join(ask, "token").filter((F.col("root") != F.col("x.root")) & _may_link(F.col("n"), F.col("at"), F.col("x.n"), F.col("x.at"), percent))
-        fresh = materialize(met.select(*_ordered(F.col("x.node"), F.col("node"))).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        until = F.lit(1.0) if weight <= LINEAR * rows else _share(turn + 1)
+        met = _meet(placed, placed.filter(F.col("waits") & (_turn("node") < until)), until - _share(turn), percent)
+        fresh = materialize(met.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         more = materialize(_verify(fresh, prefixes, percent), "links")
         done = done.union(fresh)
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)
-        if last:
+        if weight <= LINEAR * rows:
             break
+        many, turn = placed.select("token", "m", "node", "n", "at"), turn + 1
     classes = sets.select("node", "d1", "d2", "n").join(roots, "node").select("d1", "d2", "root")
     return scanned.select("doc_id", "n", "d1", "d2"), classes, links
 

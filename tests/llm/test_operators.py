@@ -409,6 +409,22 @@ def test_groups_against_brute_force(spark, small, bits, monkeypatch):
     assert got == brute_groups([(r[0], r[1]) for r in rows], 4, 85)
 
 
+@pytest.mark.parametrize("linear, block", [(2, 3), (8, 1024)])
+def test_unlike_documents_of_shared_passages(spark, linear, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(jaccard, "LINEAR", linear)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(7)
+    passages = [" ".join(f"p{i}w{j}" for j in range(rng.randrange(6, 30))) for i in range(14)]
+    texts = [" ".join(passages[i] for i in sorted(rng.sample(range(14), rng.randrange(1, 12)))) for _ in range(160)]
+    texts += [t + f" extra{i} words here" for i, t in enumerate(texts[::4])]
+    rows = rows_of(texts)
+    rng.shuffle(rows)
+    for percent in (85, 100):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(spark.createDataFrame(rows, DOCS), 4, percent).collect()}
+        assert got == brute_groups([(r[0], r[1]) for r in rows], 4, percent)
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = rows_of(["a b c d e f", "a b c d e f", None, "", "q r s t u v", "g h i j k l"])
     rows += [(4, "q r s t u v", "en", "s", 0, "x"), (4, "q r s t u v", "en", "s", 0, "x"), (None, "a b c d e f", "en", "s", 0, "x"), (None, "", "en", "s", 0, "x")]
