@@ -248,8 +248,8 @@ def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[Dat
         # a row of the main component stays in it, so each pair of other rows is asked about by the first of them whose turn comes
         now = mains.join(roots.select(F.col("node").alias("main"), F.col("root").alias("now")), "main", "left").select("token", F.coalesce("now", "main").alias("main"))
         placed = placed.join(now, "token").withColumn("waits", (F.col("root") != F.col("main")) & (_turn("node") >= _share(turn)))
-        open_ = placed.filter("waits").select("token").distinct()
-        placed = materialize(placed.join(open_, "token", "left_semi"), "open")
+        placed = materialize(placed, "placed")  # read twice below, so the joins above are done once
+        placed = placed.join(placed.filter("waits").select(F.col("token").alias("open")).distinct(), F.col("token") == F.col("open"), "left_semi")
         weight = placed.filter("waits").agg(F.sum("m")).first()[0] or 0
         if not weight:
             break
