@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from claimsieve.catalog.common import hist
+from claimsieve.catalog.common import hist, narrow
 from claimsieve.catalog.registry import register
 from claimsieve.catalog.sqltext import with_claims
 from claimsieve.session import scratch_path
@@ -40,7 +40,7 @@ def csv_roundtrip(spark, sf_dir):
     ),
 )
 def write_tables(spark, sf_dir):
-    df = hist(spark, sf_dir).select("claim_key", "claim_amount", "payout", "abnormal_reason")
+    df = narrow(spark, sf_dir, "claim_key", "claim_amount", "payout", "abnormal_reason")
     out = None
     for fmt in ("parquet", "csv", "json"):
         path = scratch_path(spark, fmt)
