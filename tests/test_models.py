@@ -225,3 +225,35 @@ def test_medians_beside_the_sketch(spark):
     want = [float(np.median([v for i, v in rows if i == k])) for k in range(3)]
     assert M.leaf_medians(df, 4, 30_003, few=0) == pytest.approx([*want, 0.0])
     assert M._median([(1.0, 2)], 9, 0) is None and M._median([(1.0, 2), (2.0, 1)], 4, 1) == 1.0
+
+
+def test_equal_trees_are_grown_once_and_finalists_are_not_fitted_again(prep, monkeypatch):
+    data = P.assembled_folds(prep, 2, inner=True)
+    grid = [M.GbtSpec("l1", rate, 3, 20, 2) for rate in (0.1, 0.3)]
+    alone = [M.boost(M.inner_side(data, 0).where("fold <> 0"), s, prep.space.max_bins, inner=M.INNER) for s in grid]
+    fit, grown = M.DecisionTreeRegressor.fit, []
+    monkeypatch.setattr(M.DecisionTreeRegressor, "fit", lambda *a: grown.append(1) or fit(*a))
+    first = M.SharedTrees()
+    screened = P.grid_screen(prep, grid, 2, 2, data=data, shared=first).collect()
+    assert len(grown) == 3  # the first tree of both rates is the same
+    assert {r["config"]: r["best_iteration"] for r in screened} == {i: f.best for i, f in enumerate(alone)}
+    maes = {r["config"]: r["mae"] for r in screened}
+    for i, f in enumerate(alone):
+        assert maes[i] == pytest.approx(regression_metrics(f.chosen.predict(data.where("fold = 0"))).first().mae)
+    P.cross_validation(prep, list(enumerate(grid)), 2, data=data, shared={0: first}).collect()
+    assert len(grown) == 6  # three more on the second fold, none on the first
+
+
+def test_features_are_not_moved_to_deal_folds(prep, monkeypatch):
+    from claimsieve.operators.folds import kfold
+
+    moved = []
+    for name in ("kfold", "stratified_kfold", "inner_splits"):
+        monkeypatch.setattr(P, name, lambda df, *a, _f=getattr(P, name), **k: moved.append(df.columns) or _f(df, *a, **k))
+    repeated = prep._replace(train=prep.train.union(prep.train.limit(5).withColumn(P.ROW, -1 - F.col(P.ROW))))  # keys may repeat
+    plain = inner_splits(kfold(prep.train.select("claim_key"), k=3), 3, seed=M.SEED + 1)
+    dealt = P.assembled_folds(prep, 3, inner=True).select("claim_key", "fold", "inner_folds")
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
+    again = P.assembled_folds(repeated, 3, stratified=True)
+    assert again.count() == prep.train.count() + 5
+    assert moved and all("claim_amount" not in columns for columns in moved)
