@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -80,3 +81,12 @@ def test_first_by_hash(skewed):
     assert got.exceptAll(ordinal).count() == 0
     assert got.count() == ordinal.count()
     assert not math.isnan(got.count())
+
+
+def test_the_sketch_reads_the_counts_that_the_quantiles_read(spark):
+    df = spark.createDataFrame([(i % 7, float(i * 37 % 101)) for i in range(400)] + [(None, 1.0), (1, None)], "g int, x double")
+    for by in ([], ["g"]):
+        found = exact_quantiles(df, "x", [0.25, 0.5], by)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        counted = [line for line in plan.splitlines() if re.search(r"Aggregate \[.*_v#\d+\], \[", line)]
+        assert counted and all("count(1)" in line for line in counted)  # values alone would be shuffled once more
