@@ -239,22 +239,22 @@ def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[Dat
     links = materialize(_verify(done, prefixes, percent), "links")
 
     many = materialize(many.select("token", "m", "node", "n", "at"), "large")
-    rows, roots, turn, mains = many.count(), components(links), 0, None
+    rows, roots, turn = many.count(), components(links), 0
+    if rows:
+        parts = many.join(roots, "node", "left").groupBy("token", F.coalesce("root", "node").alias("root")).agg(F.count("*").alias("c"))
+        mains = materialize(parts.groupBy("token").agg(F.max(F.struct("c", "root"))["root"].alias("main")), "mains")
     while rows:
-        placed = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if mains is None:
-            parts = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
-            mains = materialize(parts.groupBy("token").agg(F.max(F.struct("c", "root"))["root"].alias("main")), "mains")
         # a row of the main component stays in it, so each pair of other rows is asked about by the first of them whose turn comes
         now = mains.join(roots.select(F.col("node").alias("main"), F.col("root").alias("now")), "main", "left").select("token", F.coalesce("now", "main").alias("main"))
-        placed = placed.join(now, "token").withColumn("waits", (F.col("root") != F.col("main")) & (_turn("node") >= _share(turn)))
-        placed = materialize(placed, "placed")  # read twice below, so the joins above are done once
-        placed = placed.join(placed.filter("waits").select(F.col("token").alias("open")).distinct(), F.col("token") == F.col("open"), "left_semi")
-        weight = placed.filter("waits").agg(F.sum("m")).first()[0] or 0
+        placed = many.join(now, "token").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = placed.withColumn("waits", (F.col("root") != F.col("main")) & (_turn("node") >= _share(turn)))
+        placed = materialize(placed, "placed")  # read several times below, so the joins above are done once
+        waiting = placed.filter("waits")
+        weight = waiting.agg(F.sum("m")).first()[0] or 0
         if not weight:
             break
         until = F.lit(1.0) if weight <= LINEAR * rows else _share(turn + 1)
-        met = _meet(placed, placed.filter(F.col("waits") & (_turn("node") < until)), until - _share(turn), percent)
+        met = _meet(placed, waiting.filter(_turn("node") < until), until - _share(turn), percent)
         fresh = materialize(met.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         more = materialize(_verify(fresh, prefixes, percent), "links")
         done = done.union(fresh)
@@ -263,6 +263,7 @@ def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[Dat
             roots = components(links)
         if weight <= LINEAR * rows:
             break
+        mains = materialize(mains.join(waiting.select("token").distinct(), "token", "left_semi"), "mains")  # of buckets in which a row waits
         many, turn = placed.select("token", "m", "node", "n", "at"), turn + 1
     classes = sets.select("node", "d1", "d2", "n").join(roots, "node").select("d1", "d2", "root")
     return scanned.select("doc_id", "n", "d1", "d2"), classes, links

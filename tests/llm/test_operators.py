@@ -425,6 +425,27 @@ def test_unlike_documents_of_shared_passages(spark, linear, block, monkeypatch):
         assert got == brute_groups([(r[0], r[1]) for r in rows], 4, percent)
 
 
+def test_turns_read_written_rows_of_open_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(jaccard, "LINEAR", 2)
+    rng = random.Random(7)
+    passages = [" ".join(f"p{i}w{j}" for j in range(rng.randrange(6, 30))) for i in range(14)]
+    rows = rows_of([" ".join(passages[i] for i in sorted(rng.sample(range(14), rng.randrange(1, 12)))) for _ in range(160)])
+    turns, meet = [], jaccard._meet
+
+    def seen(placed, *rest):
+        open_now = {r[0] for r in placed.filter("waits").select("token").collect()}
+        turns.append((placed._jdf.queryExecution().optimizedPlan().toString(), {r[0] for r in placed.select("token").collect()}, open_now))
+        return meet(placed, *rest)
+
+    monkeypatch.setattr(jaccard, "_meet", seen)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_groups([(r[0], r[1]) for r in rows], 4, 85)
+    assert len(turns) > 1
+    assert not any("Join" in plan for plan, _, _ in turns)  # a join here would be done again by each reader
+    assert all(tokens <= before for (_, tokens, _), (_, _, before) in zip(turns[1:], turns))
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = rows_of(["a b c d e f", "a b c d e f", None, "", "q r s t u v", "g h i j k l"])
     rows += [(4, "q r s t u v", "en", "s", 0, "x"), (4, "q r s t u v", "en", "s", 0, "x"), (None, "a b c d e f", "en", "s", 0, "x"), (None, "", "en", "s", 0, "x")]
