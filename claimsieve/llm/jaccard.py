@@ -47,6 +47,7 @@ LINEAR = 8  # pivots of the first turn, and how many times more each further tur
 BLOCK = 1024  # rows and pivots of a hot bucket that meet in one task
 FILTER_BITS = 1 << 25  # 4 MB, sent to every task
 FEW_PAIRS = 50_000
+FEW_ENDS = 200_000  # pairs whose ends are sent to every task
 
 
 def _token_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -190,15 +191,23 @@ def _meet(placed: DataFrame, pivots: DataFrame, part: F.Column, percent: int) ->
     return met.filter(fits).select(*_ordered(F.col("x.node"), F.col("node")))
 
 
+def _named(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows`` of the nodes that pairs name, so that a turn of few pairs shuffles few sets; all rows if the pairs are many."""
+    if pairs.count() > FEW_ENDS:
+        return rows
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return rows.join(F.broadcast(ends), "node", "left_semi")
+
+
 def _verify(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that pass the other orders' filters and then the exact test."""
-    narrow = prefixes.select("node", "n", "p1", "p2")
+    """Pairs, as written, that pass the other orders' filters and then the exact test."""
+    narrow = _named(prefixes.select("node", "n", "p1", "p2"), pairs)
     left = narrow.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
     right = narrow.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
     kept = pairs.join(left, "a").join(right, "b").filter(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("a", "b", "na", "nb")
     kept = materialize(kept, "candidates")
     near = F.broadcast(kept) if kept.count() <= FEW_PAIRS else kept  # four numbers each
-    full = prefixes.select("node", "common")
+    full = _named(prefixes.select("node", "common"), kept)
     both = near.join(full.select(F.col("node").alias("a"), F.col("common").alias("ta")), "a").join(full.select(F.col("node").alias("b"), F.col("common").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.select("a", "b", "na", "nb", common.alias("common")).filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")

@@ -446,6 +446,34 @@ def test_turns_read_written_rows_of_open_buckets(spark, monkeypatch):
     assert all(tokens <= before for (_, tokens, _), (_, _, before) in zip(turns[1:], turns))
 
 
+def _records_shuffled(plan) -> int:
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _records_shuffled(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _records_shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    return own + sum(_records_shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+@pytest.mark.parametrize("ends", [200_000, 0])
+def test_few_pairs_shuffle_few_sets(spark, ends, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW_ENDS", ends, raising=False)
+    common = list(range(20))
+    sets = [(i, 20, common[:4] if i < 4 else [i], common[:4] if i < 4 else [i], common if i < 4 else [i] * 20) for i in range(2000)]
+    prefixes = jaccard.materialize(spark.createDataFrame(sets, "node long, n long, p1 array<long>, p2 array<long>, common array<long>"))
+    pairs = jaccard.materialize(spark.createDataFrame([(0, 1), (2, 3), (4, 5)], "a long, b long"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = jaccard._verify(pairs, prefixes, 85)
+        assert sorted(tuple(r) for r in links.collect()) == [(0, 1), (2, 3)]
+        if ends:
+            assert _records_shuffled(links._jdf.queryExecution().executedPlan()) < 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = rows_of(["a b c d e f", "a b c d e f", None, "", "q r s t u v", "g h i j k l"])
     rows += [(4, "q r s t u v", "en", "s", 0, "x"), (4, "q r s t u v", "en", "s", 0, "x"), (None, "a b c d e f", "en", "s", 0, "x"), (None, "", "en", "s", 0, "x")]
