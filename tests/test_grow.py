@@ -112,3 +112,13 @@ def test_cv_oof_does_all_rounds(spark, monkeypatch):
     with pytest.raises(_Stop):
         C.cv_oof(spark, "")
     assert [s.trees for _, s in asked["args"][1]] == [2000] * 3 and asked.get("early_stop", True)
+
+
+def test_gbt_regress_does_all_rounds(spark, monkeypatch):
+    _no_data(monkeypatch)
+    monkeypatch.setattr(C, "median_baseline", lambda d: d)
+    monkeypatch.setattr(C, "regression_metrics", lambda d: spark.range(1))
+    asked = _asked(monkeypatch, M, "cross_fits")
+    with pytest.raises(_Stop):
+        C.gbt_regress(spark, "")
+    assert [s.trees for s in asked["args"][1]] == [2000] * 3 and asked["early_stop"]
