@@ -122,3 +122,12 @@ def test_gbt_regress_does_all_rounds(spark, monkeypatch):
     with pytest.raises(_Stop):
         C.gbt_regress(spark, "")
     assert [s.trees for s in asked["args"][1]] == [2000] * 3 and asked["early_stop"]
+
+
+@pytest.mark.parametrize("query", ["grid_screen"])
+def test_screens_do_all_rounds(spark, monkeypatch, query):
+    _no_data(monkeypatch)
+    asked = _asked(monkeypatch, C.P, "grid_screen")
+    with pytest.raises(_Stop):
+        getattr(C, query)(spark, "")
+    assert [s.trees for s in asked["args"][1]] == [2000] * 20
