@@ -124,7 +124,7 @@ def test_gbt_regress_does_all_rounds(spark, monkeypatch):
     assert [s.trees for s in asked["args"][1]] == [2000] * 3 and asked["early_stop"]
 
 
-@pytest.mark.parametrize("query", ["grid_screen"])
+@pytest.mark.parametrize("query", ["grid_screen", "topk_configs"])
 def test_screens_do_all_rounds(spark, monkeypatch, query):
     _no_data(monkeypatch)
     asked = _asked(monkeypatch, C.P, "grid_screen")
