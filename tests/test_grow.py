@@ -131,3 +131,12 @@ def test_screens_do_all_rounds(spark, monkeypatch, query):
     with pytest.raises(_Stop):
         getattr(C, query)(spark, "")
     assert [s.trees for s in asked["args"][1]] == [2000] * 20
+
+
+@pytest.mark.parametrize("query", ["select_regressor", "holdout_check", "predict_payout", "result_summary", "predictions_table"])
+def test_the_choice_does_all_rounds(spark, monkeypatch, query):
+    _no_data(monkeypatch)
+    asked = _asked(monkeypatch, C.P, "select_regressor")
+    with pytest.raises(_Stop):
+        getattr(C, query)(spark, "")
+    assert [s.trees for s in asked["args"][1]] == [2000] * 20 and asked.get("lo", 100) == 100
