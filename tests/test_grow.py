@@ -140,3 +140,12 @@ def test_the_choice_does_all_rounds(spark, monkeypatch, query):
     with pytest.raises(_Stop):
         getattr(C, query)(spark, "")
     assert [s.trees for s in asked["args"][1]] == [2000] * 20 and asked.get("lo", 100) == 100
+
+
+def test_predictions_table_chooses_among_whole_forests(spark, monkeypatch):
+    _no_data(monkeypatch)
+    monkeypatch.setattr(C.P, "select_regressor", lambda *a, **k: None)
+    asked = _asked(monkeypatch, C.P, "select_classifier")
+    with pytest.raises(_Stop):
+        C.predictions_table(spark, "")
+    assert asked["trees"] == 300
