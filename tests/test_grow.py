@@ -149,3 +149,12 @@ def test_predictions_table_chooses_among_whole_forests(spark, monkeypatch):
     with pytest.raises(_Stop):
         C.predictions_table(spark, "")
     assert asked["trees"] == 300
+
+
+@pytest.mark.parametrize("query, plan", [("ablation", "ablation")])
+def test_given_settings_have_the_frozen_rounds(spark, monkeypatch, query, plan):
+    _no_data(monkeypatch)
+    asked = _asked(monkeypatch, C.P, plan)
+    with pytest.raises(_Stop):
+        getattr(C, query)(spark, "")
+    assert asked["args"][1].trees == 198
