@@ -151,7 +151,7 @@ def test_predictions_table_chooses_among_whole_forests(spark, monkeypatch):
     assert asked["trees"] == 300
 
 
-@pytest.mark.parametrize("query, plan", [("ablation", "ablation")])
+@pytest.mark.parametrize("query, plan", [("ablation", "ablation"), ("route_compare", "route_comparison")])
 def test_given_settings_have_the_frozen_rounds(spark, monkeypatch, query, plan):
     _no_data(monkeypatch)
     asked = _asked(monkeypatch, C.P, plan)
