@@ -158,3 +158,23 @@ def test_given_settings_have_the_frozen_rounds(spark, monkeypatch, query, plan):
     with pytest.raises(_Stop):
         getattr(C, query)(spark, "")
     assert asked["args"][1].trees == 198
+
+
+def test_some_features_are_not_binned_again(rows, monkeypatch):
+    """Fits of some features on a fold share its binned rows, and are those of a table with these features only."""
+    from pyspark.ml.feature import VectorSlicer
+
+    def view(df):
+        return VectorSlicer(inputCol="_all", outputCol="features", indices=[0, 2, 4]).transform(df.withColumnRenamed("features", "_all")).drop("_all")
+
+    data = rows.withColumnRenamed("side", "fold")
+    parts = [M.Part([0, 2, 4], view), M.Part([0, 1, 2, 3, 4], lambda df: df)]
+    spec = M.GbtSpec("l2", 0.3, 3, 10, 4)
+    listed = lambda done: [[r["payout_hat"] for r in d.orderBy("claim_key", "payout_hat").collect()] for d, _ in done]
+    slow = listed(M.cross_fits(data, [spec] * 2, 32, 2, features=parts))
+    monkeypatch.setattr(M, "FEW_TREES", 0)
+    calls, write = [], G.binned
+    monkeypatch.setattr(G, "binned", lambda *a: calls.append(1) or write(*a))
+    fast = listed(M.cross_fits(data, [spec] * 2, 32, 2, features=parts))
+    assert len(calls) == 2
+    assert fast[0] == pytest.approx(slow[0]) and fast[1] == pytest.approx(slow[1]) and fast[0] != pytest.approx(fast[1])
